@@ -22,7 +22,8 @@ def targets(df: DataFrame, source: str, size: str) -> DataFrame:
     """One row per source: (source, source_size, n, target).
 
     Sources by code point, null last, weigh 3, 1, 2, repeating. The water level is the level
-    at which the sources below their cap share what the capped ones leave.
+    at which the sources below their cap share what the capped ones leave: of the levels that
+    capping the first 0, 1, 2, ... sources would give, the highest that caps no further one.
     """
     sums = df.groupBy(F.col(source).alias("_source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n"))
     by_name = Window.orderBy(F.col("_source").asc_nulls_last())
@@ -36,7 +37,7 @@ def targets(df: DataFrame, source: str, size: str) -> DataFrame:
     level = (F.lit(TOTAL) * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     level = F.when(level * F.col("weight") <= F.col("most"), level)
     return sums.withColumn("level", level).select(
-        "_source", "source_size", "n", F.coalesce(F.least(F.col("most"), F.min("level").over(whole) * F.col("weight")), F.col("most")).alias("target")
+        "_source", "source_size", "n", F.coalesce(F.least(F.col("most"), F.max("level").over(whole) * F.col("weight")), F.col("most")).alias("target")
     )
 
 

@@ -116,7 +116,7 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                              / sum(weight) OVER (ORDER BY most / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
                    FROM caps),
         goals AS (SELECT source, source_size, n,
-                         coalesce(least(most, min(CASE WHEN level * weight <= most THEN level END) OVER () * weight), most) AS target FROM levels),
+                         coalesce(least(most, max(CASE WHEN level * weight <= most THEN level END) OVER () * weight), most) AS target FROM levels),
         split AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM goals),
         ranked AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.copies, d.source,
                           s.target - s.copies * s.source_size AS room,
