@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, language, media, mixing, packing, urls
+from millrace.llm import chat, embeddings, language, media, mixing, packing, urls
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op4_embedding_dedup",
+    """WITH RECURSIVE units AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach(vec_id, root) AS (
+          SELECT vec_id, vec_id FROM units UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id),
+        roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id)
+        SELECT r.vec_id, (SELECT count(*) FROM links l WHERE l.a = r.vec_id) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
+        FROM roots r""",
+)
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
