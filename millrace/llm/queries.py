@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, embeddings, language, media, mixing, packing, urls
+from millrace.llm import chat, embeddings, language, media, mixing, ngrams, packing, urls
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,22 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op8_ngram_join",
+    """WITH RECURSIVE tokens AS (
+          SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        grams AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM tokens),
+        parts AS (SELECT doc_id, unnest(g) AS s FROM grams),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM parts a JOIN parts b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN grams x ON x.doc_id = a JOIN grams y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.g) + len(y.g) - n)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, root) AS (SELECT doc_id, doc_id FROM grams UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.doc_id),
+        roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+        SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, r.component_id FROM grams g JOIN roots r USING (doc_id)""",
+)
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
