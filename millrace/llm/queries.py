@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, embeddings, language, media, mixing, ngrams, packing, urls
+from millrace.llm import chat, embeddings, language, lines, media, mixing, ngrams, packing, repeats, urls
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,35 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query(
+    "op3_line_dedup",
+    """WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+        lines AS (SELECT doc_id, i - 1 AS line, p[i] AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+        tokens AS (SELECT doc_id, line, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM lines),
+        sets AS (
+          SELECT doc_id, line, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM tokens WHERE len(w) > 0),
+        firsts AS (SELECT g, min((doc_id, line)) AS first, row_number() OVER () AS id FROM sets GROUP BY g),
+        grams AS (SELECT id, unnest(g) AS s FROM firsts),
+        shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM grams a JOIN grams b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+        later AS (SELECT DISTINCT x.id FROM shared JOIN firsts x ON x.id = a JOIN firsts y ON y.id = b
+                  WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n) AND y.first < x.first),
+        gone AS (SELECT doc_id, line FROM sets JOIN firsts USING (g) WHERE (doc_id, line) <> first OR id IN (SELECT id FROM later)),
+        kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+                        coalesce(string_agg(l.t, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS text
+                 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(k.text) AS kept_sha256
+        FROM documents LEFT JOIN kept k USING (doc_id)""",
+)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's remaining lines."""
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
