@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +64,51 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         now = settle(small, "links")
+
+
+#: Rounds of leaders before all untried pairs of groups that are still apart are listed.
+ROUNDS = 4
+
+
+def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+    """(node, component) of the sets that link with others, given candidate groups (set, entry).
+
+    Any two sets with a common entry are candidates; verify(pairs of (a, b)) returns those
+    that link. Not all pairs of a group are tried: each set is held against a leader or two
+    of its groups, what links is contracted, and only pairs that a group still leaves in
+    different components go on, until none is untried. So no link between components is lost,
+    and a group of copies of any size costs about one comparison a member and round.
+    """
+    links: DataFrame | None = None
+    tried: DataFrame | None = None
+    labels: DataFrame | None = None
+    for turn in range(rounds + 1):
+        if labels is None:
+            placed = groups.withColumn("component", F.col("set"))
+        else:
+            placed = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        order = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), F.col("set").alias("set"), F.col("component").alias("component"))
+        ends = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(order).alias("first"), F.max(order).alias("last"))
+        open_ = ends.where("low <> high").select("entry", "first", "last")
+        if turn < rounds:
+            ask = placed.join(open_, "entry")
+            one = ask.where(F.col("component") != F.col("first.component")).select(F.col("set").alias("a"), F.col("first.set").alias("b"))
+            two = ask.where(F.col("component") != F.col("last.component")).select(F.col("set").alias("a"), F.col("last.set").alias("b"))
+            # of the leaders that a set meets in its groups, one
+            pairs = one.groupBy("a").agg(F.min("b").alias("b")).union(two.groupBy("a").agg(F.max("b").alias("b"))).distinct()
+        else:
+            left = placed.join(open_.select("entry"), "entry", "left_semi")
+            right = left.select("entry", F.col("set").alias("b"), F.col("component").alias("other"))
+            pairs = left.join(right, "entry").where((F.col("set") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("set").alias("a"), "b").distinct()
+        if tried is not None:
+            both = tried.select("a", "b").union(tried.select("b", "a"))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        if not pairs.isEmpty():
+            found = settle(verify(pairs), "verified")
+            tried = pairs if tried is None else tried.union(pairs)
+            links = found if links is None else links.union(found)
+            labels = components(links, "a", "b")
+    if labels is None:
+        return groups.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0)
+    return labels

@@ -1,10 +1,30 @@
-"""Exact duplicate removal."""
+"""Exact and MinHash near-duplicate removal."""
 
 from __future__ import annotations
 
+import hashlib
+import random
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.components import connect
+from millrace.session import settle
+
+# Fixed values.
+PRIME = (1 << 61) - 1
+SEED = 0xC0DECAFE
+SHINGLE = 5
+THRESHOLD, HASHES, BANDS = 0.85, 128, 32
+
+
+def digest(text: Column) -> Column:
+    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
+
 
 def exact_dedup(df: DataFrame, text: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): of rows with equal text, the one with the lowest seq stays.
@@ -16,5 +36,99 @@ def exact_dedup(df: DataFrame, text: str, seq: str) -> tuple[DataFrame, DataFram
     return df.join(first.select(seq), seq, "left_semi"), df.join(first.select(seq), seq, "left_anti")
 
 
-def digest(text: Column) -> Column:
-    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
+@cache
+def hash_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The universal hash functions' (a, b), from a seeded generator."""
+    rng = random.Random(SEED)
+    pairs = [(rng.randint(1, PRIME - 1), rng.randint(0, PRIME - 1)) for _ in range(n)]
+    return tuple(np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+
+
+def _fold(v: np.ndarray) -> np.ndarray:
+    return (v & np.uint64(PRIME)) + (v >> np.uint64(61))
+
+
+def signature(text: str | None, n: int = HASHES) -> np.ndarray:
+    """Per hash function the least value of (a * h + b) mod PRIME over the shingles' 32-bit hashes; PRIME for an empty text.
+
+    The product has up to 93 bits; it is folded modulo 2 ** 61 - 1 in halves of a.
+    """
+    if not text:
+        return np.full(n, PRIME, np.int64)
+    grams = {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+    h = np.array([int.from_bytes(hashlib.sha1(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") for g in grams], np.uint64)
+    a, b = hash_pairs(n)
+    out = np.full(n, PRIME, np.uint64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096][None, :]
+        high = _fold((a >> np.uint64(32))[:, None] * part)
+        high = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
+        low = _fold((a & np.uint64(0xFFFFFFFF))[:, None] * part)
+        v = _fold(_fold(_fold(high + low) + b[:, None]))
+        v = np.where(v >= np.uint64(PRIME), v - np.uint64(PRIME), v)
+        out = np.minimum(out, v.min(1))
+    return out.astype(np.int64)
+
+
+def signatures(df: DataFrame, key: str, text: str, n: int = HASHES) -> DataFrame:
+    """(key, signature). Arrow batches; equal texts in a batch are computed once."""
+    own = df.select(key, F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str | None, np.ndarray] = {}
+            for t in batch.column("_text").to_pylist():
+                if t not in known:
+                    known[t] = signature(t, n)
+            flat = np.concatenate([known[t] for t in batch.column("_text").to_pylist()]) if batch.num_rows else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "signature"])
+
+    return own.mapInArrow(run, f"`{key}` {own.schema[key].dataType.simpleString()}, signature array<bigint>")
+
+
+def estimated_jaccard(a: Column, b: Column) -> Column:
+    """The share of equal slots; 0 for empty or unlike signatures."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), lambda e: e == 1))
+    return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)), F.lit(0.0)).otherwise(same / F.size(a))
+
+
+def needed_bands(threshold: float, n: int, bands: int) -> int:
+    """Bands that suffice: each unequal slot of a qualifying pair spoils one band at most."""
+    unequal = n - int(np.ceil(n * threshold - 1e-9))
+    return min(bands, unequal + 1)
+
+
+def lsh_dedup(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, n: int = HASHES, bands: int = BANDS) -> DataFrame:
+    """(key, component) of every row: the lowest key of its near-duplicate cluster, whose holder survives.
+
+    Two rows link when a band agrees and the estimated similarity reaches the threshold;
+    clusters are the transitive closure. Equal texts have equal signatures, so they share one
+    entry per band. Groups are not expanded into pairs: leaders first, then what they leave apart.
+    """
+    if n % bands:
+        raise ValueError("the number of hashes must be a multiple of the number of bands")
+    rows = n // bands
+    signed = settle(signatures(df, key, text, n), "signatures")
+    sets = settle(signed.groupBy("signature").agg(F.min(key).alias("_rep")), "signature-sets")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(needed_bands(threshold, n, bands) - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
+    entries = sets.select(F.col("_rep").alias("set"), F.explode(cut).alias("entry"))
+    several = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("entry")
+    groups = settle(entries.join(several, "entry", "left_semi"), "bands")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("_rep").alias(c), F.col("signature").alias(f"_{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").where(estimated_jaccard(F.col("_a"), F.col("_b")) >= threshold).select("a", "b")
+
+    labels = connect(groups, verify)
+    named = sets.join(labels, sets["_rep"] == labels["node"], "left").select(F.col("signature").alias("_s"), F.coalesce("component", "_rep").alias("component"))
+    return signed.join(named, F.col("signature") == F.col("_s")).select(key, "component")
+
+
+def report(total: DataFrame, after_exact: DataFrame, after_near: DataFrame) -> DataFrame:
+    """One row: total, exact, near, retained, dedup_rate."""
+    counts = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in ((total, "total"), (after_exact, "unique"), (after_near, "retained"))]
+    one = counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # three single rows
+    exact, near = F.col("total") - F.col("unique"), F.col("unique") - F.col("retained")
+    rate = F.when(F.col("total") > 0, (exact + near) / F.col("total")).otherwise(F.lit(0.0))
+    return one.select("total", exact.alias("exact"), near.alias("near"), "retained", rate.alias("dedup_rate"))
