@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import settle
+from millrace.session import scratched, settle
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +42,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["u", "v"])
 
 
+@scratched
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with a link: component is the smallest node reachable.
 
@@ -70,6 +71,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 ROUNDS = 4
 
 
+@scratched
 def connect(groups: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of the sets that link with others, given candidate groups (set, entry).
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connect
-from millrace.session import settle
+from millrace.session import scratched, settle
 
 # Fixed values.
 PRIME = (1 << 61) - 1
@@ -99,6 +99,7 @@ def needed_bands(threshold: float, n: int, bands: int) -> int:
     return min(bands, unequal + 1)
 
 
+@scratched
 def lsh_dedup(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, n: int = HASHES, bands: int = BANDS) -> DataFrame:
     """(key, component) of every row: the lowest key of its near-duplicate cluster, whose holder survives.
 

@@ -63,7 +63,7 @@ def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str
         rules.append((path, "enum", ~F.coalesce(text.isin(*[str(e) for e in schema["enum"]]), F.lit(False))))
     if "pattern" in schema:
         rules.append((path, "pattern", ~F.coalesce(text.rlike(schema["pattern"]), F.lit(False))))
-    number = F.try_variant_get(variant, "$", "double")
+    number = F.when(found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(variant, "$", "double"))
     for name, test in (("minimum", lambda x, b: x < b), ("maximum", lambda x, b: x > b)):
         if name in schema:
             rules.append((path, name, F.coalesce(test(number, schema[name]), F.lit(False))))

@@ -48,14 +48,14 @@ _PICKS = "SELECT draw, floor(('0x' || md5('{seed}|' || draw || '|' || i)[1:13]):
 
 @query(
     "stats_a16_bootstrap",
-    f"""WITH s AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 10 = 0 AND c_custkey <= 1000),
+    f"""WITH s AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000),
         picks AS ({_PICKS.format(seed=0, n=100, draws=1000)}),
         m AS (SELECT draw, avg(c_acctbal) AS mean FROM picks JOIN s USING (pos) GROUP BY draw)
         SELECT (SELECT round(avg(c_acctbal), 6) FROM s) AS mean, (SELECT round(stddev_samp(c_acctbal), 6) FROM s) AS std, 100 AS n, 1000 AS n_boot, 0.95::DOUBLE AS level,
                round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m""",
 )
 def bootstrap(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 AND c_custkey <= 1000")
+    s = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000")
     s = s.withColumn("at", F.row_number().over(Window.orderBy("c_custkey")) - 1)  # the statistic's own 100 samples
     out = V.bootstrap_ci(s, "at", "c_acctbal")
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "n", "n_boot", "level")
@@ -63,13 +63,13 @@ def bootstrap(spark, sf_dir):
 
 @query(
     "stats_a17_paired",
-    f"""WITH s AS (SELECT c_acctbal - 4400 AS d, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 10 = 0 AND c_custkey <= 1000),
+    f"""WITH s AS (SELECT c_acctbal - 4400 AS d, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000),
         picks AS ({_PICKS.format(seed=3, n=100, draws=2000)}),
         m AS (SELECT draw, avg(d) AS mean FROM picks JOIN s USING (pos) GROUP BY draw)
         SELECT round(avg((mean <= 0)::INT::DOUBLE), 9) AS p, 100 AS n FROM m""",
 )
 def paired(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 AND c_custkey <= 1000").withColumn("base", F.lit(4400.0))
+    s = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000").withColumn("base", F.lit(4400.0))
     s = s.withColumn("at", F.row_number().over(Window.orderBy("c_custkey")) - 1)
     return V.paired_bootstrap_p(s, "at", "c_acctbal", "base", 2000, 3).select(F.round("p", 9).alias("p"), "n")
 

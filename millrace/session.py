@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +42,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    The files survive the loss of any executor, are columnar and compressed, and are left to
-    the cleaning of that folder, since later plans may still read them.
+    The files survive the loss of any executor and are columnar and compressed. Inside a
+    ``scratched`` function they go when it is done; others are left to the cleaning of the
+    folder, since later plans may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratched(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Settle what the function returns, then delete all that was settled inside it.
+
+    Also asks the JVM to collect garbage, upon which Spark frees the shuffle files of plans
+    that nothing refers to any more.
+    """
+
+    @functools.wraps(plan)
+    def run(*args, **options) -> DataFrame:
+        scopes = _scopes()
+        scopes.append([])
+        try:
+            out = plan(*args, **options)
+        finally:
+            inner = scopes.pop()
+        kept = settle(out, plan.__name__.strip("_"))
+        spark = kept.sparkSession
+        jvm = spark._jvm
+        for path in inner:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del out
+        gc.collect()
+        jvm.System.gc()
+        return kept
+
+    return run
