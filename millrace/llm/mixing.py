@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import settle
+
 #: Ranking values of a source are counted in so many steps; only the step at the border is sorted.
 STEPS = 1 << 16
 CYCLE = (3, 1, 2)
@@ -53,6 +55,8 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     rows are sorted, so no source is sorted whole, however large.
     """
     own = df.select(df[key].alias("_key"), df[source].cast("string").alias("_source"), word_count(df[text].cast("string")).alias("size"))
+    # the texts are read once; from here on rows are a few bytes
+    own = settle(own, "sizes")
     goal = targets(own, "_source", "size")
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("_key").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
     goal = goal.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -73,9 +77,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     border = border.withColumnRenamed("_source", "_of")
     rows = rows.join(border, rows["_source"].eqNullSafe(border["_of"]), "left").drop("_of")
     at_border = F.col("_step") == F.col("_border")
-    order = Window.partitionBy("_source", "_at").orderBy("_rank", "_key").rowsBetween(Window.unboundedPreceding, -1)
-    # rows elsewhere are spread over the window's tasks by their key
-    rows = rows.withColumn("_at", F.when(at_border, F.lit(-1)).otherwise(F.pmod(F.xxhash64("_key"), F.lit(1 << 20))))
+    order = Window.partitionBy("_source").orderBy("_rank", "_key").rowsBetween(Window.unboundedPreceding, -1)
     border_rows = rows.where(at_border).withColumn("_so_far", F.col("_base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     other_rows = rows.where(~F.coalesce(at_border, F.lit(False))).withColumn("_so_far", F.lit(None).cast("long"))
     taken = (
