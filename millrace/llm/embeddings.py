@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import components, local_components
-from millrace.session import settle
+from millrace.session import scratched, settle
 
 MIN_COSINE = 0.98
 #: Principal dimensions whose grid cells order the vectors.
@@ -152,6 +152,7 @@ def _join(a: np.ndarray, b: np.ndarray, same: bool, cosine: float, eps: float) -
             todo += [(i, j, k, mid), (i, j, mid, m)]
 
 
+@scratched
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = MIN_COSINE) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; links join vectors of one label with at least this cosine.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import _BYTE, mix, pieces, small_batches, spread, text_column
-from millrace.session import settle
+from millrace.session import scratched, settle
 
 LENGTH, GRAM, RANGE = 400, 32, 64
 #: Bytes of contexts in a block, in the mean, and contexts of an anchor from which its windows are dealt one by one.
@@ -197,6 +197,8 @@ def _scan(df: DataFrame, length: int, gram: int, reach: int, buckets: int) -> Da
                 return
             core, uid = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
+            if not len(core):
+                return
             order = np.argsort(core)
             core, uid = core[order], uid[order]
             first = np.concatenate([[True], core[1:] != core[:-1]])
@@ -301,6 +303,7 @@ def _blocks(items: DataFrame, length: int, n_blocks: int) -> DataFrame:
     return dealt.mapInArrow(run, "uid long, digest long, runs array<struct<a: int, b: int>>")
 
 
+@scratched
 def repeated_spans(df: DataFrame, rid: str, text: str, length: int = LENGTH, gram: int = GRAM, reach: int = RANGE, hot: int = HOT) -> DataFrame:
     """(rid, spans) of the texts with bytes that a repeated window covers; spans may touch and overlap."""
     spark = df.sparkSession
