@@ -42,11 +42,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["u", "v"])
 
 
+#: Links that one task folds at once, about 16 bytes each.
+WHOLE = 1_000_000
+
+
 @scratched
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, whole: int = WHOLE) -> DataFrame:
     """(node, component) of every node with a link: component is the smallest node reachable.
 
-    Each partition first folds its links into stars. Then large-star and small-star steps
+    Each partition first folds its links into stars. If no more than ``whole`` links are left,
+    one task folds them all. Otherwise large-star and small-star steps
     alternate until nothing changes, about as often as the logarithm of the longest path; each
     round is written to the shared folder. Neighbours of a node are never gathered: a round
     takes minima with map-side combination and joins them back, which AQE can split where a
@@ -54,6 +59,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     now, seen = settle(pairs.mapInArrow(_stars, "u long, v long"), "links"), None
+    if now.limit(whole + 1).count() <= whole:
+        # a forest that one task folds in a few MB needs no rounds
+        return now.repartition(1).mapInArrow(_stars, "u long, v long").toDF("node", "component")
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
         if mark == seen:

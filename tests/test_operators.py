@@ -71,11 +71,12 @@ def test_local_components(links):
     assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == least
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("whole", [1000, 0])
+def test_components_of_a_path(spark, whole):
     ids = list(range(40))
     random.Random(1).shuffle(ids)
     df = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (100, 101), (None, 3), (7, 7)], "a long, b long").repartition(4)
-    out = {r.node: r.component for r in components.components(df, "a", "b").collect()}
+    out = {r.node: r.component for r in components.components(df, "a", "b", whole).collect()}
     assert out == {i: 0 for i in range(1, 40)} | {101: 100}
 
 
