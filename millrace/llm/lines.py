@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, text_column, word_hashes, words
-from millrace.llm.ngrams import digests, verified
-from millrace.session import settle
+from millrace.llm.ngrams import by_family, digests, families, prepared, verified
+from millrace.session import scratched, settle
 
 #: Corpus counts of words are kept in so many cells, and as eighths of their binary logarithm.
 CELLS = 1 << 16
 #: Index entries that a task holds before it hands them on.
 ENTRIES = 1_000_000
+#: Different lines of a family that meet in one task; larger families are worked on in rounds.
+FAMILY = 20_000
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +99,8 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
                 return
             token, owner, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            if not len(token):
+                return
             order = np.lexsort((owner, token))
             token, owner, n, place = (x[order] for x in (token, owner, n, place))
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
@@ -172,9 +176,60 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
     return settle(found.select("rid", "doc", "line", "n", "set", "token", "place"), "lines")
 
 
+def later_matches(values: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have an earlier similar one: each set asks the index of the prefix tokens of those before it.
+
+    Tokens are ordered by their rarity among these sets. An entry is passed over if the sizes,
+    or the tokens left after the shared one, cannot give the overlap; the first match ends the search.
+    """
+    n, size = len(at) - 1, np.diff(at)
+    owner = np.repeat(np.arange(n), size)
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    order = np.lexsort((rank[column], owner))
+    column = column[order]
+    sets: list[frozenset[int]] = []
+    index: dict[int, list[tuple[int, int]]] = {}
+    out = np.zeros(n, bool)
+    for i in range(n):
+        tokens = column[at[i] : at[i + 1]].tolist()
+        mine, s = frozenset(tokens), len(tokens)
+        prefix = [(p, t) for p, t in enumerate(tokens[: s - -(-s * percent // 100) + 1]) if counts[t] > 1]
+        seen: set[int] = set()
+        for p, t in prefix:
+            for j, q in index.get(t, ()):
+                if j in seen:
+                    continue
+                seen.add(j)
+                other = len(sets[j])
+                if min(s, other) * 100 < percent * max(s, other) or min(s - p, other - q) * (100 + percent) < percent * (s + other):
+                    continue
+                both = len(mine & sets[j])
+                if both * 100 >= percent * (s + other - both):
+                    out[i] = True
+                    break
+            if out[i]:
+                break
+        for p, t in prefix:
+            index.setdefault(t, []).append((i, p))
+        sets.append(mine)
+    return out
+
+
 def _similar(groups: DataFrame, firsts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The sets with an earlier similar one. firsts: (set, first), first ordering the sets."""
-    placed = settle(groups.join(firsts, "set"), "placed")
+    home = families(groups, "token")
+    few = home.where(F.col("members") <= FAMILY).join(firsts.withColumnRenamed("first", "place"), "set").join(texts.select("set", "text"), "set")
+
+    def judge(ids: np.ndarray, values: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[later_matches(values, at, percent)])], names=["a"])
+
+    few = by_family(few, k, judge, "a long")
+    crowd = settle(home.where(F.col("members") > FAMILY).select("set"), "crowd")
+    if crowd.isEmpty():
+        return few
+    placed = settle(groups.join(crowd, "set", "left_semi").join(firsts, "set"), "placed")
 
     def fits(a: str, b: str) -> F.Column:
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -194,7 +249,25 @@ def _similar(groups: DataFrame, firsts: DataFrame, texts: DataFrame, k: int, per
     pairs = rest.join(rows.select("token", F.col("x").alias("y")), "token").where((F.col("x.first") > F.col("y.first")) & fits("x", "y"))
     pairs = pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = settle(verified(settle(pairs, "pairs"), texts, k, percent).select("a").distinct(), "verified")
-    return found.union(more)
+    return few.union(found).union(more)
+
+
+@scratched
+def _removed(own: DataFrame, k: int, percent: int) -> DataFrame:
+    """(_rid, _gone) of texts (rid, doc, text) that lose lines: the numbers of those."""
+    buckets = max(8, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = _index(own, k, percent, word_rarity(own, "text"), buckets)
+    lines = rows.where(F.col("token").isNull()).select("set", F.struct("doc", "rid", "line").alias("at"))
+    groups = rows.where(F.col("token").isNotNull()).select("token", "set", "n", "place").distinct()
+    sets = lines.groupBy("set").agg(F.min("at").alias("first"))
+    wanted = settle(groups.select("set").distinct().join(sets, "set"), "wanted")
+    asked = wanted.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list(F.struct("set", F.col("first.line").cast("int").alias("line"))).alias("_asked"))
+    found = own.join(asked, own["rid"] == F.col("_rid")).dropDuplicates(["rid"]).select(F.split("text", "\n", -1).alias("_parts"), "_asked")
+    found = found.select(F.explode(F.transform("_asked", lambda a: F.struct(a["set"].alias("set"), F.get(F.col("_parts"), a["line"]).alias("text")))).alias("x"))
+    similar = _similar(groups, wanted, prepared(found.select("x.set", "x.text"), k), k, percent)
+    judged = sets.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left").select(F.col("set").alias("_set"), "first", F.col("_a").isNotNull().alias("_goes"))
+    gone = lines.join(judged, F.col("set") == F.col("_set")).where(F.col("_goes") | (F.col("at") != F.col("first")))
+    return gone.groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set(F.col("at.line").cast("int")).alias("_gone"))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -213,19 +286,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     order_key, body = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")
     rid = F.xxhash64(order_key, body)
     own = base.where(body.isNotNull()).select(rid.alias("rid"), order_key.alias("doc"), body.alias("text"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _index(own, k, percent, word_rarity(own, "text"), buckets)
-    lines = rows.where(F.col("token").isNull()).select("set", F.struct("doc", "rid", "line").alias("at"))
-    groups = rows.where(F.col("token").isNotNull()).select("token", "set", "n", "place").distinct()
-    sets = lines.groupBy("set").agg(F.min("at").alias("first"))
-    wanted = settle(groups.select("set").distinct().join(sets, "set"), "wanted")
-    asked = wanted.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list(F.struct("set", F.col("first.line").cast("int").alias("line"))).alias("_asked"))
-    found = own.join(asked, own["rid"] == F.col("_rid")).dropDuplicates(["rid"]).select(F.split("text", "\n", -1).alias("_parts"), "_asked")
-    found = found.select(F.explode(F.transform("_asked", lambda a: F.struct(a["set"].alias("set"), F.get(F.col("_parts"), a["line"]).alias("text")))).alias("x"))
-    similar = _similar(groups, wanted, settle(found.select("x.set", "x.text"), "texts"), k, percent)
-    judged = sets.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left").select(F.col("set").alias("_set"), "first", F.col("_a").isNotNull().alias("_goes"))
-    gone = lines.join(judged, F.col("set") == F.col("_set")).where(F.col("_goes") | (F.col("at") != F.col("first")))
-    gone = gone.groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set(F.col("at.line").cast("int")).alias("_gone"))
+    gone = _removed(own, k, percent)
     out = base.withColumn("_own", rid).join(gone, F.col("_own") == F.col("_rid"), "left")
     parts = F.split(body, "\n", -1)
     count = F.coalesce(F.when(body.isNotNull(), F.size(parts)), F.lit(0))

@@ -8,14 +8,15 @@ what it costs, some segment agrees: one of cost 1 agrees exactly, one of cost 2
 deletion. Segments are indexed by hash, with their one-deletion neighbourhoods where the
 allocation gives them cost 2; equal entries make candidates, and candidates are verified.
 
-Of groups of equal entries, not all pairs are tried. What is asked for is connection: first
-each set is held against one or two leaders of its groups, what links is contracted, and only
-pairs that a group still leaves in different components go on, until none is untried.
+Sets that candidates connect are a family. The sets of a family of at most FAMILY meet in one
+task, each text once, and are joined there without listing pairs. Larger families are worked on
+in rounds. As what is asked for is connection, not all pairs are tried in either case: see
+connected, and connect in operators.components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import exp, factorial
 
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.operators.components import components
-from millrace.session import settle
+from millrace.operators.components import components, connect
+from millrace.session import scratched, settle
 
 #: Sets that the allocation expects in a scheme, the weight of false candidates in its cost.
 EXPECTED_SETS = 100_000
@@ -34,8 +35,10 @@ EXPECTED_SETS = 100_000
 ENTRIES = 2_000_000
 #: Members that one task compares with a leader.
 MEMBERS = 256
-#: Rounds of leaders before all untried pairs of groups that are still apart are listed.
-ROUNDS = 4
+#: Sets of a family that meet in one task; larger families are worked on in rounds.
+FAMILY = 8192
+#: Bits of the sketches that a family's sets are compared by.
+_CELLS = 2048
 
 
 @cache
@@ -146,6 +149,8 @@ def candidates(df: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                 return
             entry, owner = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
+            if not len(entry):
+                return
             order = np.lexsort((owner, entry))
             entry, owner = entry[order], owner[order]
             fresh = np.ones(len(entry), bool)
@@ -212,12 +217,62 @@ def candidates(df: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     return settle(found.select("doc", "n", "set", "entry"), "entries")
 
 
+def odd_sketch(values: np.ndarray) -> bytes:
+    """The parity of the number of values in each cell; cells grow with the set, up to 8192 bits. Sketches of two
+    sets, folded to one size, differ in no more bits than the sets differ in elements."""
+    cells = 1 << min(13, max(8, int(2 * len(values) - 1).bit_length()))
+    return np.packbits(np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in which the sketched sets differ."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "big"), len(a)
+    while size > len(b):
+        # cell i of the half size holds cells i and i + half
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ int.from_bytes(b, "big")).bit_count()
+
+
+def prepared(texts: DataFrame, k: int, own_ids: bool = False) -> DataFrame:
+    """Written (set, text, n, sketch), one row per set; own_ids: only texts whose set has that identity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                values, at = shingle_sets(part.column("text"), k)
+                sketches = [odd_sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                out = pa.RecordBatch.from_arrays([part.column("set"), part.column("text"), pa.array(np.diff(at)), pa.array(sketches, pa.binary())], names=["set", "text", "n", "sketch"])
+                yield out.filter(pa.array(digests(values, at).view(np.int64) == part.column("set").to_numpy())) if own_ids else out
+
+    return settle(texts.select("set", "text").mapInArrow(run, "set long, text string, n long, sketch binary").dropDuplicates(["set"]), "texts")
+
+
+def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out; exact, as both only bound the difference from below."""
+    sides = [texts.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
+    asked = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
+            keep = [least_difference(sa, sb) * (100 + percent) <= (na + nb) * (100 - percent) for na, nb, sa, sb in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return settle(asked.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long"), "possible")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of the pairs whose sets link. texts: (set, text).
+    """The (a, b) of the pairs whose sets link. texts: as prepared.
 
-    Each b is a leader: its text meets those of its a's in tasks of about MEMBERS, whatever
-    the number of a's, and a task holds the leader's set and one batch.
+    Sketches rule out most pairs that do not. Of the rest, each b is a leader: its text meets
+    those of its a's in tasks of about MEMBERS, whatever the number of a's, and a task holds
+    the leader's set and one batch.
     """
+    pairs = possible(pairs, texts, percent)
+    texts = texts.select("set", "text")
     counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     members = dealt.join(texts.withColumnRenamed("set", "a"), "a").select("b", "part", F.lit(1).alias("rank"), "a", "text")
@@ -246,6 +301,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
+@scratched
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the set's size and the smallest key reachable by links.
 
@@ -265,51 +321,101 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     wanted = groups.select("set").distinct().join(sets, "set")
     asked = own.join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).select("set", "text")
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a key that several rows have brings other texts along
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                yield part.filter(pa.array(digests(*shingle_sets(part.column("text"), k)).view(np.int64) == part.column("set").to_numpy()))
-
-    texts = settle(asked.mapInArrow(same, "set long, text string").dropDuplicates(["set"]), "texts")
-    labels = connect(settle(groups, "groups"), texts, k, percent)
+    # a key that several rows have brings other texts along
+    texts = prepared(asked, k, own_ids=True)
+    groups = settle(groups, "groups")
+    home = families(groups, "entry")
+    small = family_links(home.where(F.col("members") <= FAMILY).join(texts.select("set", "text"), "set").withColumn("place", F.col("set")), k, percent)
+    crowd = settle(home.where(F.col("members") > FAMILY).select("set"), "crowd")
+    labels = small.select(F.col("a").alias("node"), F.col("root").alias("component"))
+    if not crowd.isEmpty():
+        labels = labels.union(connect(groups.join(crowd, "set", "left_semi"), lambda pairs: verified(pairs, texts, k, percent)))
     least = sets.join(labels, sets["set"] == labels["node"], "left").select(sets["set"], "doc", F.coalesce("component", "set").alias("component"))
     named = least.join(least.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select(F.col("set").alias("_set"), "component_id")
     out = docs.join(named, (F.col("set") == F.col("_set")) & (F.col("n") > 0), "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def connect(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of the sets that link with others, from groups (set, entry)."""
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        placed = groups.withColumn("component", F.col("set")) if labels is None else groups.join(
-            labels.withColumnRenamed("node", "set"), "set", "left"
-        ).withColumn("component", F.coalesce("component", "set"))
-        order = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), F.col("set").alias("set"), F.col("component").alias("component"))
-        ends = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(order).alias("first"), F.max(order).alias("last"))
-        open_ = ends.where("low <> high").select("entry", "first", "last")
-        if turn < ROUNDS:
-            ask = placed.join(open_, "entry")
-            one = ask.where(F.col("component") != F.col("first.component")).select(F.col("set").alias("a"), F.col("first.set").alias("b"))
-            two = ask.where(F.col("component") != F.col("last.component")).select(F.col("set").alias("a"), F.col("last.set").alias("b"))
-            # of the leaders that a set meets in its groups, one
-            pairs = one.groupBy("a").agg(F.min("b").alias("b")).union(two.groupBy("a").agg(F.max("b").alias("b"))).distinct()
-        else:
-            left = placed.join(open_.select("entry"), "entry", "left_semi")
-            right = left.select("entry", F.col("set").alias("b"), F.col("component").alias("other"))
-            pairs = left.join(right, "entry").where((F.col("set") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("set").alias("a"), "b").distinct()
-        if tried is not None:
-            both = tried.select("a", "b").union(tried.select("b", "a"))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = settle(verified(pairs, texts, k, percent), "verified")
-            tried = pairs if tried is None else tried.union(pairs)
-            links = found if links is None else links.union(found)
-            labels = components(links, "a", "b")
-    if labels is None:
-        return groups.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0)
-    return labels
+@scratched
+def families(groups: DataFrame, entry: str) -> DataFrame:
+    """(set, family, members) of the sets of groups (set, entry) that share an entry with another, directly or by others."""
+    heads = groups.groupBy(entry).agg(F.min("set").alias("head"))
+    labels = components(groups.join(heads, entry).where(F.col("set") != F.col("head")).select("set", "head"), "set", "head")
+    named = settle(labels.union(labels.select(F.col("component").alias("node"), "component").distinct()), "families")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return named.join(sizes, "component").select(F.col("node").alias("set"), F.col("component").alias("family"), "members")
+
+
+def connected(values: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Of each set the number of the first set that links connect it with.
+
+    Each set in turn asks those before it that sizes and sketches, compared all at once, do not
+    rule out, and stops asking the sets of a component when one of them links. So every link
+    between components is found, copies cost one comparison each, and no pairs are listed.
+    """
+    n, size = len(at) - 1, np.diff(at)
+    sketches = np.zeros((n, _CELLS // 8), np.uint8)
+    for i in range(n):
+        own = (values[at[i] : at[i + 1]] & np.uint64(_CELLS - 1)).astype(np.int64)
+        sketches[i] = np.packbits((np.bincount(own, minlength=_CELLS) & 1).astype(np.uint8))
+    sketches = sketches.view(np.uint64)
+    label = np.arange(n)
+    for i in range(1, n):
+        if not size[i]:
+            continue
+        apart = np.bitwise_count(sketches[:i] ^ sketches[i]).sum(1, dtype=np.int64)
+        ok = (apart * (100 + percent) <= (size[:i] + size[i]) * (100 - percent)) & (np.minimum(size[:i], size[i]) * 100 >= np.maximum(size[:i], size[i]) * percent)
+        asked = np.flatnonzero(ok)
+        mine = values[at[i] : at[i + 1]]
+        while len(asked):
+            j, asked = asked[0], asked[1:]
+            other = values[at[j] : at[j + 1]]
+            place = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+            both = int((other[place] == mine).sum())
+            if both * 100 >= percent * (len(mine) + len(other) - both):
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+                asked = asked[label[asked] != low]
+    return label
+
+
+def by_family(members: DataFrame, k: int, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What judge(ids, values, starts) makes of each family's sets, in the order of place. members: (family, place, set, text); a family is held whole."""
+
+    def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        parts = [shingle_sets(p.column("text"), k) for batch in held for p in pieces(batch, "text")]
+        sizes = np.concatenate([np.diff(at) for _, at in parts])
+        values, at = np.concatenate([v for v, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+        return judge(np.concatenate([batch.column("set").to_numpy() for batch in held]), values, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            family = batch.column("family").to_numpy()
+            cuts = np.flatnonzero(family[1:] != family[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(family)], strict=True):
+                if a == b:
+                    continue
+                if held and family[a] != last:
+                    yield judged(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = family[a]
+        if held:
+            yield judged(held)
+
+    dealt = members.select("family", "place", "set", "text").repartition("family").sortWithinPartitions("family", "place")
+    return settle(dealt.mapInArrow(run, schema), "judged")
+
+
+def family_links(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, root) of each set that links within its family: the least set it is connected with."""
+
+    def judge(ids: np.ndarray, values: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        first = connected(values, at, percent)
+        own = np.flatnonzero(np.bincount(first, minlength=len(first))[first] > 1)
+        nodes, roots = ids[own], ids[first[own]]
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "root"])
+
+    return by_family(members, k, judge, "a long, root long")
