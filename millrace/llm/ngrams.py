@@ -382,26 +382,25 @@ def connected(values: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
 def by_family(members: DataFrame, k: int, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """What judge(ids, values, starts) makes of each family's sets, in the order of place. members: (family, place, set, text); a family is held whole."""
 
-    def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        parts = [shingle_sets(p.column("text"), k) for batch in held for p in pieces(batch, "text")]
-        sizes = np.concatenate([np.diff(at) for _, at in parts])
-        values, at = np.concatenate([v for v, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
-        return judge(np.concatenate([batch.column("set").to_numpy() for batch in held]), values, at)
+    def judged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, values, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        return judge(ids, values, np.concatenate([[0], np.cumsum(sizes)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last = None
         for batch in batches:
-            family = batch.column("family").to_numpy()
-            cuts = np.flatnonzero(family[1:] != family[:-1]) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(family)], strict=True):
-                if a == b:
-                    continue
-                if held and family[a] != last:
-                    yield judged(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = family[a]
+            for part in pieces(batch, "text"):
+                family, ids = part.column("family").to_numpy(), part.column("set").to_numpy()
+                values, at = shingle_sets(part.column("text"), k)
+                sizes = np.diff(at)
+                cuts = np.flatnonzero(family[1:] != family[:-1]) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(family)], strict=True):
+                    if held and family[a] != last:
+                        yield judged(held)
+                        held = []
+                    held.append((ids[a:b], values[at[a] : at[b]], sizes[a:b]))
+                    last = family[a]
         if held:
             yield judged(held)
 
