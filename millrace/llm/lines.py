@@ -26,6 +26,10 @@ CELLS = 1 << 16
 ENTRIES = 1_000_000
 #: Different lines of a family that meet in one task; larger families are worked on in rounds.
 FAMILY = 20_000
+#: Lines that travel as one row.
+LINES = 2_000
+#: Columns of packed rows: of tokens, or with rids of lines, then (doc, set, n, line, doc is null, rid).
+PACKED = ("tokens", "sets", "ns", "places", "flags", "rids")
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             packed = [[x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some] for x in (token, owner, n, place, several)]
-            yield record(bucket=some, **dict(zip(("tokens", "sets", "ns", "places", "flags"), packed, strict=True)))
+            yield record(bucket=some, **dict(zip(PACKED[:5], packed, strict=True)))
 
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -126,8 +130,14 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
                 doc = np.repeat(np.arange(len(counts)), counts)
                 line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
                 own = np.flatnonzero(n > 0)
+                # lines travel packed, some thousand to a row, to any task
                 where = pa.array(doc[own])
-                yield record(bucket=(ids[own].view(np.uint64) % np.uint64(buckets)).astype(np.int32), rid=part.column("rid").take(where), doc=part.column("doc").take(where), line=line[own], n=n[own], set=ids[own])
+                keys = part.column("doc").take(where)
+                bare = np.array(keys.is_null(), bool)
+                packed = (keys.fill_null(0).to_numpy(), ids[own], n[own], line[own], bare, part.column("rid").take(where).to_numpy())
+                for a in range(0, len(own), LINES):
+                    bucket = int(ids[own[a]].view(np.uint64) % np.uint64(buckets))
+                    yield record(bucket=[bucket], **{c: [x[a : a + LINES].tobytes()] for c, x in zip(PACKED, packed, strict=True)})
                 # smaller sets are only similar to equal ones
                 big = np.flatnonzero((n > 0) & ((n + 1) * percent <= n * 100))
                 prefix = n[big] - -(-n[big] * percent // 100) + 1
@@ -142,11 +152,15 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            packed = np.array(batch.column("tokens").is_valid())
-            plain = batch.filter(pa.array(~packed))
+            one = np.array(batch.column("tokens").is_valid())
+            lined = np.array(batch.column("rids").is_valid())
+            plain = batch.filter(pa.array(~one & ~lined))
             if plain.num_rows:
                 yield plain
-            for row in zip(*(batch.filter(pa.array(packed)).column(c).to_pylist() for c in ("tokens", "sets", "ns", "places", "flags")), strict=True):
+            for row in zip(*(batch.filter(pa.array(lined)).column(c).to_pylist() for c in PACKED), strict=True):
+                doc, ids, n, line, bare, rid = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, np.int64, np.int64, bool, np.int64), strict=True))
+                yield record(bucket=np.zeros(len(ids), np.int32), rid=rid, doc=pa.array(doc, mask=bare), line=line, n=n, set=ids)
+            for row in zip(*(batch.filter(pa.array(one & ~lined)).column(c).to_pylist() for c in PACKED[:5]), strict=True):
                 held.append(tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.int32, np.int32, bool), strict=True)))
         if held:
             token, owner, n, place, flag = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -164,14 +178,14 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
             yield record(bucket=(mix(token[cut]) % np.uint64(buckets)).astype(np.int32), set=owner[cut], n=n[cut], token=token[cut].view(np.int64), place=place[cut])
 
     types = {"bucket": pa.int32(), "rid": pa.int64(), "doc": pa.int64(), "line": pa.int64(), "n": pa.int64(), "set": pa.int64(), "token": pa.int64(), "place": pa.int64()}
-    types |= {c: pa.binary() for c in ("tokens", "sets", "ns", "places", "flags")}
+    types |= {c: pa.binary() for c in PACKED}
 
     def record(**columns: object) -> pa.RecordBatch:
         size = len(columns["bucket"])
         arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()]
         return pa.RecordBatch.from_arrays(arrays, names=list(types))
 
-    schema = "bucket int, rid long, doc long, line long, n long, set long, token long, place long, tokens binary, sets binary, ns binary, places binary, flags binary"
+    schema = "bucket int, rid long, doc long, line long, n long, set long, token long, place long, tokens binary, sets binary, ns binary, places binary, flags binary, rids binary"
     found = df.mapInArrow(scan, schema).repartition(buckets, "bucket").mapInArrow(gather, schema)
     return settle(found.select("rid", "doc", "line", "n", "set", "token", "place"), "lines")
 
@@ -259,13 +273,17 @@ def _removed(own: DataFrame, k: int, percent: int) -> DataFrame:
     rows = _index(own, k, percent, word_rarity(own, "text"), buckets)
     lines = rows.where(F.col("token").isNull()).select("set", F.struct("doc", "rid", "line").alias("at"))
     groups = rows.where(F.col("token").isNotNull()).select("token", "set", "n", "place").distinct()
-    sets = lines.groupBy("set").agg(F.min("at").alias("first"))
-    wanted = settle(groups.select("set").distinct().join(sets, "set"), "wanted")
+    sets = lines.groupBy("set").agg(F.min("at").alias("first"), (F.count(F.lit(1)) > 1).alias("again"))
+    asking = groups.select(F.col("set").alias("_set")).distinct()
+    # sets of one line that share no token lose nothing
+    sets = settle(sets.join(asking, F.col("set") == F.col("_set"), "left").where(F.col("again") | F.col("_set").isNotNull()), "sets")
+    wanted = sets.where(F.col("_set").isNotNull()).select("set", "first")
     asked = wanted.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list(F.struct("set", F.col("first.line").cast("int").alias("line"))).alias("_asked"))
     found = own.join(asked, own["rid"] == F.col("_rid")).dropDuplicates(["rid"]).select(F.split("text", "\n", -1).alias("_parts"), "_asked")
     found = found.select(F.explode(F.transform("_asked", lambda a: F.struct(a["set"].alias("set"), F.get(F.col("_parts"), a["line"]).alias("text")))).alias("x"))
     similar = _similar(groups, wanted, prepared(found.select("x.set", "x.text"), k), k, percent)
-    judged = sets.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left").select(F.col("set").alias("_set"), "first", F.col("_a").isNotNull().alias("_goes"))
+    judged = sets.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left").where(F.col("again") | F.col("_a").isNotNull())
+    judged = judged.select(F.col("set").alias("_set"), "first", F.col("_a").isNotNull().alias("_goes"))
     gone = lines.join(judged, F.col("set") == F.col("_set")).where(F.col("_goes") | (F.col("at") != F.col("first")))
     return gone.groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set(F.col("at.line").cast("int")).alias("_gone"))
 
