@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_uniform
+from millrace.session import settle
 
 # Fixed values.
 DRAWS, LEVEL = 1000, 0.95
@@ -45,9 +46,16 @@ def classification(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return each.agg((F.sum("h") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
 
 
+def numbered(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Written (at, value): the rows numbered 0, 1, ... in the order of a unique key, by a distributed sort."""
+    own = df.select(key, value).orderBy(key)
+    kind = own.schema[value].dataType.simpleString()
+    return settle(df.sparkSession.createDataFrame(own.rdd.zipWithIndex().map(lambda r: (r[1], r[0][1])), f"at long, `{value}` {kind}"), "numbered")
+
+
 def _resampled(df: DataFrame, place: str, value: str, n: int, draws: int, seed: int) -> DataFrame:
-    """(draw, mean) of draws with replacement; the i-th pick of a draw is the row at a hashed place."""
-    picks = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    """(draw, mean) of draws with replacement; the i-th pick of a draw is the row at a hashed place. Picks are dealt evenly, whatever n."""
+    picks = df.sparkSession.range(draws * n).select(F.expr(f"id div {n}").alias("draw"), (F.col("id") % n).alias("i"))
     picks = picks.select("draw", F.floor(hash_uniform(F.lit(seed), F.col("draw"), F.col("i")) * n).alias("_at"))
     return picks.join(df.select(F.col(place).alias("_at"), F.col(value).alias("_v")), "_at").groupBy("draw").agg(F.avg("_v").alias("mean"))
 

@@ -55,8 +55,7 @@ _PICKS = "SELECT draw, floor(('0x' || md5('{seed}|' || draw || '|' || i)[1:13]):
                round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m""",
 )
 def bootstrap(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000")
-    s = s.withColumn("at", F.row_number().over(Window.orderBy("c_custkey")) - 1)  # the statistic's own 100 samples
+    s = V.numbered(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
     out = V.bootstrap_ci(s, "at", "c_acctbal")
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "n", "n_boot", "level")
 

@@ -1,6 +1,7 @@
 """Small cases with known outcomes."""
 
 import datetime
+import hashlib
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.errors import GateFailure, HashMismatch, SplitConflict, UnknownRepo
 from millrace.functions import text as X
 from millrace.operators import audit, components, dedup, evals, governance, mining, retrieval, sequences, splits
+from millrace.plans.registry import QUERIES
 
 
 def rows(spark, n, groups=1, empty=()):
@@ -174,6 +176,30 @@ def test_bootstrap(spark):
         evals.paired_bootstrap_p(df.withColumn("b", F.lit(None).cast("double")), "at", "v", "b")
 
 
+def hashed_means(values, draws, seed):
+    n = len(values)
+    places = ([int(int(hashlib.md5(f"{seed}|{d}|{i}".encode()).hexdigest()[:13], 16) / 2**52 * n) for i in range(n)] for d in range(draws))
+    return [sum(values[p] for p in at) / n for at in places]
+
+
+@pytest.fixture(scope="module")
+def customers(spark, tmp_path_factory):
+    rng = random.Random(4)
+    rows = [(3 * i + 1, round(rng.uniform(2000, 6900), 2)) for i in range(40)]
+    folder = str(tmp_path_factory.mktemp("customers"))
+    spark.createDataFrame(rows[::-1], "c_custkey long, c_acctbal double").repartition(3).write.parquet(f"{folder}/customer.parquet")
+    return folder, [v for _, v in rows]
+
+
+def test_bootstrap_query_takes_every_customer(spark, customers):
+    folder, values = customers
+    r = QUERIES["stats_a16_bootstrap"](spark, folder).first()
+    means = hashed_means(values, 1000, 0)
+    assert (r.n, r.n_boot, r.level) == (40, 1000, 0.95)
+    want = (np.mean(values), np.std(values, ddof=1), *np.quantile(means, [0.025, 0.975]))
+    assert np.allclose((r["mean"], r["std"], r.ci_low, r.ci_high), want, rtol=0, atol=1e-5)
+
+
 def test_schema_violations(spark):
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 2}, "b": {"enum": ["x"]}}}
     df = spark.createDataFrame([(1, '{"a": 2, "b": "x"}'), (2, '{"a": true}'), (3, '{"c": 1}'), (4, '{"a": 1, "b": "y"}')], "id int, j string")
