@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -68,9 +67,8 @@ def bootstrap(spark, sf_dir):
         SELECT round(avg((mean <= 0)::INT::DOUBLE), 9) AS p, 100 AS n FROM m""",
 )
 def paired(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000").withColumn("base", F.lit(4400.0))
-    s = s.withColumn("at", F.row_number().over(Window.orderBy("c_custkey")) - 1)
-    return V.paired_bootstrap_p(s, "at", "c_acctbal", "base", 2000, 3).select(F.round("p", 9).alias("p"), "n")
+    s = V.numbered(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal").withColumn("base", F.lit(4400.0))
+    return V.paired_bootstrap_p(s, "at", "c_acctbal", "base", seed=3).select(F.round("p", 9).alias("p"), "n")
 
 
 _W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '')"

@@ -200,6 +200,13 @@ def test_bootstrap_query_takes_every_customer(spark, customers):
     assert np.allclose((r["mean"], r["std"], r.ci_low, r.ci_high), want, rtol=0, atol=1e-5)
 
 
+def test_paired_query_takes_every_customer(spark, customers):
+    folder, values = customers
+    r = QUERIES["stats_a17_paired"](spark, folder).first()
+    assert r.n == 40
+    assert 0 < r.p < 1 and r.p == np.mean(np.array(hashed_means([v - 4400.0 for v in values], 10_000, 3)) <= 0)
+
+
 def test_schema_violations(spark):
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 2}, "b": {"enum": ["x"]}}}
     df = spark.createDataFrame([(1, '{"a": 2, "b": "x"}'), (2, '{"a": true}'), (3, '{"c": 1}'), (4, '{"a": 1, "b": "y"}')], "id int, j string")
