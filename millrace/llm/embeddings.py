@@ -161,7 +161,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     vectors are one class with a weight, so their links are counted, not made; between
     classes a task adds up its links and hands on a spanning forest only, so the rows stay
     proportional to vectors and pairs of near blocks, however many links there are. The key
-    is taken to identify a vector. An empty table gives no rows.
+    is taken to identify a vector; a vector with a null key links like any other, and a
+    component of null keys alone has a null id. An empty table gives no rows.
     """
     spark = df.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -170,7 +171,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("ok", usable)
     good = rows.where("ok")
-    classes = settle(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
+    # min of the keys may be null, so classes are joined by a number of their own; written, so it stays
+    classes = good.groupBy("label", "v").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("n"))
+    classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     # scaled first, so that squares neither overflow nor vanish
     scaled = classes.withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("top")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
@@ -216,9 +219,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     groups = components(found.where("id <> root"), "id", "root")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    judged = classes.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    judged = judged.select(
-        F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    judged = classes.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = judged.groupBy("component").agg(F.min("key").alias("component_id"))
+    judged = judged.join(least, "component").select(
+        F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
     )
     out = good.join(judged, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("id", "n_links", "component_id")
     rest = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -221,6 +221,16 @@ def test_embeddings_against_brute_force(spark):
     assert out == brute_vectors(rows)
 
 
+def test_embeddings_with_null_keys(spark):
+    far = [0.0] * 16
+    rows = [(1, [1.0, 0.0] + far, 1), (None, [1.0, 0.1] + far, 1), (2, [1.0, 0.15] + far, 1), (3, [0.0, 0.0, 1.0] + far[1:], 1), (None, [0.0] * 17 + [1.0], 1), (None, [0.0] * 17 + [1.0], 1)]
+    rows += [(10 + i, [0.0] * i + [-1.0] + [0.0] * (17 - i), 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1)
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()), key=str)
+    want = [(1, 2, 1, True), (None, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 1, None, True), (None, 1, None, True)]
+    assert out == sorted(want + [(10 + i, 0, 10 + i, True) for i in range(5)], key=str)
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
