@@ -250,6 +250,18 @@ def prepared(texts: DataFrame, k: int, own_ids: bool = False) -> DataFrame:
     return settle(texts.select("set", "text").mapInArrow(run, "set long, text string, n long, sketch binary").dropDuplicates(["set"]), "texts")
 
 
+def own_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(set, text) of texts: the identity of each one's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                values, at = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(digests(values, at).view(np.int64)), part.column("text")], names=["set", "text"])
+
+    return texts.select("text").mapInArrow(run, "set long, text string")
+
+
 def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches do not rule out; exact, as both only bound the difference from below."""
     sides = [texts.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
@@ -307,8 +319,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles;
     with fewer words the whole sequence is the one shingle; rows without words or text have
-    size 0 and link with nothing. Rows with equal sets link. Null keys come back with a null
-    component. All links are found; copies are not expanded into pairs.
+    size 0 and link with nothing. Rows with equal sets link. Null keys link like any other; a
+    component of null keys alone has a null id. All links are found; copies are not expanded into pairs.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -320,6 +332,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     sets = docs.where("n > 0").groupBy("set").agg(F.min("doc").alias("doc"))
     wanted = groups.select("set").distinct().join(sets, "set")
     asked = own.join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).select("set", "text")
+    # sets of null keys only have no key to ask by, so these rows are shingled again
+    unkeyed = own_sets(own.where("doc IS NULL AND text IS NOT NULL"), k).join(wanted.where("doc IS NULL").select("set"), "set")
+    asked = asked.unionByName(unkeyed.select("set", "text"))
 
     # a key that several rows have brings other texts along
     texts = prepared(asked, k, own_ids=True)

@@ -389,6 +389,14 @@ def test_ngrams_against_brute_force(spark, family, k, percent, monkeypatch):
     assert out == brute_ngrams(rows, k, percent)
 
 
+def test_ngrams_linked_by_a_null_key_only(spark):
+    words = [f"w{i}" for i in range(120)]
+    a, n, b = (" ".join(words[i : i + 100]) for i in (0, 8, 16))
+    df = spark.createDataFrame([(1, a), (None, n), (2, b), (None, "x y z x y z q"), (3, "another text of no link at all")], "doc_id long, text string")
+    out = sorted(((r.doc_id, r.component_id) for r in ngrams.near_duplicates(df).collect()), key=str)
+    assert out == sorted([(1, 1), (None, 1), (2, 1), (None, None), (3, 3)], key=str)
+
+
 def test_ngrams_odd_rows(spark):
     out = ngrams.near_duplicates(odd_docs(spark)).collect()
     assert len(out) == 11 and {r.component_id for r in out if r.doc_id in (6, 7)} == {6}
