@@ -104,7 +104,8 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[
     Reduction: for the largest remaining length, a set of at most one companion is fixed for
     good where it dominates every other feasible set: nothing fits beside it; one companion
     fills the bin exactly; or at most one more fits at all, and then the largest. The case of
-    two companions is not built, and a length put off is not tried again. What is left goes to the fullest bin that takes it, longest first, whole classes at a time.
+    two companions is not built, and a length put off is not tried again. What is left goes
+    to the fullest bin that takes it, longest first, whole classes at a time.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     if any(s < 1 or s > capacity for s in left):
