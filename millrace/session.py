@@ -37,12 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext._conf.get("millrace.scratch", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="millrace-")
             spark.sparkContext._conf.set("millrace.scratch", found)
     return found
 
 
 _LOCAL = threading.local()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _scopes() -> list[list[str]]:
@@ -60,10 +63,28 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    # the shuffle files of a plan whose result is written are of no more use
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if _scopes():
         _scopes()[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that no later plan reads."""
+    _delete(df.sparkSession, df._settled)
 
 
 def scratched(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -83,13 +104,11 @@ def scratched(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             inner = scopes.pop()
         kept = settle(out, plan.__name__.strip("_"))
         spark = kept.sparkSession
-        jvm = spark._jvm
         for path in inner:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         del out
         gc.collect()
-        jvm.System.gc()
+        spark._jvm.System.gc()
         return kept
 
     return run
