@@ -125,7 +125,9 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple
 
 def distinct_sets(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, and the n_rows + 1 starts."""
-    order = np.lexsort((values, rows))
+    # a quick sort by value, then a radix sort by row
+    order = np.argsort(values)
+    order = order[np.argsort(rows[order].astype(np.uint16) if n_rows <= 1 << 16 else rows[order], kind="stable")]
     values, rows = values[order], rows[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])

@@ -9,28 +9,25 @@ has an equal or similar set.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, text_column, word_hashes, words
-from millrace.llm.ngrams import by_family, digests, families, prepared, verified
-from millrace.session import scratched, settle
+from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, cells_of, compared, odd_sketches, possible, record, units
+from millrace.llm.ngrams import digests, verified
+from millrace.session import forget, scratched, settle
 
 #: Corpus counts of words are kept in so many cells, and as eighths of their binary logarithm.
 CELLS = 1 << 16
-#: Index entries that a task holds before it hands them on.
-ENTRIES = 1_000_000
-#: Different lines of a family that meet in one task; larger families are worked on in rounds.
-FAMILY = 20_000
-#: Lines that travel as one row.
-LINES = 2_000
-#: Columns of packed rows: of tokens, or with rids of lines, then (doc, set, n, line, doc is null, rid).
-PACKED = ("tokens", "sets", "ns", "places", "flags", "rids")
-
+#: Lines that a task holds before it hands them on.
+LINES = 1 << 19
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts of the lines of all texts, number of lines of each text); an empty text is one line."""
@@ -92,203 +89,279 @@ def token_sets(data: np.ndarray, at: np.ndarray, k: int, rarity: np.ndarray) ->
     return distinct_sets((least.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8)), rows, len(at) - 1)
 
 
-def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int) -> DataFrame:
-    """Written rows: (rid, doc, line, n, set) of every line with words, with token null; and (set, n, token, place) of prefix tokens that several sets have."""
+#: Packed lines of a bucket, and what comes of them: lines that go (rid, gone), and each set's first line.
+_PACKED = {"p_sets": pa.binary(), "p_ns": pa.binary(), "p_lines": pa.binary(), "p_texts": pa.binary(), "p_docs": pa.binary(), "p_bare": pa.binary(), "p_rids": pa.binary(), "p_sketches": pa.binary()}
+_LINED = {"rid": pa.int64(), "gone": pa.list_(pa.int32()), "doc": pa.int64(), "line": pa.int32(), "n": pa.int32(), "sketch": pa.binary()}
+_TYPES = PACKED | GROUPED | _PACKED | _LINED
+
+
+def _gone(rid: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+    """Lines that go, a row for each text."""
+    order = np.argsort(rid, kind="stable")
+    rid, line = rid[order], line[order]
+    at = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(rid)).astype(np.int32)), pa.array(line.astype(np.int32)))
+    return record(_TYPES, len(at), bucket=np.arange(len(at), dtype=np.int32), rid=rid[at], gone=lists)
+
+
+def _first_of_each(sets: np.ndarray, bare: np.ndarray, doc: np.ndarray, rid: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of each set's first line, places of the others)."""
+    order = np.argsort(sets)
+    ranked = sets[order]
+    same = ranked[1:] == ranked[:-1]
+    again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    alone, again = order[~again], order[again]
+    again = again[np.lexsort((line[again], rid[again], doc[again], ~bare[again], sets[again]))]
+    first = np.concatenate([[True], sets[again][1:] != sets[again][:-1]]) if len(again) else np.zeros(0, bool)
+    leader = again[np.maximum.accumulate(np.where(first, np.arange(len(again)), 0))]
+    # wholly equal rows have the same line at the same place
+    later = (rid[again] != rid[leader]) | (line[again] != line[leader])
+    return np.concatenate([alone, again[first]]), again[later]
+
+
+class _Lines:
+    """A task's lines, handed on packed by the bucket of their sets; a set's later lines within the task go at once."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[tuple[np.ndarray, ...]] = []
+        self.sketches: list[pa.Array] = []
+        self.lines = self.rows = 0
+
+    def add(self, sets: np.ndarray, n: np.ndarray, text: np.ndarray, line: np.ndarray, sketches: pa.Array, doc: np.ndarray, bare: np.ndarray, rid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((sets, n.astype(np.int32), (text + self.rows).astype(np.int32), line.astype(np.int32)))
+        self.texts.append((doc, bare, rid))
+        self.sketches.append(sketches)
+        self.lines += len(sets)
+        self.rows += len(doc)
+        if self.lines > LINES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.lines:
+            self.clear()
+            return
+        sets, n, text, line = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        doc, bare, rid = (np.concatenate(x) for x in zip(*self.texts, strict=True))
+        sketches = pa.concat_arrays(self.sketches)
+        self.clear()
+        first, later = _first_of_each(sets, bare[text], doc[text], rid[text], line)
+        yield _gone(rid[text[later]], line[later])
+        bucket = (sets[first].view(np.uint64) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in range(self.buckets):
+            own = first[order[cuts[b] : cuts[b + 1]]]
+            if not len(own):
+                continue
+            used, number = np.unique(text[own], return_inverse=True)
+            own_sketches = sketches.take(pa.array(own))
+            yield record(
+                _TYPES, 1, bucket=[b], p_sets=[sets[own].tobytes()], p_ns=[n[own].tobytes()], p_lines=[line[own].tobytes()], p_texts=[number.astype(np.int32).tobytes()],
+                p_docs=[doc[used].tobytes()], p_bare=[bare[used].tobytes()], p_rids=[rid[used].tobytes()], p_sketches=[b"".join(own_sketches.to_pylist())],
+            )
+
+    @staticmethod
+    def gather(packed: list[dict], percent: int) -> Iterator[pa.RecordBatch]:
+        """The lines that go, and the first line of each set that may be similar to another."""
+        if not packed:
+            return
+        kinds = {"p_sets": np.int64, "p_ns": np.int32, "p_lines": np.int32, "p_texts": np.int32, "p_docs": np.int64, "p_bare": bool, "p_rids": np.int64}
+        rows = [{c: np.frombuffer(row[c], t) for c, t in kinds.items()} for row in packed]
+        sets, n, line = (np.concatenate([r[c] for r in rows]) for c in ("p_sets", "p_ns", "p_lines"))
+        doc, bare, rid = (np.concatenate([r[c][r["p_texts"]] for r in rows]) for c in ("p_docs", "p_bare", "p_rids"))
+        raw = np.concatenate([np.frombuffer(row["p_sketches"], np.uint8) for row in packed])
+        first, later = _first_of_each(sets, bare, doc, rid, line)
+        yield _gone(rid[later], line[later])
+        sizes = cells_of(n) // 8
+        begin = np.cumsum(sizes) - sizes
+        first = first[_may_be_similar(n[first].astype(np.int64), percent)]
+        for a in range(0, len(first), 50_000):
+            own = first[a : a + 50_000]
+            data, offsets = raw[spread(begin[own], sizes[own])], np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int32)
+            sketch = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            yield record(_TYPES, len(own), bucket=np.zeros(len(own), np.int32), set=sets[own], n=n[own], rid=rid[own], doc=pa.array(doc[own], mask=bare[own]), line=line[own], sketch=sketch)
+
+
+def _may_be_similar(n: np.ndarray, percent: int) -> np.ndarray:
+    """Smaller sets are only similar to equal ones."""
+    return (n > 0) & ((n + 1) * percent <= n * 100)
+
+
+def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int, small: int) -> DataFrame:
+    """Written rows: (rid, gone), lines of texts that have an equal one before them; (set, n, doc, rid, line, sketch), a set's
+    first line; and (grp, set, info, extra, hot), the sets with a common prefix token, their sizes and its place in them."""
+    plain = [*GROUPED, *_LINED]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            token, owner, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if not len(token):
-                return
-            order = np.lexsort((owner, token))
-            token, owner, n, place = (x[order] for x in (token, owner, n, place))
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
-            token, owner, n, place = (x[fresh] for x in (token, owner, n, place))
-            first = np.concatenate([[True], token[1:] != token[:-1]])
-            at = np.flatnonzero(first)
-            several = np.diff(np.append(at, len(token))) > 1
-            yield from shared(*(x[~first] for x in (token, owner, n, place)))
-            token, owner, n, place = (x[at] for x in (token, owner, n, place))
-            bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            packed = [[x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some] for x in (token, owner, n, place, several)]
-            yield record(bucket=some, **dict(zip(PACKED[:5], packed, strict=True)))
-
+        index, kept = Index(_TYPES, buckets, small), _Lines(buckets)
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, at, counts = _lines(part.column("text"))
                 values, sets = token_sets(data, at, k, rarity)
                 n = np.diff(sets)
                 ids = digests(values, sets).view(np.int64)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+                text = np.repeat(np.arange(len(counts)), counts)
+                line = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
                 own = np.flatnonzero(n > 0)
-                # lines travel packed, some thousand to a row, to any task
-                where = pa.array(doc[own])
-                keys = part.column("doc").take(where)
-                bare = np.array(keys.is_null(), bool)
-                packed = (keys.fill_null(0).to_numpy(), ids[own], n[own], line[own], bare, part.column("rid").take(where).to_numpy())
-                for a in range(0, len(own), LINES):
-                    bucket = int(ids[own[a]].view(np.uint64) % np.uint64(buckets))
-                    yield record(bucket=[bucket], **{c: [x[a : a + LINES].tobytes()] for c, x in zip(PACKED, packed, strict=True)})
-                # smaller sets are only similar to equal ones
-                big = np.flatnonzero((n > 0) & ((n + 1) * percent <= n * 100))
+                bare = np.array(part.column("doc").is_null(), bool)
+                sketches = odd_sketches(values, np.append(sets[:-1][own], len(values)))
+                yield from kept.add(ids[own], n[own], text[own], line[own], sketches, part.column("doc").fill_null(0).to_numpy(), bare, part.column("rid").to_numpy())
+                big = np.flatnonzero(_may_be_similar(n, percent))
+                big = big[np.unique(ids[big], return_index=True)[1]]
                 prefix = n[big] - -(-n[big] * percent // 100) + 1
-                token = np.repeat(sets[big] - (np.cumsum(prefix) - prefix), prefix) + np.arange(int(prefix.sum()))
+                token = spread(sets[big], prefix)
                 place = token - np.repeat(sets[big], prefix)
-                owner = np.repeat(big, prefix)
-                held.append((values[token], ids[owner], n[owner].astype(np.int32), place.astype(np.int32)))
-                if sum(len(h[0]) for h in held) > ENTRIES:
-                    yield from flush()
-        yield from flush()
+                # a smaller place only lets more pass
+                yield from index.add(mix(values[token]), np.repeat(np.arange(len(big)), prefix), ids[big], n[big], np.minimum(place, 255).astype(np.uint8))
+        yield from index.flush()
+        yield from kept.flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        tokens: list[dict] = []
+        lines: list[dict] = []
         for batch in batches:
-            one = np.array(batch.column("tokens").is_valid())
-            lined = np.array(batch.column("rids").is_valid())
-            plain = batch.filter(pa.array(~one & ~lined))
-            if plain.num_rows:
-                yield plain
-            for row in zip(*(batch.filter(pa.array(lined)).column(c).to_pylist() for c in PACKED), strict=True):
-                doc, ids, n, line, bare, rid = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, np.int64, np.int64, bool, np.int64), strict=True))
-                yield record(bucket=np.zeros(len(ids), np.int32), rid=rid, doc=pa.array(doc, mask=bare), line=line, n=n, set=ids)
-            for row in zip(*(batch.filter(pa.array(one & ~lined)).column(c).to_pylist() for c in PACKED[:5]), strict=True):
-                held.append(tuple(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.int32, np.int32, bool), strict=True)))
-        if held:
-            token, owner, n, place, flag = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(token)
-            token, owner, n, place, flag = (x[order] for x in (token, owner, n, place, flag))
-            at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            ends = np.append(at[1:], len(token))
-            own = np.repeat((np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)) | np.logical_or.reduceat(flag, at), ends - at)
-            yield from shared(token[own], owner[own], n[own], place[own])
-
-    def shared(token: np.ndarray, owner: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(token), 50_000):
-            cut = slice(a, a + 50_000)
-            yield record(bucket=(mix(token[cut]) % np.uint64(buckets)).astype(np.int32), set=owner[cut], n=n[cut], token=token[cut].view(np.int64), place=place[cut])
-
-    types = {"bucket": pa.int32(), "rid": pa.int64(), "doc": pa.int64(), "line": pa.int64(), "n": pa.int64(), "set": pa.int64(), "token": pa.int64(), "place": pa.int64()}
-    types |= {c: pa.binary() for c in PACKED}
-
-    def record(**columns: object) -> pa.RecordBatch:
-        size = len(columns["bucket"])
-        arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()]
-        return pa.RecordBatch.from_arrays(arrays, names=list(types))
-
-    schema = "bucket int, rid long, doc long, line long, n long, set long, token long, place long, tokens binary, sets binary, ns binary, places binary, flags binary, rids binary"
-    found = df.mapInArrow(scan, schema).repartition(buckets, "bucket").mapInArrow(gather, schema)
-    return settle(found.select("rid", "doc", "line", "n", "set", "token", "place"), "lines")
-
-
-def later_matches(values: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets have an earlier similar one: each set asks the index of the prefix tokens of those before it.
-
-    Tokens are ordered by their rarity among these sets. An entry is passed over if the sizes,
-    or the tokens left after the shared one, cannot give the overlap; the first match ends the search.
+            indexed, lined = pc.is_valid(batch.column("steps")), pc.is_valid(batch.column("p_sets"))
+            tokens += batch.filter(indexed).select(list(PACKED)).to_pylist()
+            lines += batch.filter(lined).select(list(_PACKED)).to_pylist()
+            yield batch.filter(pc.invert(pc.or_(indexed, lined))).select(plain)
+        for out in Index(_TYPES, buckets, small).gather(tokens, by_members=False):
+            yield out.select(plain)
+        tokens.clear()
+        for out in _Lines.gather(lines, percent):
+            yield out.select(plain)
+
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>"}
+    schemas = [", ".join(f"{c} {names[_TYPES[c]]}" for c in kind) for kind in (_TYPES, plain)]
+    return settle(df.mapInArrow(scan, schemas[0]).repartition(buckets, "bucket").mapInArrow(gather, schemas[1]), "lines")
+
+
+def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
+    """(set) of the sets with an earlier similar one. small, hot: groups (grp, set, info, extra); firsts: (set, n, doc, rid, line, sketch).
+
+    In each round a set asks some of the earlier ones of its groups that sizes, places and
+    sketches let pass, nearest first, four times as many as in the round before, until it is
+    found to go. Sets of large groups first ask the earliest of them only. Rounds end when
+    no group holds an untried pair whose later set stays so far.
     """
-    n, size = len(at) - 1, np.diff(at)
-    owner = np.repeat(np.arange(n), size)
-    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    order = np.lexsort((rank[column], owner))
-    column = column[order]
-    sets: list[frozenset[int]] = []
-    index: dict[int, list[tuple[int, int]]] = {}
-    out = np.zeros(n, bool)
-    for i in range(n):
-        tokens = column[at[i] : at[i + 1]].tolist()
-        mine, s = frozenset(tokens), len(tokens)
-        prefix = [(p, t) for p, t in enumerate(tokens[: s - -(-s * percent // 100) + 1]) if counts[t] > 1]
-        seen: set[int] = set()
-        for p, t in prefix:
-            for j, q in index.get(t, ()):
-                if j in seen:
-                    continue
-                seen.add(j)
-                other = len(sets[j])
-                if min(s, other) * 100 < percent * max(s, other) or min(s - p, other - q) * (100 + percent) < percent * (s + other):
-                    continue
-                both = len(mine & sets[j])
-                if both * 100 >= percent * (s + other - both):
-                    out[i] = True
-                    break
-            if out[i]:
-                break
-        for p, t in prefix:
-            index.setdefault(t, []).append((i, p))
-        sets.append(mine)
-    return out
-
-
-def _similar(groups: DataFrame, firsts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The sets with an earlier similar one. firsts: (set, first), first ordering the sets."""
-    home = families(groups, "token")
-    few = home.where(F.col("members") <= FAMILY).join(firsts.withColumnRenamed("first", "place"), "set").join(texts.select("set", "text"), "set")
-
-    def judge(ids: np.ndarray, values: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids[later_matches(values, at, percent)])], names=["a"])
-
-    few = by_family(few, k, judge, "a long")
-    crowd = settle(home.where(F.col("members") > FAMILY).select("set"), "crowd")
-    if crowd.isEmpty():
-        return few
-    placed = settle(groups.join(crowd, "set", "left_semi").join(firsts, "set"), "placed")
-
-    def fits(a: str, b: str) -> F.Column:
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        most = F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most * (100 + percent) >= (na + nb) * percent)
-
-    item = F.struct("first", "set", "n", "place")
-    rows = placed.select("token", item.alias("x"))
-    # first each set against the first set of its groups, the earliest and the latest of these
-    heads = rows.groupBy("token").agg(F.min("x").alias("y"))
-    ask = rows.join(heads, "token").where((F.col("x.first") > F.col("y.first")) & fits("x", "y"))
-    ask = ask.groupBy(F.col("x.set").alias("a")).agg(F.array(F.min("y").getField("set"), F.max("y").getField("set")).alias("b"))
-    tried = settle(ask.select("a", F.explode(F.array_distinct("b")).alias("b")), "pairs")
-    found = settle(verified(tried, texts, k, percent).select("a").distinct(), "verified")
-    # then what is left against every earlier set of its groups
-    rest = rows.join(found.withColumnRenamed("a", "_a"), F.col("x.set") == F.col("_a"), "left_anti")
-    pairs = rest.join(rows.select("token", F.col("x").alias("y")), "token").where((F.col("x.first") > F.col("y.first")) & fits("x", "y"))
-    pairs = pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = settle(verified(settle(pairs, "pairs"), texts, k, percent).select("a").distinct(), "verified")
-    return few.union(found).union(more)
+    found: DataFrame | None = None
+    few: DataFrame | None = small
+    crowd: DataFrame | None = hot
+    turn, low, high = 0, 0, 1
+    earlier = F.struct("doc", "rid", "line")
+
+    def asked(groups: DataFrame, first: int) -> DataFrame:
+        rows = units(groups, block).join(firsts, "set").withColumn("mark", F.col("set"))
+        if found is None:
+            rows = rows.withColumn("done", F.lit(False))
+        else:
+            rows = rows.join(found.select(F.col("a").alias("_a")), F.col("set") == F.col("_a"), "left").withColumn("done", F.col("_a").isNotNull())
+        return compared(rows, percent, first, high, ["doc", "rid", "line"], positional=True)
+
+    def led(groups: DataFrame) -> DataFrame:
+        rows = groups.join(firsts.select("set", earlier.alias("first")), "set")
+        heads = rows.groupBy("grp").agg(F.min(F.struct("first", "set", "info", "extra")).alias("y"))
+        most = F.least(F.col("info") - F.col("extra"), F.col("y.info") - F.col("y.extra"))
+        pairs = rows.join(heads, "grp").where((F.col("first") > F.col("y.first")) & (most * (100 + percent) >= (F.col("info") + F.col("y.info")) * percent))
+        pairs = pairs.select(F.col("set").alias("a"), F.col("y.set").alias("b")).distinct()
+        return possible(pairs, firsts, percent).withColumn("grp", F.lit(None).cast("long"))
+
+    while True:
+        parts = [] if few is None else [asked(few, low)]
+        if turn == 0:
+            parts.append(led(hot))
+        elif crowd is not None:
+            parts.append(asked(crowd, 0 if turn == 1 else low))
+        if not parts:
+            break
+        pairs = settle(reduce(DataFrame.unionAll, parts), "pairs")
+        more = pairs.where("a IS NULL").select("grp").distinct()
+        pairs = pairs.where("a IS NOT NULL").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            fresh = verify(pairs).select("a").distinct()
+            found = settle(fresh if found is None else found.union(fresh).distinct(), "found")
+        more = None if more.isEmpty() else more
+        few = None if few is None or more is None else settle(few.join(more, "grp", "left_semi"), "few")
+        if turn:
+            crowd = None if more is None else settle(hot.join(more, "grp", "left_semi"), "crowd")
+        turn, low, high = turn + 1, high, 4 * high
+    return firsts.select(F.col("set").alias("a")).limit(0) if found is None else found
 
 
 @scratched
-def _removed(own: DataFrame, k: int, percent: int) -> DataFrame:
+def _removed(own: DataFrame, k: int, percent: int, block: int, few: int) -> DataFrame:
     """(_rid, _gone) of texts (rid, doc, text) that lose lines: the numbers of those."""
     buckets = max(8, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = _index(own, k, percent, word_rarity(own, "text"), buckets)
-    lines = rows.where(F.col("token").isNull()).select("set", F.struct("doc", "rid", "line").alias("at"))
-    groups = rows.where(F.col("token").isNotNull()).select("token", "set", "n", "place").distinct()
-    sets = lines.groupBy("set").agg(F.min("at").alias("first"), (F.count(F.lit(1)) > 1).alias("again"))
-    asking = groups.select(F.col("set").alias("_set")).distinct()
-    # sets of one line that share no token lose nothing
-    sets = settle(sets.join(asking, F.col("set") == F.col("_set"), "left").where(F.col("again") | F.col("_set").isNotNull()), "sets")
-    wanted = sets.where(F.col("_set").isNotNull()).select("set", "first")
-    asked = wanted.groupBy(F.col("first.rid").alias("_rid")).agg(F.collect_list(F.struct("set", F.col("first.line").cast("int").alias("line"))).alias("_asked"))
-    found = own.join(asked, own["rid"] == F.col("_rid")).dropDuplicates(["rid"]).select(F.split("text", "\n", -1).alias("_parts"), "_asked")
-    found = found.select(F.explode(F.transform("_asked", lambda a: F.struct(a["set"].alias("set"), F.get(F.col("_parts"), a["line"]).alias("text")))).alias("x"))
-    similar = _similar(groups, wanted, prepared(found.select("x.set", "x.text"), k), k, percent)
-    judged = sets.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left").where(F.col("again") | F.col("_a").isNotNull())
-    judged = judged.select(F.col("set").alias("_set"), "first", F.col("_a").isNotNull().alias("_goes"))
-    gone = lines.join(judged, F.col("set") == F.col("_set")).where(F.col("_goes") | (F.col("at") != F.col("first")))
-    return gone.groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set(F.col("at.line").cast("int")).alias("_gone"))
-
-
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    rows = _index(own, k, percent, word_rarity(own, "text"), buckets, few)
+    gone = rows.where(F.col("gone").isNotNull()).select("rid", "gone")
+    groups = rows.where(F.col("grp").isNotNull()).select("grp", "set", "info", "extra", "hot")
+    small = settle(groups.where(~F.col("hot")).drop("hot"), "small")
+    hot = settle(groups.where("hot").groupBy("grp", "set").agg(F.min("info").alias("info"), F.min("extra").alias("extra")), "hot")
+    asking = small.select("set").union(hot.select("set")).distinct()
+    firsts = settle(rows.where(F.col("grp").isNull() & F.col("set").isNotNull()).select("set", "n", "doc", "rid", "line", "sketch").join(asking, "set", "left_semi"), "firsts")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, asked in zip(batch.column("text"), batch.column("_asked").to_pylist(), strict=True):
+                data, at, _ = _lines(pa.array([text.as_py()]))
+                lines = [data[at[x["line"]] : at[x["line"] + 1]].tobytes().decode("utf-8", "surrogateescape").rstrip("\n") for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([x["set"] for x in asked], pa.int64()), pa.array(lines, pa.string())], names=["set", "text"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(firsts, "set")
+        asked = wanted.groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked"))
+        texts = own.join(asked, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
+        fetched = settle(texts.mapInArrow(cut, "set long, text string").dropDuplicates(["set"]), "texts")
+        found = settle(verified(pairs, fetched, k, percent), "verified")
+        forget(fetched)
+        return found
+
+    similar = _similar(small, hot, firsts, verify, percent, block)
+    last = firsts.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left_semi").groupBy("rid").agg(F.collect_list("line").alias("gone"))
+    return gone.union(last).groupBy(F.col("rid").alias("_rid")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
+
+
+def without_lines(texts: pa.Array, gone: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the texts without the lines that go, the number of lines that each had); null stays null, with no lines."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    data, at, counts = _lines(texts)
+    first = np.cumsum(counts) - counts
+    stays = np.ones(len(at) - 1, bool)
+    if len(gone.flatten()):
+        stays[first[pc.list_parent_indices(gone).to_numpy()] + gone.flatten().to_numpy()] = False
+    length = np.diff(at)
+    # the last line that stays ends without a break
+    row = np.repeat(np.arange(len(counts)), counts)
+    kept = np.flatnonzero(stays)
+    last = np.ones(len(kept), bool)
+    last[:-1] = row[kept][1:] != row[kept][:-1]
+    last = kept[last]
+    length[last[last != (first + counts - 1)[row[last]]]] -= 1
+    body = data[spread(at[kept], length[kept])]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], length[kept], minlength=len(counts)).astype(np.int64))])
+    out = pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
+    none = texts.is_null()
+    return pc.if_else(none, None, out).cast(pa.string()), np.where(np.array(none), 0, counts)
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())]))
+def _rest(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    found, counts = [], []
+    rows = pa.RecordBatch.from_arrays([texts, gone], names=["text", "gone"])
+    for part in pieces(rows, "text"):
+        text, n = without_lines(part.column("text"), part.column("gone"))
+        found.append(text)
+        counts.append(n)
+    text = pa.concat_arrays(found) if found else pa.array([], pa.string())
+    return pa.StructArray.from_arrays([text, pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["text", "n_lines"])
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, few: int = SMALL) -> DataFrame:
     """df with the text of the lines that stay, and n_lines, n_removed.
 
     Lines end at \\n and are compared as sets of k-word shingles of their lower-cased words;
@@ -296,7 +369,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     line goes when an earlier one, by (key, text's hash, line number), has an equal set or
     one with Jaccard similarity of at least percent / 100, whether or not that one stays.
     Rows that are wholly equal count as one, and change alike. Null texts stay null with 0
-    lines; null keys come first. Columns named n_lines and n_removed are replaced.
+    lines; null keys come first. Columns named n_lines and n_removed are replaced. block and
+    few only set how groups are dealt out.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -304,11 +378,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     order_key, body = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")
     rid = F.xxhash64(order_key, body)
     own = base.where(body.isNotNull()).select(rid.alias("rid"), order_key.alias("doc"), body.alias("text"))
-    gone = _removed(own, k, percent)
+    gone = _removed(own, k, percent, block, few)
     out = base.withColumn("_own", rid).join(gone, F.col("_own") == F.col("_rid"), "left")
-    parts = F.split(body, "\n", -1)
-    count = F.coalesce(F.when(body.isNotNull(), F.size(parts)), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), count - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull() | body.isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    out = out.withColumn("n_lines", count.cast("long")).withColumn("n_removed", F.when(body.isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("long"))
-    return out.withColumn(text, kept).drop("_own", "_rid", "_gone")
+    out = out.withColumn("_gone", F.when(body.isNotNull(), F.col("_gone"))).withColumn("_rest", _rest(body, F.col("_gone")))
+    out = out.withColumn("n_lines", F.col("_rest.n_lines")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.col("_rest.text")).drop("_own", "_rid", "_gone", "_rest")

@@ -8,37 +8,40 @@ what it costs, some segment agrees: one of cost 1 agrees exactly, one of cost 2
 deletion. Segments are indexed by hash, with their one-deletion neighbourhoods where the
 allocation gives them cost 2; equal entries make candidates, and candidates are verified.
 
-Sets that candidates connect are a family. The sets of a family of at most FAMILY meet in one
-task, each text once, and are joined there without listing pairs. Larger families are worked on
-in rounds. As what is asked for is connection, not all pairs are tried in either case: see
-connected, and connect in operators.components.
+Only sets that share an entry are compared. Entries that very many sets share are left out
+where a set has others: the allocation adds segments, so that linked sets agree in more than
+one, and each set drops as many of its most frequent ones (the rarest common entry stays in
+both). Groups are compared in rounds, see connections: as what is asked for is connection, a
+pair within a component is not tried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.operators.components import components, connect
-from millrace.session import scratched, settle
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, compared, odd_sketches, possible, record, units
+from millrace.operators.components import components
+from millrace.session import forget, scratched, settle
 
 #: Sets that the allocation expects in a scheme, the weight of false candidates in its cost.
 EXPECTED_SETS = 100_000
-#: Index entries that a task holds before it hands them on.
-ENTRIES = 2_000_000
+#: Segments added so that as many frequent entries of a set may go unindexed: one for so many differences, and no more than so many.
+DROP_EVERY, DROPS = 4, 8
 #: Members that one task compares with a leader.
 MEMBERS = 256
-#: Sets of a family that meet in one task; larger families are worked on in rounds.
-FAMILY = 8192
-#: Bits of the sketches that a family's sets are compared by.
-_CELLS = 2048
+#: Rounds in which groups of more than SMALL sets only ask leaders; all their pairs are compared after these.
+LEADERS = 2
+#: Parts that a component's sets are dealt into to get their least key.
+SALTS = 64
 
 
 @cache
@@ -51,17 +54,17 @@ def bands(percent: int) -> tuple[int, ...]:
 
 
 @cache
-def allocation(band: int, percent: int) -> tuple[int, int, int]:
-    """(segments, how many of them have cost 2, empty segments that may go unindexed) of the scheme of bands band and band + 1.
+def allocation(band: int, percent: int) -> tuple[int, int, int, int]:
+    """(segments, how many of them have cost 2, empty and frequent segments that may go unindexed) of the scheme of bands band and band + 1.
 
-    Least cost of entries and expected false candidates. Costs add up to H + 1 + e, so the
-    agreeing segments' costs to e + 1 at least, and e empty segments of cost 1 can be left out.
+    Least cost of entries and expected false candidates. Costs add up to H + 1 + e + f, so the
+    agreeing segments' costs to e + f + 1 at least, and e empty and f frequent segments of cost 1 can be left out.
     """
     firsts = bands(percent)
     low, most = firsts[band], firsts[band + 2] - 1
     apart = 2 * most * (100 - percent) // (100 + percent)
     if not apart:
-        return 0, 0, 0
+        return 0, 0, 0, 0
     n = (low + most) / 2
     best = None
     for twos in range(min(3, (apart + 1) // 2) + 1):
@@ -72,7 +75,8 @@ def allocation(band: int, percent: int) -> tuple[int, int, int]:
             cost = (m - twos) + twos * (1 + n / m) + EXPECTED_SETS * over * over * (spare + 1)
             if best is None or cost < best[0]:
                 best = (cost, m, twos, spare)
-    return best[1:]
+    drops = min(DROPS, apart // DROP_EVERY)
+    return best[1] + drops, best[2], best[3], drops
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +99,24 @@ def digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at) ^ mix(np.diff(at).astype(np.uint64)))
 
 
-def entries(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The index entries of the sets and the number of the set of each."""
+def entries(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index entries of the sets, the number of the set of each and its tag.
+
+    A tag tells the one of the set's two schemes, and how many of the set's most frequent entries
+    in it need no index (0: this one does, as its segment has cost 2).
+    """
     size = np.diff(at)
     band = np.searchsorted(np.array(bands(percent)), size, "right") - 1
-    found, owners = [], []
+    found, owners, tags = [], [], []
     weights = mix(values)
     for shift in (0, 1):
         own = np.flatnonzero((size > 0) & (band >= shift))
         if not len(own):
             continue
         plans = {int(b): allocation(int(b), percent) for b in np.unique(band[own] - shift)}
-        m, twos, spare = (np.array([plans[int(b)][i] for b in band[own] - shift], np.int64) for i in range(3))
+        m, twos, spare, drops = (np.array([plans[int(b)][i] for b in band[own] - shift], np.int64) for i in range(4))
         used = m > 0
-        own, m, twos, spare = own[used], m[used], twos[used], spare[used]
+        own, m, twos, spare, drops = own[used], m[used], twos[used], spare[used], drops[used]
         scheme = (band[own] - shift).astype(np.uint64)
         lengths = size[own]
         index = spread(at[own], lengths)
@@ -126,165 +134,58 @@ def entries(values: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
         kept |= np.repeat(many, m)
         cost_two = number < np.repeat(twos, m)
         kept |= cost_two
+        tag = 32 * shift + np.where(cost_two, 0, np.repeat(drops, m))
         found.append(mix(total[kept] ^ place[kept]))
         owners.append(owner[kept])
+        tags.append(tag[kept])
         deleted = cost_two[where]
         if deleted.any():
             at_ = where[deleted]
             found.append(mix((total[at_] - weights[index][deleted]) ^ place[at_]))
             owners.append(owner[at_])
+            tags.append(tag[at_])
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners), np.concatenate(tags)
 
 
-def candidates(df: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """Written rows: (doc, n, set) of every document, with entry null; and (set, entry) of entries that several sets have."""
+def candidates(df: DataFrame, k: int, percent: int, buckets: int, small: int = SMALL) -> DataFrame:
+    """Written rows: (doc, rid, n, set, sketch) of every document; and (grp, set, info, hot) of the groups of sets with a common entry."""
+    types = PACKED | GROUPED | {"doc": pa.int64(), "rid": pa.int64(), "n": pa.int64(), "sketch": pa.binary()}
+    plain = ["doc", "rid", "n", "sketch", *GROUPED]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            entry, owner = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            held.clear()
-            if not len(entry):
-                return
-            order = np.lexsort((owner, entry))
-            entry, owner = entry[order], owner[order]
-            fresh = np.ones(len(entry), bool)
-            fresh[1:] = (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1])
-            entry, owner = entry[fresh], owner[fresh]
-            # an entry that several sets here share is settled here, and goes on once
-            first = np.ones(len(entry), bool)
-            first[1:] = entry[1:] != entry[:-1]
-            at = np.flatnonzero(first)
-            several = np.diff(np.append(at, len(entry))) > 1
-            yield from shared(entry[~first], owner[~first])
-            entry, owner, flag = entry[at], owner[at], several
-            bucket = (entry % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            packed = [[x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some] for x in (entry, owner, flag)]
-            yield record(bucket=some, entries=packed[0], sets=packed[1], flags=packed[2])
-
+        index = Index(types, buckets, small)
         for batch in batches:
             for part in pieces(batch, "text"):
                 values, at = shingle_sets(part.column("text"), k)
                 ids = digests(values, at).view(np.int64)
-                yield record(bucket=((ids.view(np.uint64) % np.uint64(buckets)).astype(np.int32)), doc=part.column("doc"), n=np.diff(at), set=ids)
-                entry, owner = entries(values, at, percent)
-                held.append((entry, ids[owner]))
-                if sum(len(h[0]) for h in held) > ENTRIES:
-                    yield from flush()
-        yield from flush()
+                yield record(types, len(ids), bucket=(ids.view(np.uint64) % np.uint64(buckets)).astype(np.int32), doc=part.column("doc"), rid=part.column("rid"), n=np.diff(at), set=ids, sketch=odd_sketches(values, at))
+                entry, owner, tag = entries(values, at, percent)
+                owned, owner = np.unique(owner * 64 + tag, return_inverse=True)
+                yield from index.add(entry, owner, ids[owned // 64], owned % 64)
+        yield from index.flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            packed = np.array(batch.column("entries").is_valid())
-            plain = batch.filter(pa.array(~packed))
-            if plain.num_rows:
-                yield record(**{c: plain.column(c) for c in ("bucket", "doc", "n", "set", "entry")})
-            for e, s, f in zip(*(batch.filter(pa.array(packed)).column(c).to_pylist() for c in ("entries", "sets", "flags")), strict=True):
-                held.append((np.frombuffer(e, np.uint64), np.frombuffer(s, np.int64), np.frombuffer(f, bool)))
-        if held:
-            entry, owner, flag = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(entry)
-            entry, owner, flag = entry[order], owner[order], flag[order]
-            at = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-            ends = np.append(at[1:], len(entry))
-            own = np.repeat((np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)) | np.logical_or.reduceat(flag, at), ends - at)
-            yield from shared(entry[own], owner[own])
-
-    def shared(entry: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(entry), 50_000):
-            e = entry[a : a + 50_000]
-            yield record(bucket=(e % np.uint64(buckets)).astype(np.int32), set=owner[a : a + 50_000], entry=e.view(np.int64))
-
-    types = {"bucket": pa.int32(), "doc": pa.int64(), "n": pa.int64(), "set": pa.int64(), "entry": pa.int64(), "entries": pa.binary(), "sets": pa.binary(), "flags": pa.binary()}
-
-    def record(**columns: object) -> pa.RecordBatch:
-        n = len(columns["bucket"])
-        arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()]
-        return pa.RecordBatch.from_arrays(arrays, names=list(types))
-
-    schema = "bucket int, doc long, n long, set long, entry long, entries binary, sets binary, flags binary"
-    found = df.mapInArrow(scan, schema).repartition(buckets, "bucket").mapInArrow(gather, schema)
-    return settle(found.select("doc", "n", "set", "entry"), "entries")
-
-
-def odd_sketch(values: np.ndarray) -> bytes:
-    """The parity of the number of values in each cell; cells grow with the set, up to 8192 bits. Sketches of two
-    sets, folded to one size, differ in no more bits than the sets differ in elements."""
-    cells = 1 << min(13, max(8, int(2 * len(values) - 1).bit_length()))
-    return np.packbits(np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of elements in which the sketched sets differ."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, size = int.from_bytes(a, "big"), len(a)
-    while size > len(b):
-        # cell i of the half size holds cells i and i + half
-        size //= 2
-        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
-    return (x ^ int.from_bytes(b, "big")).bit_count()
-
-
-def prepared(texts: DataFrame, k: int, own_ids: bool = False) -> DataFrame:
-    """Written (set, text, n, sketch), one row per set; own_ids: only texts whose set has that identity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed: list[dict] = []
         for batch in batches:
-            for part in pieces(batch, "text"):
-                values, at = shingle_sets(part.column("text"), k)
-                sketches = [odd_sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column("set"), part.column("text"), pa.array(np.diff(at)), pa.array(sketches, pa.binary())], names=["set", "text", "n", "sketch"])
-                yield out.filter(pa.array(digests(values, at).view(np.int64) == part.column("set").to_numpy())) if own_ids else out
-
-    return settle(texts.select("set", "text").mapInArrow(run, "set long, text string, n long, sketch binary").dropDuplicates(["set"]), "texts")
-
-
-def own_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(set, text) of texts: the identity of each one's set."""
+            own = pc.is_valid(batch.column("steps"))
+            packed += batch.filter(own).select(list(PACKED)).to_pylist()
+            yield batch.filter(pc.invert(own)).select(plain)
+        for out in Index(types, buckets, small).gather(packed, by_members=True):
+            yield out.select(plain)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                values, at = shingle_sets(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([pa.array(digests(values, at).view(np.int64)), part.column("text")], names=["set", "text"])
-
-    return texts.select("text").mapInArrow(run, "set long, text string")
-
-
-def possible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out; exact, as both only bound the difference from below."""
-    sides = [texts.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
-    asked = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
-            keep = [least_difference(sa, sb) * (100 + percent) <= (na + nb) * (100 - percent) for na, nb, sa, sb in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return settle(asked.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long"), "possible")
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
+    schemas = [", ".join(f"{c} {names[t]}" for c, t in kind.items()) for kind in (types, {c: types[c] for c in plain})]
+    return settle(df.mapInArrow(scan, schemas[0]).repartition(buckets, "bucket").mapInArrow(gather, schemas[1]), "entries")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of the pairs whose sets link. texts: as prepared.
+    """The (a, b) of the pairs whose sets link. texts: (set, text), one row per set.
 
-    Sketches rule out most pairs that do not. Of the rest, each b is a leader: its text meets
-    those of its a's in tasks of about MEMBERS, whatever the number of a's, and a task holds
-    the leader's set and one batch.
+    Each b is a leader: its text meets those of its a's in tasks of about MEMBERS, whatever the
+    number of a's, and a task holds the leader's set and one batch.
     """
-    pairs = possible(pairs, texts, percent)
-    texts = texts.select("set", "text")
     counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     dealt = pairs.join(counts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     members = dealt.join(texts.withColumnRenamed("set", "a"), "a").select("b", "part", F.lit(1).alias("rank"), "a", "text")
@@ -313,123 +214,116 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def infrequent(rows: DataFrame) -> DataFrame:
+    """(grp, set) of rows (grp, set, info) without the entries that their sets may drop: the most frequent of a scheme."""
+    rows = rows.distinct()
+    sized = rows.join(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
+    drops = F.col("info") % 32
+    order = Window.partitionBy("set", "info").orderBy(F.desc("size"), "grp")
+    return sized.withColumn("_rank", F.row_number().over(order)).where((drops == 0) | (F.col("_rank") > drops)).select("grp", "set").distinct()
+
+
+def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the sets that link with others, given groups (grp, set) of a few and of many, and sets (set, n, sketch).
+
+    verify(pairs of (a, b)) returns those that link. In each round a set asks some of the earlier
+    ones of its groups that sketches let pass, nearest first, four times as many as in the round
+    before; what links is contracted, and pairs within a component are not asked again. Sets of
+    large groups first ask a leader or two only, so that a group of copies costs about a
+    comparison a set. Rounds end when no group holds an untried pair of different components.
+    """
+    links: DataFrame | None = None
+    labels: DataFrame | None = None
+    few: DataFrame | None = small
+    crowd: DataFrame | None = None
+    turn, low, high = 0, 0, 1
+
+    def marked(groups: DataFrame) -> DataFrame:
+        if labels is None:
+            return groups.withColumn("mark", F.col("set"))
+        placed = groups.join(labels.withColumnRenamed("node", "_node"), F.col("set") == F.col("_node"), "left")
+        return placed.withColumn("mark", F.coalesce("component", "set")).drop("_node", "component")
+
+    def still_open(groups: DataFrame) -> DataFrame:
+        ends = groups.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
+        return groups.join(ends.select("grp"), "grp", "left_semi")
+
+    def asked(groups: DataFrame, first: int) -> DataFrame:
+        rows = marked(groups)
+        rows = units(rows if labels is None else still_open(rows), block).join(sets.select("set", "n", "sketch"), "set")
+        return compared(rows.withColumn("done", F.lit(False)).withColumn("extra", F.lit(0)), percent, first, high, ["set"])
+
+    def led(groups: DataFrame) -> DataFrame:
+        placed = marked(groups)
+        order = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), F.col("set").alias("set"), F.col("mark").alias("mark"))
+        heads = placed.groupBy("grp").agg(F.min(order).alias("head"))
+        pairs = placed.join(heads, "grp").where(F.col("mark") != F.col("head.mark")).select(F.col("set").alias("a"), F.col("head.set").alias("b")).distinct()
+        return possible(pairs, sets, percent).withColumn("grp", F.lit(None).cast("long"))
+
+    while True:
+        parts = [] if few is None else [asked(few, low)]
+        if turn < LEADERS:
+            parts.append(led(hot))
+        elif turn == LEADERS:
+            parts.append(asked(hot, 0))
+        elif crowd is not None:
+            parts.append(asked(crowd, low))
+        if not parts:
+            break
+        found = settle(reduce(DataFrame.unionAll, parts), "pairs")
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            fresh = verify(pairs)
+            links = fresh if links is None else links.unionAll(fresh)
+            labels = components(links, "a", "b")
+        more = found.where("a IS NULL").select("grp").distinct()
+        few = None if few is None or more.isEmpty() else settle(few.join(more, "grp", "left_semi"), "few")
+        if turn >= LEADERS:
+            crowd = None if more.isEmpty() else settle(hot.join(more, "grp", "left_semi"), "crowd")
+        turn, low, high = turn + 1, high, 4 * high
+    if labels is None:
+        return small.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0)
+    return labels
+
+
 @scratched
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, few: int = SMALL) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the set's size and the smallest key reachable by links.
 
     Two rows link when 100 * intersection >= percent * union of their sets of k-word shingles;
     with fewer words the whole sequence is the one shingle; rows without words or text have
     size 0 and link with nothing. Rows with equal sets link. Null keys link like any other; a
     component of null keys alone has a null id. All links are found; copies are not expanded into pairs.
+    block and few only set how groups are dealt out.
     """
     spark = df.sparkSession
     small_batches(spark)
     own = df.select(df[key].cast("long").alias("doc"), df[text].cast("string").alias("text"))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = candidates(own, k, percent, buckets)
-    docs = rows.where(F.col("entry").isNull()).select("doc", "n", "set")
-    groups = rows.where(F.col("entry").isNotNull()).select("set", "entry").distinct()
-    sets = docs.where("n > 0").groupBy("set").agg(F.min("doc").alias("doc"))
-    wanted = groups.select("set").distinct().join(sets, "set")
-    asked = own.join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc")).select("set", "text")
-    # sets of null keys only have no key to ask by, so these rows are shingled again
-    unkeyed = own_sets(own.where("doc IS NULL AND text IS NOT NULL"), k).join(wanted.where("doc IS NULL").select("set"), "set")
-    asked = asked.unionByName(unkeyed.select("set", "text"))
-
-    # a key that several rows have brings other texts along
-    texts = prepared(asked, k, own_ids=True)
-    groups = settle(groups, "groups")
-    home = families(groups, "entry")
-    small = family_links(home.where(F.col("members") <= FAMILY).join(texts.select("set", "text"), "set").withColumn("place", F.col("set")), k, percent)
-    crowd = settle(home.where(F.col("members") > FAMILY).select("set"), "crowd")
-    labels = small.select(F.col("a").alias("node"), F.col("root").alias("component"))
-    if not crowd.isEmpty():
-        labels = labels.union(connect(groups.join(crowd, "set", "left_semi"), lambda pairs: verified(pairs, texts, k, percent)))
-    least = sets.join(labels, sets["set"] == labels["node"], "left").select(sets["set"], "doc", F.coalesce("component", "set").alias("component"))
-    named = least.join(least.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select(F.col("set").alias("_set"), "component_id")
-    out = docs.join(named, (F.col("set") == F.col("_set")) & (F.col("n") > 0), "left")
+    own = own.withColumn("rid", F.xxhash64("doc", "text"))
+    rows = candidates(own, k, percent, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), few)
+    docs = rows.where(F.col("grp").isNull()).select("doc", "rid", "n", "set", "sketch")
+    sets = settle(docs.where("n > 0").groupBy("set").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "rid")).alias("at"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
+    groups = rows.where(F.col("grp").isNotNull())
+    small = settle(groups.where(~F.col("hot")).select("grp", "set").distinct(), "small")
+    hot = settle(infrequent(groups.where("hot").select("grp", "set", "info")), "hot")
+    keyed = own.withColumnRenamed("rid", "_rid").withColumnRenamed("doc", "_doc")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets, "set").select("set", "at.doc", "at.rid")
+        texts = keyed.join(wanted, (F.col("_rid") == F.col("rid")) & F.col("_doc").eqNullSafe(F.col("doc")))
+        fetched = settle(texts.select("set", "text").dropDuplicates(["set"]), "texts")
+        found = settle(verified(pairs, fetched, k, percent), "verified")
+        forget(fetched)
+        return found
+
+    labels = connections(small, hot, sets, verify, percent, block)
+    # a component may hold a large part of all sets: its least key comes from partial minima and goes back salted
+    named = settle(labels.join(sets.select("set", F.col("least").alias("doc")), F.col("node") == F.col("set")).select("node", "component", "doc", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")), "named")
+    extra = labels.select("component").distinct().join(sets.select("set", F.col("least").alias("doc")), F.col("component") == F.col("set")).select("component", "doc")
+    least = named.select("component", "doc").union(extra).groupBy("component").agg(F.min("doc").alias("component_id"))
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ids = named.join(salted, ["component", "salt"]).select("node", "component_id").union(least.select("component", "component_id"))
+    least_doc = sets.select("set", F.col("least").alias("doc")).join(ids, F.col("set") == F.col("node"), "left")
+    named_sets = least_doc.select(F.col("set").alias("_set"), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    out = docs.select("doc", "n", "set").join(named_sets, (F.col("set") == F.col("_set")) & (F.col("n") > 0), "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
-
-
-@scratched
-def families(groups: DataFrame, entry: str) -> DataFrame:
-    """(set, family, members) of the sets of groups (set, entry) that share an entry with another, directly or by others."""
-    heads = groups.groupBy(entry).agg(F.min("set").alias("head"))
-    labels = components(groups.join(heads, entry).where(F.col("set") != F.col("head")).select("set", "head"), "set", "head")
-    named = settle(labels.union(labels.select(F.col("component").alias("node"), "component").distinct()), "families")
-    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    return named.join(sizes, "component").select(F.col("node").alias("set"), F.col("component").alias("family"), "members")
-
-
-def connected(values: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """Of each set the number of the first set that links connect it with.
-
-    Each set in turn asks those before it that sizes and sketches, compared all at once, do not
-    rule out, and stops asking the sets of a component when one of them links. So every link
-    between components is found, copies cost one comparison each, and no pairs are listed.
-    """
-    n, size = len(at) - 1, np.diff(at)
-    sketches = np.zeros((n, _CELLS // 8), np.uint8)
-    for i in range(n):
-        own = (values[at[i] : at[i + 1]] & np.uint64(_CELLS - 1)).astype(np.int64)
-        sketches[i] = np.packbits((np.bincount(own, minlength=_CELLS) & 1).astype(np.uint8))
-    sketches = sketches.view(np.uint64)
-    label = np.arange(n)
-    for i in range(1, n):
-        if not size[i]:
-            continue
-        apart = np.bitwise_count(sketches[:i] ^ sketches[i]).sum(1, dtype=np.int64)
-        ok = (apart * (100 + percent) <= (size[:i] + size[i]) * (100 - percent)) & (np.minimum(size[:i], size[i]) * 100 >= np.maximum(size[:i], size[i]) * percent)
-        asked = np.flatnonzero(ok)
-        mine = values[at[i] : at[i + 1]]
-        while len(asked):
-            j, asked = asked[0], asked[1:]
-            other = values[at[j] : at[j + 1]]
-            place = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-            both = int((other[place] == mine).sum())
-            if both * 100 >= percent * (len(mine) + len(other) - both):
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
-                asked = asked[label[asked] != low]
-    return label
-
-
-def by_family(members: DataFrame, k: int, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """What judge(ids, values, starts) makes of each family's sets, in the order of place. members: (family, place, set, text); a family is held whole."""
-
-    def judged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ids, values, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-        return judge(ids, values, np.concatenate([[0], np.cumsum(sizes)]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        last = None
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                family, ids = part.column("family").to_numpy(), part.column("set").to_numpy()
-                values, at = shingle_sets(part.column("text"), k)
-                sizes = np.diff(at)
-                cuts = np.flatnonzero(family[1:] != family[:-1]) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(family)], strict=True):
-                    if held and family[a] != last:
-                        yield judged(held)
-                        held = []
-                    held.append((ids[a:b], values[at[a] : at[b]], sizes[a:b]))
-                    last = family[a]
-        if held:
-            yield judged(held)
-
-    dealt = members.select("family", "place", "set", "text").repartition("family").sortWithinPartitions("family", "place")
-    return settle(dealt.mapInArrow(run, schema), "judged")
-
-
-def family_links(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, root) of each set that links within its family: the least set it is connected with."""
-
-    def judge(ids: np.ndarray, values: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        first = connected(values, at, percent)
-        own = np.flatnonzero(np.bincount(first, minlength=len(first))[first] > 1)
-        nodes, roots = ids[own], ids[first[own]]
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "root"])
-
-    return by_family(members, k, judge, "a long, root long")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, embeddings, language, lines, media, mixing, ngrams, packing, queries, repeats, urls
+from millrace.llm import chat, embeddings, groups, language, lines, media, mixing, ngrams, packing, queries, repeats, urls
 from millrace.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -165,12 +165,11 @@ def line_cases():
     return [*out, (60, None), (61, "\n\n"), (62, "Ünï"), (63, "ünï")]
 
 
-@pytest.mark.parametrize("family", [512, 2])
-def test_lines_against_brute_force(spark, family, monkeypatch):
-    monkeypatch.setattr(lines, "FAMILY", family)
+@pytest.mark.parametrize("few", [16, 1])
+def test_lines_against_brute_force(spark, few):
     rows = line_cases()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_removed string").repartition(4)
-    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == brute_lines(rows)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df, few=few, block=2048 if few > 1 else 5).collect()} == brute_lines(rows)
 
 
 def test_lines_odd_rows(spark):
@@ -379,13 +378,12 @@ def ngram_cases():
     return [*rows, (200, None), (201, ""), (202, " \n "), (203, "É é"), (204, "é É")]
 
 
-@pytest.mark.parametrize("family", [512, 2])
+@pytest.mark.parametrize("few", [16, 1])
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_ngrams_against_brute_force(spark, family, k, percent, monkeypatch):
-    monkeypatch.setattr(ngrams, "FAMILY", family)
+def test_ngrams_against_brute_force(spark, few, k, percent):
     rows = ngram_cases()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(4)
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.near_duplicates(df, k=k, percent=percent).collect()}
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.near_duplicates(df, k=k, percent=percent, few=few, block=2048 if few > 1 else 5).collect()}
     assert out == brute_ngrams(rows, k, percent)
 
 
@@ -406,10 +404,10 @@ def test_ngrams_odd_rows(spark):
 def test_allocation_covers_the_largest_difference():
     firsts = ngrams.bands(80)
     for band in range(30):
-        m, twos, spare = ngrams.allocation(band, 80)
+        m, twos, spare, drops = ngrams.allocation(band, 80)
         most = firsts[band + 2] - 1
         apart = 2 * most * 20 // 180
-        assert (m == 0) == (apart == 0) and (not m or m + twos >= apart + 1 + spare)
+        assert (m == 0) == (apart == 0) and (not m or m + twos >= apart + 1 + spare + drops)
     for n in range(1, 3000):
         band = np.searchsorted(firsts, n, "right") - 1
         assert n * 100 // 80 < firsts[band + 2]
@@ -420,7 +418,19 @@ def test_allocation_covers_the_largest_difference():
 def test_sketches_never_exceed_the_difference(a, extra, cut):
     b = set(sorted(a)[cut:]) | extra or {1}
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-    assert ngrams.least_difference(ngrams.odd_sketch(x), ngrams.odd_sketch(y)) <= len(a ^ b)
+    sketches = groups.Sketches(groups.odd_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])))
+    assert sketches.apart(np.array([0]), sketches, np.array([1]))[0] <= len(a ^ b)
+
+
+def test_hot_groups_drop_their_most_frequent_entries(spark):
+    """A set drops as many frequent entries as its scheme allows, and the rest still joins all linked sets."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(common + [f"u{i}w{j}" for j in range(rng.randint(30, 60))]) for i in range(90)]
+    texts += [t.replace(f"u{i}w3", "other") for i, t in enumerate(texts[:30])]
+    rows = list(enumerate(texts))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=16).collect()}
+    assert out == brute_ngrams(rows, 5, 80)
 
 
 # ---- 9 language
