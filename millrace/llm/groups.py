@@ -255,6 +255,11 @@ def units(groups: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.withColumn("unit", F.xxhash64("grp", F.least("part", "_other"), F.greatest("part", "_other"))).drop("_other")
 
 
+def span(turn: int) -> tuple[int, int]:
+    """The answers of a set that a round hands on: the first, then the next three, the next twelve and so on."""
+    return (4 ** (turn - 1) if turn else 0), 4**turn
+
+
 def compared(members: DataFrame, percent: int, low: int, high: int, order: list[str], positional: bool = False) -> DataFrame:
     """(a, b, grp): pairs that sketches let pass and that are not settled; and rows with only grp of groups with more of them.
 

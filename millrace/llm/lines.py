@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, cells_of, compared, odd_sketches, possible, record, units
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, cells_of, compared, odd_sketches, possible, record, span, units
 from millrace.llm.ngrams import digests, verified
 from millrace.session import forget, scratched, settle
 
@@ -251,16 +251,16 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, verify: Callab
     found: DataFrame | None = None
     few: DataFrame | None = small
     crowd: DataFrame | None = hot
-    turn, low, high = 0, 0, 1
+    turn = 0
     earlier = F.struct("doc", "rid", "line")
 
-    def asked(groups: DataFrame, first: int) -> DataFrame:
+    def asked(groups: DataFrame, low: int, high: int) -> DataFrame:
         rows = units(groups, block).join(firsts, "set").withColumn("mark", F.col("set"))
         if found is None:
             rows = rows.withColumn("done", F.lit(False))
         else:
             rows = rows.join(found.select(F.col("a").alias("_a")), F.col("set") == F.col("_a"), "left").withColumn("done", F.col("_a").isNotNull())
-        return compared(rows, percent, first, high, ["doc", "rid", "line"], positional=True)
+        return compared(rows, percent, low, high, ["doc", "rid", "line"], positional=True)
 
     def led(groups: DataFrame) -> DataFrame:
         rows = groups.join(firsts.select("set", earlier.alias("first")), "set")
@@ -271,11 +271,11 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, verify: Callab
         return possible(pairs, firsts, percent).withColumn("grp", F.lit(None).cast("long"))
 
     while True:
-        parts = [] if few is None else [asked(few, low)]
+        parts = [] if few is None else [asked(few, *span(turn))]
         if turn == 0:
             parts.append(led(hot))
         elif crowd is not None:
-            parts.append(asked(crowd, 0 if turn == 1 else low))
+            parts.append(asked(crowd, *span(turn - 1)))
         if not parts:
             break
         pairs = settle(reduce(DataFrame.unionAll, parts), "pairs")
@@ -288,7 +288,7 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, verify: Callab
         few = None if few is None or more is None else settle(few.join(more, "grp", "left_semi"), "few")
         if turn:
             crowd = None if more is None else settle(hot.join(more, "grp", "left_semi"), "crowd")
-        turn, low, high = turn + 1, high, 4 * high
+        turn += 1
     return firsts.select(F.col("set").alias("a")).limit(0) if found is None else found
 
 
@@ -313,7 +313,8 @@ def _removed(own: DataFrame, k: int, percent: int, block: int, few: int) -> Data
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(firsts, "set")
-        asked = wanted.groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked"))
+        # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
+        asked = settle(wanted.groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked")), "asked")
         texts = own.join(asked, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
         fetched = settle(texts.mapInArrow(cut, "set long, text string").dropDuplicates(["set"]), "texts")
         found = settle(verified(pairs, fetched, k, percent), "verified")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, compared, odd_sketches, possible, record, units
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, compared, odd_sketches, possible, record, span, units
 from millrace.operators.components import components
 from millrace.session import forget, scratched, settle
 
@@ -235,8 +235,8 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Calla
     links: DataFrame | None = None
     labels: DataFrame | None = None
     few: DataFrame | None = small
-    crowd: DataFrame | None = None
-    turn, low, high = 0, 0, 1
+    crowd: DataFrame | None = hot
+    turn = 0
 
     def marked(groups: DataFrame) -> DataFrame:
         if labels is None:
@@ -248,10 +248,10 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Calla
         ends = groups.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
         return groups.join(ends.select("grp"), "grp", "left_semi")
 
-    def asked(groups: DataFrame, first: int) -> DataFrame:
+    def asked(groups: DataFrame, low: int, high: int) -> DataFrame:
         rows = marked(groups)
         rows = units(rows if labels is None else still_open(rows), block).join(sets.select("set", "n", "sketch"), "set")
-        return compared(rows.withColumn("done", F.lit(False)).withColumn("extra", F.lit(0)), percent, first, high, ["set"])
+        return compared(rows.withColumn("done", F.lit(False)).withColumn("extra", F.lit(0)), percent, low, high, ["set"])
 
     def led(groups: DataFrame) -> DataFrame:
         placed = marked(groups)
@@ -261,13 +261,11 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Calla
         return possible(pairs, sets, percent).withColumn("grp", F.lit(None).cast("long"))
 
     while True:
-        parts = [] if few is None else [asked(few, low)]
+        parts = [] if few is None else [asked(few, *span(turn))]
         if turn < LEADERS:
             parts.append(led(hot))
-        elif turn == LEADERS:
-            parts.append(asked(hot, 0))
         elif crowd is not None:
-            parts.append(asked(crowd, low))
+            parts.append(asked(crowd, *span(turn - LEADERS)))
         if not parts:
             break
         found = settle(reduce(DataFrame.unionAll, parts), "pairs")
@@ -280,7 +278,7 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Calla
         few = None if few is None or more.isEmpty() else settle(few.join(more, "grp", "left_semi"), "few")
         if turn >= LEADERS:
             crowd = None if more.isEmpty() else settle(hot.join(more, "grp", "left_semi"), "crowd")
-        turn, low, high = turn + 1, high, 4 * high
+        turn += 1
     if labels is None:
         return small.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0)
     return labels
@@ -309,7 +307,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     keyed = own.withColumnRenamed("rid", "_rid").withColumnRenamed("doc", "_doc")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets, "set").select("set", "at.doc", "at.rid")
+        # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
+        wanted = settle(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets, "set").select("set", "at.doc", "at.rid"), "wanted")
         texts = keyed.join(wanted, (F.col("_rid") == F.col("rid")) & F.col("_doc").eqNullSafe(F.col("doc")))
         fetched = settle(texts.select("set", "text").dropDuplicates(["set"]), "texts")
         found = settle(verified(pairs, fetched, k, percent), "verified")
