@@ -107,20 +107,47 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(within ^ (end - begin).astype(np.uint64))
 
 
+_PLACES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of k words of each row, in order, and their rows; a row with 1 to k - 1 words has one, of them all."""
     counts = np.bincount(rows, minlength=n_rows)
     first = np.cumsum(counts) - counts
     per = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
-    begin = spread(first, per)
     row = np.repeat(np.arange(n_rows), per)
-    length = np.minimum(counts[row], k)
-    out = mix(length.astype(np.uint64))
+    if not len(row):
+        return np.zeros(0, np.uint64), row
+    begin = spread(first, per)
+    width = max(0, len(hashes) - k + 1)
+    # sums of all runs of k words, whichever row they are of; of these, each row takes its own
+    total = np.zeros(len(hashes), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            there = length > i
-            out = np.where(there, mix(out * np.uint64(3) + hashes[np.minimum(begin + i, max(len(hashes) - 1, 0))]) if len(hashes) else out, out)
-    return out, row
+            total[:width] += hashes[i : i + width] * _PLACES[i]
+        short = np.flatnonzero((counts > 0) & (counts < k))
+        total[first[short]] = counts[short].astype(np.uint64) << np.uint64(32)
+        for i in range(k - 1):
+            own = short[counts[short] > i]
+            total[first[own]] += hashes[first[own] + i] * _PLACES[i]
+    return mix(total[begin]), row
+
+
+def least_of_runs(values: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> np.ndarray:
+    """The least value of each run that shingles() hashes."""
+    counts = np.bincount(rows, minlength=n_rows)
+    first = np.cumsum(counts) - counts
+    per = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
+    least = values.copy()
+    width = max(0, len(values) - k + 1)
+    for i in range(1, k):
+        np.minimum(least[:width], values[i : i + width], out=least[:width])
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    least[first[short]] = values[first[short]]
+    for i in range(1, k - 1):
+        own = short[counts[short] > i]
+        least[first[own]] = np.minimum(least[first[own]], values[first[own] + i])
+    return least[spread(first, per)]
 
 
 def distinct_sets(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

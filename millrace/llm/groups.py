@@ -255,19 +255,21 @@ def units(groups: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.withColumn("unit", F.xxhash64("grp", F.least("part", "_other"), F.greatest("part", "_other"))).drop("_other")
 
 
-def span(turn: int) -> tuple[int, int]:
-    """The answers of a set that a round hands on: the first, then the next three, the next twelve and so on."""
-    return (4 ** (turn - 1) if turn else 0), 4**turn
+def alone(groups: DataFrame) -> DataFrame:
+    """The same for groups of at most a block."""
+    return groups.withColumn("part", F.lit(0)).withColumn("unit", F.col("grp"))
 
 
-def compared(members: DataFrame, percent: int, low: int, high: int, order: list[str], positional: bool = False) -> DataFrame:
-    """(a, b, grp): pairs that sketches let pass and that are not settled; and rows with only grp of groups with more of them.
+def compared(members: DataFrame, percent: int, turn: int, order: list[str], positional: bool = False) -> DataFrame:
+    """(a, b, grp): pairs that sketches let pass and that are not settled; rows with only grp of groups with more of
+    them; and in the first turn rows with only a of all sets in pairs that sketches let pass.
 
-    members: (unit, grp, blocks, part, set, n, sketch, mark, done, extra) and what ``order`` names. Within
-    a unit each set asks those before it, nearest first, and its answers from ``low`` to ``high`` are handed
-    on, but for sets with the same mark, and none if it is done. Blocks of two parts are only compared with one another,
-    or each with itself. positional: extra is the place of the shared token in its set, which bounds the overlap.
+    members: (unit, grp, part, set, n, sketch, mark, done, extra) and what ``order`` names. Within a unit
+    each set asks those before it, nearest first. The first turn hands on its first answer, the next ones
+    its next seven, its next 56 and so on, but for sets with the same mark, and none if it is done. Sets of two
+    parts are only compared across these. positional: extra is the place of the shared token in its set, which bounds the overlap.
     """
+    low, high = 8 ** (turn - 1) if turn else 0, 8**turn
 
     def judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
@@ -280,7 +282,7 @@ def compared(members: DataFrame, percent: int, low: int, high: int, order: list[
         two = np.repeat(np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at), sizes)
         before = np.arange(len(unit)) - start
         ends = np.cumsum(before)
-        a, more = 0, []
+        a, more, seen = 0, [], []
         while a < len(unit):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
             asks = np.arange(a, b)[~done[a:b]]
@@ -299,10 +301,13 @@ def compared(members: DataFrame, percent: int, low: int, high: int, order: list[
             now = open_ & (rank >= low) & (rank < high)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i[now]]), pa.array(ids[j[now]]), pa.array(grp[i[now]])], names=["a", "b", "grp"])
             more.append(grp[i[open_ & (rank >= high)]])
+            if not turn:
+                seen.append(np.unique(ids[np.concatenate([i, j])]))
             a = b
         left = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
-        if len(left):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int64()), pa.array(left)], names=["a", "b", "grp"])
+        for own, n_th in ((np.unique(np.concatenate(seen)) if seen else left[:0], 0), (left, 2)):
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(own) if c == n_th else pa.nulls(len(own), pa.int64()) for c in range(3)], names=["a", "b", "grp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

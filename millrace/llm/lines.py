@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, cells_of, compared, odd_sketches, possible, record, span, units
+from millrace.llm.common import LOWER, distinct_sets, least_of_runs, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, odd_sketches, possible, record, units
 from millrace.llm.ngrams import digests, verified
-from millrace.session import forget, scratched, settle
+from millrace.session import scratched, settle
 
 #: Corpus counts of words are kept in so many cells, and as eighths of their binary logarithm.
 CELLS = 1 << 16
@@ -77,15 +77,7 @@ def token_sets(data: np.ndarray, at: np.ndarray, k: int, rarity: np.ndarray) ->
     grams, rows = shingles(hashes, row, len(at) - 1, k)
     if not len(grams):
         return grams, np.zeros(len(at), np.int64)
-    counts = np.bincount(row, minlength=len(at) - 1)
-    first = np.cumsum(counts) - counts
-    per = np.bincount(rows, minlength=len(at) - 1)
-    begin = np.repeat(first, per) + np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
-    length = np.minimum(counts[rows], k)
-    own = rarity[hashes & np.uint64(CELLS - 1)]
-    least = own[begin]
-    for i in range(1, k):
-        least = np.where(length > i, np.minimum(least, own[np.minimum(begin + i, len(own) - 1)]), least)
+    least = least_of_runs(rarity[hashes & np.uint64(CELLS - 1)], row, len(at) - 1, k)
     return distinct_sets((least.astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8)), rows, len(at) - 1)
 
 
@@ -240,54 +232,54 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
     return settle(df.mapInArrow(scan, schemas[0]).repartition(buckets, "bucket").mapInArrow(gather, schemas[1]), "lines")
 
 
-def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
+def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame], DataFrame], k: int, percent: int, block: int) -> DataFrame:
     """(set) of the sets with an earlier similar one. small, hot: groups (grp, set, info, extra); firsts: (set, n, doc, rid, line, sketch).
+    fetch(set) returns the (set, text) of those, once, for all sets that sketches let pass.
 
     In each round a set asks some of the earlier ones of its groups that sizes, places and
-    sketches let pass, nearest first, four times as many as in the round before, until it is
+    sketches let pass, nearest first, eight times as many as in the round before, until it is
     found to go. Sets of large groups first ask the earliest of them only. Rounds end when
     no group holds an untried pair whose later set stays so far.
     """
     found: DataFrame | None = None
     few: DataFrame | None = small
     crowd: DataFrame | None = hot
+    texts: DataFrame | None = None
     turn = 0
-    earlier = F.struct("doc", "rid", "line")
 
-    def asked(groups: DataFrame, low: int, high: int) -> DataFrame:
-        rows = units(groups, block).join(firsts, "set").withColumn("mark", F.col("set"))
+    def asked(rows: DataFrame, at: int) -> DataFrame:
+        rows = rows.join(firsts, "set").withColumn("mark", F.col("set"))
         if found is None:
             rows = rows.withColumn("done", F.lit(False))
         else:
             rows = rows.join(found.select(F.col("a").alias("_a")), F.col("set") == F.col("_a"), "left").withColumn("done", F.col("_a").isNotNull())
-        return compared(rows, percent, low, high, ["doc", "rid", "line"], positional=True)
+        return compared(rows, percent, at, ["doc", "rid", "line"], positional=True)
 
     def led(groups: DataFrame) -> DataFrame:
-        rows = groups.join(firsts.select("set", earlier.alias("first")), "set")
+        rows = groups.join(firsts.select("set", F.struct("doc", "rid", "line").alias("first")), "set")
         heads = rows.groupBy("grp").agg(F.min(F.struct("first", "set", "info", "extra")).alias("y"))
         most = F.least(F.col("info") - F.col("extra"), F.col("y.info") - F.col("y.extra"))
         pairs = rows.join(heads, "grp").where((F.col("first") > F.col("y.first")) & (most * (100 + percent) >= (F.col("info") + F.col("y.info")) * percent))
         pairs = pairs.select(F.col("set").alias("a"), F.col("y.set").alias("b")).distinct()
         return possible(pairs, firsts, percent).withColumn("grp", F.lit(None).cast("long"))
 
-    while True:
-        parts = [] if few is None else [asked(few, *span(turn))]
+    while few is not None or crowd is not None:
+        parts = [] if few is None else [asked(alone(few), turn)]
         if turn == 0:
             parts.append(led(hot))
         elif crowd is not None:
-            parts.append(asked(crowd, *span(turn - 1)))
-        if not parts:
-            break
+            parts.append(asked(units(crowd, block), turn - 1))
         pairs = settle(reduce(DataFrame.unionAll, parts), "pairs")
+        if texts is None:
+            texts = fetch(pairs.where("a IS NOT NULL").select(F.col("a").alias("set")).union(hot.select("set")).distinct())
         more = pairs.where("a IS NULL").select("grp").distinct()
-        pairs = pairs.where("a IS NOT NULL").select("a", "b").distinct()
-        if not pairs.isEmpty():
-            fresh = verify(pairs).select("a").distinct()
-            found = settle(fresh if found is None else found.union(fresh).distinct(), "found")
-        more = None if more.isEmpty() else more
-        few = None if few is None or more is None else settle(few.join(more, "grp", "left_semi"), "few")
+        n_pairs, n_more = pairs.agg(F.count("b"), F.count(F.when(F.col("a").isNull(), 1))).first()
+        if n_pairs:
+            links = verified(pairs.where("b IS NOT NULL").select("a", "b").distinct(), texts, k, percent).select("a")
+            found = settle((links if found is None else found.unionAll(links)).distinct(), "found")
+        few = None if few is None or not n_more else small.join(more, "grp", "left_semi")
         if turn:
-            crowd = None if more is None else settle(hot.join(more, "grp", "left_semi"), "crowd")
+            crowd = None if not n_more else hot.join(more, "grp", "left_semi")
         turn += 1
     return firsts.select(F.col("set").alias("a")).limit(0) if found is None else found
 
@@ -311,17 +303,13 @@ def _removed(own: DataFrame, k: int, percent: int, block: int, few: int) -> Data
                 lines = [data[at[x["line"]] : at[x["line"] + 1]].tobytes().decode("utf-8", "surrogateescape").rstrip("\n") for x in asked]
                 yield pa.RecordBatch.from_arrays([pa.array([x["set"] for x in asked], pa.int64()), pa.array(lines, pa.string())], names=["set", "text"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(firsts, "set")
+    def fetch(wanted: DataFrame) -> DataFrame:
         # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
-        asked = settle(wanted.groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked")), "asked")
-        texts = own.join(asked, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
-        fetched = settle(texts.mapInArrow(cut, "set long, text string").dropDuplicates(["set"]), "texts")
-        found = settle(verified(pairs, fetched, k, percent), "verified")
-        forget(fetched)
-        return found
-
-    similar = _similar(small, hot, firsts, verify, percent, block)
+        wanted = settle(wanted.join(firsts, "set").groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked")), "asked")
+        texts = own.join(wanted, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
+        return settle(texts.mapInArrow(cut, "set long, text string").dropDuplicates(["set"]), "texts")
+
+    similar = _similar(small, hot, firsts, fetch, k, percent, block)
     last = firsts.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left_semi").groupBy("rid").agg(F.collect_list("line").alias("gone"))
     return gone.union(last).groupBy(F.col("rid").alias("_rid")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
 

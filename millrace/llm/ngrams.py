@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, compared, odd_sketches, possible, record, span, units
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, odd_sketches, possible, record, units
 from millrace.operators.components import components
-from millrace.session import forget, scratched, settle
+from millrace.session import scratched, settle
 
 #: Sets that the allocation expects in a scheme, the weight of false candidates in its cost.
 EXPECTED_SETS = 100_000
@@ -223,17 +223,19 @@ def infrequent(rows: DataFrame) -> DataFrame:
     return sized.withColumn("_rank", F.row_number().over(order)).where((drops == 0) | (F.col("_rank") > drops)).select("grp", "set").distinct()
 
 
-def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, block: int = BLOCK) -> DataFrame:
+def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, component) of the sets that link with others, given groups (grp, set) of a few and of many, and sets (set, n, sketch).
 
-    verify(pairs of (a, b)) returns those that link. In each round a set asks some of the earlier
-    ones of its groups that sketches let pass, nearest first, four times as many as in the round
-    before; what links is contracted, and pairs within a component are not asked again. Sets of
-    large groups first ask a leader or two only, so that a group of copies costs about a
-    comparison a set. Rounds end when no group holds an untried pair of different components.
+    fetch(set) returns the (set, text) of those, once, for all sets that sketches let pass. In each
+    round a set asks some of the earlier ones of its groups that sketches let pass, nearest first,
+    eight times as many as in the round before; what links is contracted, and pairs within a
+    component are not asked again. Sets of large groups first ask a leader or two only, so that a
+    group of copies costs about a comparison a set. Rounds end when no group holds an untried pair
+    of different components.
     """
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    texts: DataFrame | None = None
     few: DataFrame | None = small
     crowd: DataFrame | None = hot
     turn = 0
@@ -248,10 +250,9 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Calla
         ends = groups.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
         return groups.join(ends.select("grp"), "grp", "left_semi")
 
-    def asked(groups: DataFrame, low: int, high: int) -> DataFrame:
-        rows = marked(groups)
-        rows = units(rows if labels is None else still_open(rows), block).join(sets.select("set", "n", "sketch"), "set")
-        return compared(rows.withColumn("done", F.lit(False)).withColumn("extra", F.lit(0)), percent, low, high, ["set"])
+    def asked(rows: DataFrame, at: int) -> DataFrame:
+        rows = rows.join(sets.select("set", "n", "sketch"), "set")
+        return compared(rows.withColumn("done", F.lit(False)).withColumn("extra", F.lit(0)), percent, at, ["set"])
 
     def led(groups: DataFrame) -> DataFrame:
         placed = marked(groups)
@@ -260,24 +261,26 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, verify: Calla
         pairs = placed.join(heads, "grp").where(F.col("mark") != F.col("head.mark")).select(F.col("set").alias("a"), F.col("head.set").alias("b")).distinct()
         return possible(pairs, sets, percent).withColumn("grp", F.lit(None).cast("long"))
 
-    while True:
-        parts = [] if few is None else [asked(few, *span(turn))]
+    while few is not None or crowd is not None:
+        parts = []
+        if few is not None:
+            parts.append(asked(alone(marked(few)), turn))
         if turn < LEADERS:
             parts.append(led(hot))
         elif crowd is not None:
-            parts.append(asked(crowd, *span(turn - LEADERS)))
-        if not parts:
-            break
+            parts.append(asked(units(still_open(marked(crowd)), block), turn - LEADERS))
         found = settle(reduce(DataFrame.unionAll, parts), "pairs")
-        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-        if not pairs.isEmpty():
-            fresh = verify(pairs)
+        if texts is None:
+            texts = fetch(found.where("a IS NOT NULL").select(F.col("a").alias("set")).union(hot.select("set")).distinct())
+        more = found.where("a IS NULL").select("grp").distinct()
+        n_pairs, n_more = found.agg(F.count("b"), F.count(F.when(F.col("a").isNull(), 1))).first()
+        if n_pairs:
+            fresh = settle(verified(found.where("b IS NOT NULL").select("a", "b").distinct(), texts, k, percent), "verified")
             links = fresh if links is None else links.unionAll(fresh)
             labels = components(links, "a", "b")
-        more = found.where("a IS NULL").select("grp").distinct()
-        few = None if few is None or more.isEmpty() else settle(few.join(more, "grp", "left_semi"), "few")
+        few = None if few is None or not n_more else small.join(more, "grp", "left_semi")
         if turn >= LEADERS:
-            crowd = None if more.isEmpty() else settle(hot.join(more, "grp", "left_semi"), "crowd")
+            crowd = None if not n_more else hot.join(more, "grp", "left_semi")
         turn += 1
     if labels is None:
         return small.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0)
@@ -306,16 +309,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     hot = settle(infrequent(groups.where("hot").select("grp", "set", "info")), "hot")
     keyed = own.withColumnRenamed("rid", "_rid").withColumnRenamed("doc", "_doc")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def fetch(wanted: DataFrame) -> DataFrame:
         # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
-        wanted = settle(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(sets, "set").select("set", "at.doc", "at.rid"), "wanted")
+        wanted = settle(wanted.join(sets, "set").select("set", "at.doc", "at.rid"), "wanted")
         texts = keyed.join(wanted, (F.col("_rid") == F.col("rid")) & F.col("_doc").eqNullSafe(F.col("doc")))
-        fetched = settle(texts.select("set", "text").dropDuplicates(["set"]), "texts")
-        found = settle(verified(pairs, fetched, k, percent), "verified")
-        forget(fetched)
-        return found
+        return settle(texts.select("set", "text").dropDuplicates(["set"]), "texts")
 
-    labels = connections(small, hot, sets, verify, percent, block)
+    labels = connections(small, hot, sets, fetch, k, percent, block)
     # a component may hold a large part of all sets: its least key comes from partial minima and goes back salted
     named = settle(labels.join(sets.select("set", F.col("least").alias("doc")), F.col("node") == F.col("set")).select("node", "component", "doc", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")), "named")
     extra = labels.select("component").distinct().join(sets.select("set", F.col("least").alias("doc")), F.col("component") == F.col("set")).select("component", "doc")
