@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, spread
+from millrace.llm.common import mix, released, spread
 
 #: Sets of a group that is formed by its bucket; larger groups are formed by a shuffle of their own.
 SMALL = 16
 #: Sets of a block; a unit of comparison holds two blocks at most.
 BLOCK = 2048
 #: Entries and (set, tag) owners that a task holds before it hands them on.
-ENTRIES, OWNERS = 2_000_000, 1 << 16
+ENTRIES, OWNERS = 1_000_000, 1 << 16
 #: Pairs that a task compares at once.
 PAIRS = 200_000
 #: Bits of an entry that are kept.
@@ -244,7 +244,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             apart = Sketches(batch.column("sa")).apart(at, Sketches(batch.column("sb")), at)
             yield batch.select(["a", "b"]).filter(pa.array(can_link(apart, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)))
 
-    return asked.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return asked.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(run), "a long, b long")
 
 
 def units(groups: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -333,4 +333,4 @@ def compared(members: DataFrame, percent: int, turn: int, order: list[str], posi
 
     columns = ["unit", "grp", "part", "set", "n", "sketch", "mark", "done", "extra"]
     dealt = members.repartition("unit").sortWithinPartitions("unit", *order)
-    return dealt.select(*columns).mapInArrow(run, "a long, b long, grp long")
+    return dealt.select(*columns).mapInArrow(released(run), "a long, b long, grp long")

@@ -14,17 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces, small_batches
+from millrace.llm.common import pieces, released, small_batches
 
 DIM = 1 << 15
 ORDERS = 3
 #: Labelled documents of each language that the classifier is fitted on, at most.
 PER_LANGUAGE = 500
-#: Languages that a model holds at most; an error beyond.
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -132,34 +130,32 @@ def fit(
 def train(df: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the rows for which ``allowed`` is true and text and lang are not null.
 
-    Of a language with more rows, those whose key hashes lowest stay, so the choice does not
+    Of a language with more rows, those whose key and text hash lowest stay, so the choice does not
     depend on the layout; the threshold leaves twice per_language rows in the mean.
     """
     small_batches(df.sparkSession)
     rows = df.where(allowed & df[lang].isNotNull() & df[text].isNotNull()).select(
-        df[lang].cast("string").alias("_lang"), F.pmod(F.xxhash64(df[key].cast("string"), F.lit("language")), F.lit(1 << 40)).alias("_order"), df[text].cast("string").alias("_text")
+        df[lang].cast("string").alias("_lang"), F.pmod(F.xxhash64(df[key].cast("string"), df[text].cast("string"), F.lit("language")), F.lit(1 << 40)).alias("_order"), df[text].cast("string").alias("_text")
     )
-    sizes = rows.groupBy("_lang").count().orderBy("_lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    bound = F.lit(0)
-    for r in sizes:
-        bound = F.when(F.col("_lang") == r["_lang"], F.lit(int((1 << 40) * min(1.0, 2 * per_language / r["count"])))).otherwise(bound)
+    # one scan counts the languages, one takes their rows; the threshold spares most rows the ranking
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    below = rows.join(sizes, "_lang").where(F.col("_order") < F.lit(float(1 << 40)) * 2 * per_language / F.col("_n"))
+    order = Window.partitionBy("_lang").orderBy("_order", "_text")
+    sample = below.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).select("_lang", "_order", "_rank", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "_text"):
                 found = [counted(t) for t in part.column("_text").to_pylist()]
                 lists = [pa.array([f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column("_lang"), part.column("_order"), *lists], names=["_lang", "_order", "at", "counts"])
-
-    sample = rows.where(F.col("_order") < bound).mapInArrow(run, "_lang string, _order long, at array<int>, counts array<int>") if sizes else None
-    languages = [r["_lang"] for r in sizes]
-    chosen: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for i, name in enumerate(languages):
-        own = sample.where(F.col("_lang") == name).orderBy("_order").limit(per_language).toArrow()
-        at, counts = own.column("at").to_pylist(), own.column("counts").to_pylist()
-        chosen += [(i, np.array(a, np.int64), np.array(c, np.int64)) for a, c in zip(at, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_lang"), part.column("_rank"), *lists], names=["_lang", "_rank", "at", "counts"])
+
+    own = sample.mapInArrow(released(run), "_lang string, _rank int, at array<int>, counts array<int>").orderBy("_lang", "_rank").toArrow()
+    names = own.column("_lang").to_pylist()
+    languages = sorted(set(names))
+    number = {name: i for i, name in enumerate(languages)}
+    columns = (own.column("at").to_pylist(), own.column("counts").to_pylist())
+    chosen = [(number[name], np.array(a, np.int64), np.array(c, np.int64)) for name, a, c in zip(names, *columns, strict=True)]
     return fit(languages, chosen) if chosen else Model([], np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0), 1.0)
 
 
@@ -185,7 +181,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 )
 
     schema = ", ".join([f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(released(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

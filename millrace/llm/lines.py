@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import LOWER, distinct_sets, least_of_runs, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
+from millrace.llm.common import LOWER, distinct_sets, least_of_runs, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
 from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, odd_sketches, possible, record, units
 from millrace.llm.ngrams import digests, verified
 from millrace.session import scratched, settle
@@ -27,7 +27,7 @@ from millrace.session import scratched, settle
 #: Corpus counts of words are kept in so many cells, and as eighths of their binary logarithm.
 CELLS = 1 << 16
 #: Lines that a task holds before it hands them on.
-LINES = 1 << 19
+LINES = 1 << 18
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts of the lines of all texts, number of lines of each text); an empty text is one line."""
@@ -64,7 +64,7 @@ def word_rarity(df: DataFrame, text: str) -> np.ndarray:
                 total += np.frombuffer(c, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    found = df.select(text).mapInArrow(each, "counts binary").repartition(4).mapInArrow(some, "counts binary").collect()
+    found = df.select(text).mapInArrow(released(each), "counts binary").repartition(4).mapInArrow(some, "counts binary").collect()
     total = sum((np.frombuffer(r[0], np.int64) for r in found), np.zeros(CELLS, np.int64))
     return np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8)
 
@@ -229,7 +229,7 @@ def _index(df: DataFrame, k: int, percent: int, rarity: np.ndarray, buckets: int
 
     names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>"}
     schemas = [", ".join(f"{c} {names[_TYPES[c]]}" for c in kind) for kind in (_TYPES, plain)]
-    return settle(df.mapInArrow(scan, schemas[0]).repartition(buckets, "bucket").mapInArrow(gather, schemas[1]), "lines")
+    return settle(df.mapInArrow(released(scan), schemas[0]).repartition(buckets, "bucket").mapInArrow(released(gather), schemas[1]), "lines")
 
 
 def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callable[[DataFrame], DataFrame], k: int, percent: int, block: int) -> DataFrame:
@@ -307,7 +307,7 @@ def _removed(own: DataFrame, k: int, percent: int, block: int, few: int) -> Data
         # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
         wanted = settle(wanted.join(firsts, "set").groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked")), "asked")
         texts = own.join(wanted, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
-        return settle(texts.mapInArrow(cut, "set long, text string").dropDuplicates(["set"]), "texts")
+        return settle(texts.mapInArrow(released(cut), "set long, text string").dropDuplicates(["set"]), "texts")
 
     similar = _similar(small, hot, firsts, fetch, k, percent, block)
     last = firsts.join(similar.withColumnRenamed("a", "_a"), F.col("set") == F.col("_a"), "left_semi").groupBy("rid").agg(F.collect_list("line").alias("gone"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, distinct_sets, mix, pieces, shingles, small_batches, spread, text_column, word_hashes, words
+from millrace.llm.common import LOWER, distinct_sets, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
 from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, odd_sketches, possible, record, units
 from millrace.operators.components import components
 from millrace.session import scratched, settle
@@ -177,7 +177,7 @@ def candidates(df: DataFrame, k: int, percent: int, buckets: int, small: int = S
 
     names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     schemas = [", ".join(f"{c} {names[t]}" for c, t in kind.items()) for kind in (types, {c: types[c] for c in plain})]
-    return settle(df.mapInArrow(scan, schemas[0]).repartition(buckets, "bucket").mapInArrow(gather, schemas[1]), "entries")
+    return settle(df.mapInArrow(released(scan), schemas[0]).repartition(buckets, "bucket").mapInArrow(released(gather), schemas[1]), "entries")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -211,7 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     dealt = members.unionByName(leaders).repartition("b", "part").sortWithinPartitions("b", "part", "rank")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(released(run), "a long, b long")
 
 
 def infrequent(rows: DataFrame) -> DataFrame:

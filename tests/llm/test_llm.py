@@ -454,6 +454,13 @@ def test_language_odd_rows(spark):
     assert language.identify(empty(spark), model).count() == 0
 
 
+def test_language_many_labels(spark):
+    """No labelled language is left out, however many there are."""
+    rows = [(i, f"l{i % 230:03d}", f"word{i % 230:03d} " * 3) for i in range(460)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True))
+    assert model.languages == sorted({r[1] for r in rows})
+
+
 # ---- 10 packing
 
 
