@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 #: Rows that Spark puts into one Arrow batch, so that a worker holds a few MB at a time.
 ARROW_ROWS = 1000
 #: Text bytes that an operator handles in one go; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,7 +24,7 @@ SMALL = 16
 #: Sets of a block; a unit of comparison holds two blocks at most.
 BLOCK = 2048
 #: Entries and (set, tag) owners that a task holds before it hands them on.
-ENTRIES, OWNERS = 1_000_000, 1 << 16
+ENTRIES, OWNERS = 500_000, 1 << 16
 #: Pairs that a task compares at once.
 PAIRS = 200_000
 #: Bits of an entry that are kept.

@@ -139,7 +139,8 @@ def train(df: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text
     )
     # one scan counts the languages, one takes their rows; the threshold spares most rows the ranking
     sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
-    below = rows.join(sizes, "_lang").where(F.col("_order") < F.lit(float(1 << 40)) * 2 * per_language / F.col("_n"))
+    # as many sizes as languages, for each of which a model holds DIM floats anyway
+    below = rows.join(F.broadcast(sizes), "_lang").where(F.col("_order") < F.lit(float(1 << 40)) * 2 * per_language / F.col("_n"))
     order = Window.partitionBy("_lang").orderBy("_order", "_text")
     sample = below.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).select("_lang", "_order", "_rank", "_text")
 
