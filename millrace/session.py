@@ -85,6 +85,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(df: DataFrame) -> None:
     """Delete the files of a settled table that no later plan reads."""
     _delete(df.sparkSession, df._settled)
+    for scope in _scopes():
+        if df._settled in scope:
+            scope.remove(df._settled)
 
 
 def scratched(plan: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
