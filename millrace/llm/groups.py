@@ -170,7 +170,8 @@ class Index:
 
 def cells_of(sizes: np.ndarray) -> np.ndarray:
     """Bits of the sketches of sets of these sizes."""
-    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(sizes, 1) * 1.5)), 6, 16).astype(np.int64))
+    share = np.where(sizes > 512, 0.6, 1.0)
+    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(sizes, 1) * share)), 6, 16).astype(np.int64))
 
 
 def odd_sketches(values: np.ndarray, at: np.ndarray) -> pa.Array:

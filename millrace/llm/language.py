@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pieces, released, small_batches
+from millrace.llm.common import pieces, release, released, small_batches
 
 DIM = 1 << 15
 ORDERS = 3
@@ -155,8 +155,13 @@ def train(df: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text
     names = own.column("_lang").to_pylist()
     languages = sorted(set(names))
     number = {name: i for i, name in enumerate(languages)}
-    columns = (own.column("at").to_pylist(), own.column("counts").to_pylist())
-    chosen = [(number[name], np.array(a, np.int64), np.array(c, np.int64)) for name, a, c in zip(names, *columns, strict=True)]
+    own = own.combine_chunks()
+    at, counts = (own.column(c).combine_chunks() if isinstance(own.column(c), pa.ChunkedArray) else own.column(c) for c in ("at", "counts"))
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in at])]) if len(names) else np.zeros(1, np.int64)
+    flat_at, flat_counts = (x.flatten().to_numpy().astype(np.int64) if len(names) else np.zeros(0, np.int64) for x in (at, counts))
+    chosen = [(number[name], flat_at[a:b], flat_counts[a:b]) for name, a, b in zip(names, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    del own, at, counts
+    release()
     return fit(languages, chosen) if chosen else Model([], np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0), 1.0)
 
 

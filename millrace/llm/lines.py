@@ -269,7 +269,7 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callabl
             parts.append(led(hot))
         elif crowd is not None:
             parts.append(asked(units(crowd, block), turn - 1))
-        pairs = settle(reduce(DataFrame.unionAll, parts), "pairs")
+        pairs = reduce(DataFrame.unionAll, [settle(p, "pairs") for p in parts])
         if texts is None:
             texts = fetch(pairs.where("a IS NOT NULL").select(F.col("a").alias("set")).union(hot.select("set")).distinct())
         more = pairs.where("a IS NULL").select("grp").distinct()

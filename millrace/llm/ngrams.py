@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
 from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, odd_sketches, possible, record, units
 from millrace.operators.components import components
-from millrace.session import scratched, settle
+from millrace.session import forget, scratched, settle
 
 #: Sets that the allocation expects in a scheme, the weight of false candidates in its cost.
 EXPECTED_SETS = 100_000
 #: Segments added so that as many frequent entries of a set may go unindexed: one for so many differences, and no more than so many.
-DROP_EVERY, DROPS = 4, 8
+DROP_EVERY, DROPS = 8, 30
 #: Members that one task compares with a leader.
 MEMBERS = 256
 #: Rounds in which groups of more than SMALL sets only ask leaders; all their pairs are compared after these.
@@ -269,7 +269,7 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
             parts.append(led(hot))
         elif crowd is not None:
             parts.append(asked(units(still_open(marked(crowd)), block), turn - LEADERS))
-        found = settle(reduce(DataFrame.unionAll, parts), "pairs")
+        found = reduce(DataFrame.unionAll, [settle(p, "pairs") for p in parts])
         if texts is None:
             texts = fetch(found.where("a IS NOT NULL").select(F.col("a").alias("set")).union(hot.select("set")).distinct())
         more = found.where("a IS NULL").select("grp").distinct()
@@ -302,11 +302,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     own = df.select(df[key].cast("long").alias("doc"), df[text].cast("string").alias("text"))
     own = own.withColumn("rid", F.xxhash64("doc", "text"))
     rows = candidates(own, k, percent, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), few)
-    docs = rows.where(F.col("grp").isNull()).select("doc", "rid", "n", "set", "sketch")
-    sets = settle(docs.where("n > 0").groupBy("set").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "rid")).alias("at"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
+    docs = settle(rows.where(F.col("grp").isNull()).select("doc", "n", "set"), "docs")
+    sets = settle(rows.where("grp IS NULL AND n > 0").groupBy("set").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "rid")).alias("at"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
     groups = rows.where(F.col("grp").isNotNull())
     small = settle(groups.where(~F.col("hot")).select("grp", "set").distinct(), "small")
     hot = settle(infrequent(groups.where("hot").select("grp", "set", "info")), "hot")
+    forget(rows)
     keyed = own.withColumnRenamed("rid", "_rid").withColumnRenamed("doc", "_doc")
 
     def fetch(wanted: DataFrame) -> DataFrame:
