@@ -7,8 +7,6 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import PRAGMA_PREFIXES  # noqa: F401  part of the mining surface
-
 # Fixed values.
 CUTOFF = datetime.datetime(2024, 1, 1)
 BOTS = ("dependabot[bot]", "pre-commit-ci[bot]", "github-actions[bot]", "renovate[bot]")
@@ -32,11 +30,15 @@ def under_roots(path: Column, roots: Column) -> Column:
     return (F.coalesce(F.size(roots), F.lit(0)) <= 0) | F.exists(roots, lambda r: F.startswith(path, F.concat(F.regexp_replace(r, "/+$", ""), F.lit("/"))))
 
 
-def python_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of the .py files below root that are neither excluded nor generated; files that are not UTF-8 are left out."""
+def python_files(spark: SparkSession, root: str, subset: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) of the .py files below root, by their path within it, that lie below one of the subset's roots (all, if
+    there is none) and are neither excluded nor generated; files that are not UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    rows = files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where(F.col("text").isNotNull())
-    return rows.where(~excluded_path(F.col("path")) & ~generated(F.col("text")))
+    base = F.lit(spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/").toUri().getPath().rstrip("/") + "/")
+    rows = files.select(F.substring_index("path", ":", -1).alias("_at"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where(F.col("text").isNotNull())
+    # the reader writes file:/x, file:///x or scheme://host/x
+    rows = rows.select(F.substring(F.col("_at"), F.instr(F.col("_at"), base) + F.length(base), F.length("_at")).alias("path"), "text")
+    return rows.where(~excluded_path(F.col("path")) & ~generated(F.col("text")) & under_roots(F.col("path"), F.array(*[F.lit(r) for r in subset]).cast("array<string>")))
 
 
 def before_cutoff(date: Column, cutoff: datetime.datetime = CUTOFF) -> Column:
