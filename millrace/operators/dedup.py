@@ -48,39 +48,72 @@ def _fold(v: np.ndarray) -> np.ndarray:
     return (v & np.uint64(PRIME)) + (v >> np.uint64(61))
 
 
-def signature(text: str | None, n: int = HASHES) -> np.ndarray:
-    """Per hash function the least value of (a * h + b) mod PRIME over the shingles' 32-bit hashes; PRIME for an empty text.
+#: Distinct shingles whose hash values a task holds at once, HASHES values each.
+VOCABULARY = 1 << 15
 
-    The product has up to 93 bits; it is folded modulo 2 ** 61 - 1 in halves of a.
-    """
-    if not text:
-        return np.full(n, PRIME, np.int64)
-    grams = {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+
+def _values(grams: list[str], n: int) -> np.ndarray:
+    """Of each shingle's 32-bit hash h, the n values (a * h + b) mod PRIME. The product has up to 93 bits; it is folded modulo 2 ** 61 - 1 in halves of a."""
     h = np.array([int.from_bytes(hashlib.sha1(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") for g in grams], np.uint64)
     a, b = hash_pairs(n)
-    out = np.full(n, PRIME, np.uint64)
+    out = np.empty((len(h), n), np.uint64)
     for at in range(0, len(h), 4096):
-        part = h[at : at + 4096][None, :]
-        high = _fold((a >> np.uint64(32))[:, None] * part)
+        part = h[at : at + 4096][:, None]
+        high = _fold((a >> np.uint64(32))[None, :] * part)
         high = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
-        low = _fold((a & np.uint64(0xFFFFFFFF))[:, None] * part)
-        v = _fold(_fold(_fold(high + low) + b[:, None]))
-        v = np.where(v >= np.uint64(PRIME), v - np.uint64(PRIME), v)
-        out = np.minimum(out, v.min(1))
+        low = _fold((a & np.uint64(0xFFFFFFFF))[None, :] * part)
+        v = _fold(_fold(_fold(high + low) + b[None, :]))
+        out[at : at + 4096] = np.where(v >= np.uint64(PRIME), v - np.uint64(PRIME), v)
+    return out
+
+
+def _grams(text: str) -> set[str]:
+    return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+
+
+def signature(text: str | None, n: int = HASHES) -> np.ndarray:
+    """Per hash function the least value over the shingles' 32-bit hashes; PRIME for an empty text."""
+    out = np.full(n, PRIME, np.uint64)
+    grams = list(_grams(text)) if text else []
+    for at in range(0, len(grams), VOCABULARY):
+        out = np.minimum(out, _values(grams[at : at + VOCABULARY], n).min(0))
     return out.astype(np.int64)
 
 
+def _signatures(texts: list[str | None], n: int) -> dict[str | None, np.ndarray]:
+    """The signature of each different text; a shingle that several of them have is hashed once."""
+    out: dict[str | None, np.ndarray] = {}
+    number: dict[str, int] = {}
+    held: dict[str, np.ndarray] = {}
+
+    def flush() -> None:
+        values = _values(list(number), n)
+        for t, at in held.items():
+            out[t] = values[at].min(0).astype(np.int64)
+        number.clear()
+        held.clear()
+
+    for t in dict.fromkeys(texts):
+        grams = _grams(t) if t else set()
+        if not grams or len(grams) > VOCABULARY:
+            out[t] = signature(t, n)
+            continue
+        if len(number) + len(grams) > VOCABULARY and sum(g not in number for g in grams) + len(number) > VOCABULARY:
+            flush()
+        held[t] = np.fromiter((number.setdefault(g, len(number)) for g in grams), np.int64, len(grams))
+    flush()
+    return out
+
+
 def signatures(df: DataFrame, key: str, text: str, n: int = HASHES) -> DataFrame:
-    """(key, signature). Arrow batches; equal texts in a batch are computed once."""
+    """(key, signature). Arrow batches; equal texts, and equal shingles, of a batch are computed once."""
     own = df.select(key, F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str | None, np.ndarray] = {}
-            for t in batch.column("_text").to_pylist():
-                if t not in known:
-                    known[t] = signature(t, n)
-            flat = np.concatenate([known[t] for t in batch.column("_text").to_pylist()]) if batch.num_rows else np.zeros(0, np.int64)
+            texts = batch.column("_text").to_pylist()
+            known = _signatures(texts, n)
+            flat = np.concatenate([known[t] for t in texts]) if texts else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "signature"])
 

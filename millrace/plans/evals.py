@@ -42,29 +42,29 @@ def pass_rate(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") > 50).cast("double")), 9).alias("pass_rate"), F.count(F.lit(1)).alias("n"))
 
 
-_PICKS = "SELECT draw, floor(('0x' || md5('{seed}|' || draw || '|' || i)[1:13])::BIGINT::DOUBLE / 4503599627370496 * {n})::BIGINT AS pos FROM range({draws}) d(draw) CROSS JOIN range({n}) r(i)"
+_PICKS = "SELECT draw, floor(('0x' || md5('{seed}|' || draw || '|' || i)[1:13])::BIGINT::DOUBLE / 4503599627370496 * n)::BIGINT AS pos FROM range({draws}) d(draw) CROSS JOIN (SELECT unnest(range(n)) AS i, n FROM (SELECT count(*) AS n FROM customer)) r"
 
 
 @query(
     "stats_a16_bootstrap",
-    f"""WITH s AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000),
-        picks AS ({_PICKS.format(seed=0, n=100, draws=1000)}),
+    f"""WITH s AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer),
+        picks AS ({_PICKS.format(seed=0, draws=1000)}),
         m AS (SELECT draw, avg(c_acctbal) AS mean FROM picks JOIN s USING (pos) GROUP BY draw)
-        SELECT (SELECT round(avg(c_acctbal), 6) FROM s) AS mean, (SELECT round(stddev_samp(c_acctbal), 6) FROM s) AS std, 100 AS n, 1000 AS n_boot, 0.95::DOUBLE AS level,
-               round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM m""",
+        SELECT (SELECT round(avg(c_acctbal), 4) FROM s) AS mean, (SELECT round(stddev_samp(c_acctbal), 4) FROM s) AS std, (SELECT count(*) FROM s) AS n, 1000 AS n_boot, 0.95::DOUBLE AS level,
+               round(quantile_cont(mean, 0.025), 4) AS ci_low, round(quantile_cont(mean, 0.975), 4) AS ci_high FROM m""",
 )
 def bootstrap(spark, sf_dir):
     s = V.numbered(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
     out = V.bootstrap_ci(s, "at", "c_acctbal")
-    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "n", "n_boot", "level")
+    return out.select(*[F.round(c, 4).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "n", "n_boot", "level")
 
 
 @query(
     "stats_a17_paired",
-    f"""WITH s AS (SELECT c_acctbal - 4400 AS d, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 10 = 0 AND c_custkey BETWEEN 1 AND 1000),
-        picks AS ({_PICKS.format(seed=3, n=100, draws=2000)}),
+    f"""WITH s AS (SELECT c_acctbal - 4400 AS d, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer),
+        picks AS ({_PICKS.format(seed=3, draws=10_000)}),
         m AS (SELECT draw, avg(d) AS mean FROM picks JOIN s USING (pos) GROUP BY draw)
-        SELECT round(avg((mean <= 0)::INT::DOUBLE), 9) AS p, 100 AS n FROM m""",
+        SELECT round(avg((mean <= 0)::INT::DOUBLE), 9) AS p, (SELECT count(*) FROM s) AS n FROM m""",
 )
 def paired(spark, sf_dir):
     s = V.numbered(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal").withColumn("base", F.lit(4400.0))
