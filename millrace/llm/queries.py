@@ -217,4 +217,4 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"), (F.col("n_removed") > 0).alias("has_repeats"))

@@ -187,7 +187,7 @@ def _scan(df: DataFrame, length: int, gram: int, reach: int, buckets: int) -> Da
         uid = np.unique(uid)
         for a in range(0, len(uid), 100_000):
             u = uid[a : a + 100_000]
-            yield record(bucket=(u % np.uint64(buckets)).astype(np.int32), uid=u.view(np.int64))
+            yield record(bucket=(np.arange(len(u)) % buckets).astype(np.int32), uid=u.view(np.int64))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -213,6 +213,7 @@ def _scan(df: DataFrame, length: int, gram: int, reach: int, buckets: int) -> Da
             packed = [[x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some] for x in (core, uid, several)]
             yield record(bucket=some, cores=packed[0], uids=packed[1], flags=packed[2])
 
+        # occurrences only pass through the next step, so they are dealt evenly, however often a context occurs
         def part_of(data: np.ndarray, starts: np.ndarray, rids: pa.Array, shift: int) -> Iterator[pa.RecordBatch]:
             first, count, anchor, place, core, owner = contexts(data, starts, length, gram, reach)
             if not len(first):
@@ -222,7 +223,7 @@ def _scan(df: DataFrame, length: int, gram: int, reach: int, buckets: int) -> Da
             digest = np.frombuffer(b"".join(hashlib.blake2b(raw[a : a + s], digest_size=8).digest() for a, s in zip(first.tolist(), size.tolist(), strict=True)), np.uint64)
             uid = mix(mix(anchor) + digest * np.uint64(3) + far.astype(np.uint64))
             yield record(
-                bucket=(uid % np.uint64(buckets)).astype(np.int32), rid=rids.take(pa.array(row)), uid=uid.view(np.int64), digest=digest.view(np.int64),
+                bucket=(np.arange(len(uid)) % buckets).astype(np.int32), rid=rids.take(pa.array(row)), uid=uid.view(np.int64), digest=digest.view(np.int64),
                 start=first - starts[row] + shift, size=size.astype(np.int32), far=far.astype(np.int32),
             )
             held.append((core, uid[owner]))
