@@ -248,6 +248,23 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return asked.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(run), "a long, b long")
 
 
+#: Words of 64 bits that tell which hashes are wanted.
+WORDS_LOG = 18
+
+
+def wanted_rows(rows: DataFrame, wanted: DataFrame, hashed: str) -> DataFrame:
+    """The rows whose 64-bit hash is among those of wanted, and some others: a set bit a hash, in 2 ** WORDS_LOG words.
+
+    The words are broadcast, which their number bounds to a few MB, whatever the tables' sizes; so of
+    wide rows that a join will drop, most never reach its shuffle.
+    """
+    word, bit = F.shiftrightunsigned(F.col(hashed), 64 - WORDS_LOG), F.col(hashed).bitwiseAND(63).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    held = rows.withColumn("_at", word).withColumn("_bit", bit).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+    return held.where(F.col("_bits").bitwiseAND(one) != 0).drop("_at", "_bit", "_word", "_bits")
+
+
 def units(groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """groups (grp, set, ...) with unit and part: groups of more than a block are dealt into blocks, and each two blocks meet in a unit."""
     blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")

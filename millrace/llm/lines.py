@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import LOWER, distinct_sets, least_of_runs, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, odd_sketches, possible, record, units
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, odd_sketches, possible, record, units, wanted_rows
 from millrace.llm.ngrams import digests, verified
 from millrace.session import scratched, settle
 
@@ -304,9 +304,9 @@ def _removed(own: DataFrame, k: int, percent: int, block: int, few: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([x["set"] for x in asked], pa.int64()), pa.array(lines, pa.string())], names=["set", "text"])
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
-        wanted = settle(wanted.join(firsts, "set").groupBy(F.col("rid").alias("_rid"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked")), "asked")
-        texts = own.join(wanted, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
+        wanted = settle(wanted.join(firsts, "set").groupBy("rid", F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("set", "line")).alias("_asked")), "asked")
+        asked = wanted.withColumnRenamed("rid", "_rid").hint("merge")
+        texts = wanted_rows(own, wanted, "rid").join(asked, (F.col("rid") == F.col("_rid")) & F.col("doc").eqNullSafe(F.col("_doc"))).select("text", "_asked")
         return settle(texts.mapInArrow(released(cut), "set long, text string").dropDuplicates(["set"]), "texts")
 
     similar = _similar(small, hot, firsts, fetch, k, percent, block)

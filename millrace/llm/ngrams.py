@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, odd_sketches, possible, record, units
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, odd_sketches, possible, record, units, wanted_rows
 from millrace.operators.components import components
 from millrace.session import forget, scratched, settle
 
@@ -311,9 +311,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     keyed = own.withColumnRenamed("rid", "_rid").withColumnRenamed("doc", "_doc")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        # written, so that the plan knows its size: texts are only shuffled if it is too large to broadcast
-        wanted = settle(wanted.join(sets, "set").select("set", "at.doc", "at.rid"), "wanted")
-        texts = keyed.join(wanted, (F.col("_rid") == F.col("rid")) & F.col("_doc").eqNullSafe(F.col("doc")))
+        wanted = settle(wanted.join(sets, "set").select("set", "at.doc", F.col("at.rid").alias("_rid")), "wanted")
+        asked = wanted.withColumnRenamed("_rid", "rid").hint("merge")
+        texts = wanted_rows(keyed, wanted, "_rid").join(asked, (F.col("_rid") == F.col("rid")) & F.col("_doc").eqNullSafe(F.col("doc")))
         return settle(texts.select("set", "text").dropDuplicates(["set"]), "texts")
 
     labels = connections(small, hot, sets, fetch, k, percent, block)
