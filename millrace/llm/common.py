@@ -120,8 +120,9 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each word, by differences of a running polynomial sum."""
     with np.errstate(over="ignore"):
         low = len(_POWER) - 1
-        at = np.arange(len(data)) & low
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POWER[at])])
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(_BYTE[data], np.resize(_POWER, len(data)), out=total[1:])
+        np.cumsum(total, out=total)
         within = (total[end] - total[begin]) * _INVERSE[begin & low]
         # powers repeat every 65536 bytes: words that cross that border are hashed apart
         for i in np.flatnonzero((begin & ~low) != ((end - 1) & ~low)):
