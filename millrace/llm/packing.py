@@ -101,47 +101,70 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with multiplicities that use up the counts; each pattern's sum is at most capacity.
 
-    Reduction: for the largest remaining length, a set of at most one companion is fixed for
-    good where it dominates every other feasible set: nothing fits beside it; one companion
-    fills the bin exactly; or at most one more fits at all, and then the largest. The case of
-    two companions is not built, and a length put off is not tried again. What is left goes
-    to the fullest bin that takes it, longest first, whole classes at a time.
+    ``reduce`` fixes what it can prove; the rest goes to the fullest bin that takes it, longest
+    first, whole classes at a time.
+    """
+    fixed, left = reduce(counts, capacity)
+    return fixed + best_fit(left, capacity)
+
+
+def reduce(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(patterns fixed for good with their multiplicities, counts that remain): dominance after Martello and Toth.
+
+    For each length j a bin with j and a, or with j, a and b, is fixed where it dominates every
+    feasible bin that holds j: a is the largest companion, b the largest that fits beside both.
+    {j, a} dominates where a fills the bin or no feasible pair of companions outweighs it;
+    {j, a, b} dominates where in each feasible pair the smaller is at most b or both together
+    are at most a. Bins that take three companions or more are not decided. Passes over all
+    lengths are repeated until one fixes nothing.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     if any(s < 1 or s > capacity for s in left):
         raise ValueError("a length is below 1 or above the capacity")
     fixed: list[tuple[tuple[int, ...], int]] = []
-    present = np.zeros(capacity + 1, bool)
-    present[list(left)] = True
-
-    def use(pattern: tuple[int, ...], times: int) -> None:
-        fixed.append((pattern, times))
-        for s in pattern:
-            left[s] -= times
-            if not left[s]:
-                del left[s]
-                present[s] = False
-
-    postponed: set[int] = set()
-    while todo := [s for s in left if s not in postponed]:
-        j = max(todo)
-        room = capacity - j
-        fits = np.flatnonzero(present[: room + 1])
-        fits = fits[(fits != j) | (left[j] > 1)] if j <= room else fits
-        if not len(fits):
-            use((j,), left[j])
-            continue
-        k = int(fits[-1])
-        low = int(fits[0])
-        pair_room = low + (low if left[low] > (2 if low == j else 1) else int(fits[1]) if len(fits) > 1 else capacity)
-        if k == room or pair_room > room:
-            # exact fill, or no two companions fit: the largest single companion dominates
-            times = left[j] // 2 if k == j else min(left[j], left[k])
-            if times:
-                use((j, k), times)
-                continue
-        postponed.add(j)
-    return fixed + best_fit(left, capacity)
+    changed = True
+    while changed:
+        changed = False
+        for j in sorted(left, reverse=True):
+            while j in left and (pattern := _dominant(j, left, capacity)):
+                times = min(left[s] // pattern.count(s) for s in pattern)
+                fixed.append((pattern, times))
+                for s in pattern:
+                    left[s] -= times
+                for s in set(pattern):
+                    if not left[s]:
+                        del left[s]
+                changed = True
+    return fixed, left
+
+
+def _dominant(j: int, left: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """The bin with j that dominates all others with j, or None where none of up to two companions does."""
+    room = capacity - j
+    others = np.sort(np.array([s for s, n in left.items() if s <= room for _ in range(min(n - (s == j), 3))], np.int64))
+    if not len(others):
+        return (j,)
+    a = int(others[-1])
+    if a == room:
+        return j, a
+    if others[:3].sum() <= room and len(others) > 2:
+        return None
+    if _best_pair(others, room) <= a:
+        return j, a
+    rest = others[:-1]
+    beside = rest[rest <= room - a]
+    if not len(beside):
+        return None
+    b = int(beside[-1])
+    return (j, a, b) if _best_pair(others[others > b], room) <= a else None
+
+
+def _best_pair(sizes: np.ndarray, room: int) -> int:
+    """The largest sum of two of the sorted sizes that is at most room; 0 where no two fit."""
+    at = np.arange(len(sizes))
+    partner = np.minimum(np.searchsorted(sizes, room - sizes, "right"), at) - 1
+    fits = partner >= 0
+    return int((sizes[fits] + sizes[partner[fits]]).max()) if fits.any() else 0
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
