@@ -6,10 +6,15 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import settle
+
 #: (verdict, host, path) in the order of the list; the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.6
+#: A rule rests on so many bad pages at least, and is so many times likelier to be right than a guess.
+MIN_COUNT = 5
+MIN_LIFT = 1.2
 _BAD = "label=block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,46 +49,48 @@ def fixed_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column
     return rule, verdict
 
 
-def mine(labelled: DataFrame, url: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, words, confidence, support): the token combinations that imply a bad label.
+def mine(
+    labelled: DataFrame, url: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT
+) -> DataFrame:
+    """Rules (words, confidence, support): the token combinations that imply a bad label.
 
     ``bad`` is a boolean column, null where there is no label. All labelled rows are mined. A
-    rule is left out if a part of it has at least its confidence. There are at most
-    2 ** (tokens of a URL) / min_support rules, whatever the number of rows.
+    rule is left out if a part of it has at least its confidence. Rules stay distributed: they
+    are pruned by a join on the rarest word of the possible part. Without a bad row there are none.
     """
-    spark = labelled.sparkSession
     known = labelled.where(F.col(bad).isNotNull())
+    n, n_bad = known.agg(F.count(F.lit(1)), F.count_if(bad)).first()
+    if n_bad < min_count:
+        return labelled.sparkSession.createDataFrame([], "words array<string>, confidence double, support double")
     items = known.select(F.when(F.col(bad), F.concat(tokens_of(F.col(url)), F.array(F.lit(_BAD)))).otherwise(tokens_of(F.col(url))).alias("items"))
-    empty = spark.createDataFrame([], "words array<string>, confidence double, support double")
-    found = empty
-    if not known.where(F.col(bad)).isEmpty():
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-        found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD)).select(
-            F.array_sort("antecedent").alias("words"), "confidence", "support"
-        )
-    whole = found.select(F.collect_list(F.struct("words", "confidence")).alias("all")).first()
-    listed = sorted(((tuple(r["words"]), r["confidence"]) for r in (whole["all"] or [])), key=lambda r: (len(r[0]), r[0]))
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for words, confidence in listed:
-        if not any(set(w) < set(words) and c >= confidence for w, c in kept):
-            kept.append((words, confidence))
-    support = {tuple(r["words"]): r["support"] for r in found.collect()}
-    return spark.createDataFrame([(i, list(w), c, support[w]) for i, (w, c) in enumerate(kept)], "rule_id int, words array<string>, confidence double, support double")
+    # half a row below the count, so that rounding does not lose a set that has just the count
+    least = max(min_support, (min_count - 0.5) / n)
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=max(min_confidence, min(1.0, min_lift * n_bad / n))).fit(items)
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD))
+    found = settle(found.select(F.array_sort("antecedent").alias("words"), "confidence", "support"), "url-rules")
+    parts = _by_rarest(found).select("_word", F.col("words").alias("_part"), F.col("confidence").alias("_confidence"))
+    wider = found.select("words", "confidence", F.explode("words").alias("_word")).join(parts, "_word")
+    wider = wider.where((F.size("_part") < F.size("words")) & (F.col("_confidence") >= F.col("confidence")) & (F.size(F.array_except("_part", "words")) == 0))
+    return found.join(wider.select("words"), "words", "left_anti")
+
+
+def _by_rarest(rules: DataFrame) -> DataFrame:
+    """The rules with the word, as _word, that the fewest of them have."""
+    uses = rules.select(F.explode("words").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_uses"))
+    index = rules.select("words", "confidence", F.explode("words").alias("_word")).join(uses, "_word")
+    index = index.groupBy("words").agg(F.min(F.struct("_uses", "_word")).alias("_least"), F.first("confidence").alias("confidence"))
+    return index.select("words", "confidence", F.col("_least._word").alias("_word"))
 
 
 def match(urls: DataFrame, url: str, rules: DataFrame) -> DataFrame:
-    """(url, rule_id) of every distinct url and rule whose words it all has.
+    """(url, words) of every distinct url and rule whose words it all has.
 
     The inverted index holds each rule under its rarest word, so common words such as a
     scheme do not join; Catalyst broadcasts the rules where their size is below its threshold.
     """
     distinct = urls.select(F.col(url).alias("_url")).distinct().withColumn("_tokens", tokens_of(F.col("_url")))
-    uses = rules.select(F.explode("words").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_uses"))
-    index = rules.select("rule_id", "words", F.explode("words").alias("_word")).join(uses, "_word")
-    index = index.groupBy("rule_id").agg(F.min(F.struct("_uses", "_word")).alias("_least"), F.first("words").alias("words"))
-    index = index.select("rule_id", "words", F.col("_least._word").alias("_word"))
-    hits = distinct.select("_url", "_tokens", F.explode("_tokens").alias("_word")).join(index, "_word")
-    return hits.where(F.size(F.array_except("words", "_tokens")) == 0).select(F.col("_url").alias(url), "rule_id")
+    hits = distinct.select("_url", "_tokens", F.explode("_tokens").alias("_word")).join(_by_rarest(rules), "_word")
+    return hits.where(F.size(F.array_except("words", "_tokens")) == 0).select(F.col("_url").alias(url), "words")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules: tuple = RULES) -> DataFrame:
@@ -92,6 +99,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, key: str = "page_id", url:
     labels: (key, bad boolean). The verdict is that of the longest fixed rule, else block if a
     mined rule matches, else allow. Null URLs have an empty host and path, no rule, and are
     allowed; repeated rows and keys come back as they are, and a repeated URL is judged once.
+    A null key has no label; of several labels of a key the worse counts.
     """
     rows = pages.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("_url"))
     marks = labels.select(F.col(key).alias("_of"), F.col("bad").alias("_bad")).groupBy("_of").agg(F.max("_bad").alias("_bad"))
