@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -263,6 +264,43 @@ def test_urls_hosts_rules_and_mining(spark):
     assert out[all_.index("http://pills.net/buy/cheap/new")].verdict == "block"
 
 
+def test_url_rules_against_all_combinations(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    words = ["buy", "cheap", "news", "win", "en"]
+    rows = [(i, "http://a.net/" + "/".join(own := [w for w in words if rng.random() < 0.45]), rng.random() < (0.9 if {"buy", "win"} <= set(own) else 0.3)) for i in range(150)]
+    df = spark.createDataFrame([*rows, (None, "http://a.net/lone/x", True), (900, None, True), (901, "http://a.net/buy", None)], "page_id long, url string, bad boolean")
+    known = [(frozenset(urls_tokens(u)), bad) for _, u, bad in [*rows, (None, "http://a.net/lone/x", True), (900, None, True)]]
+    base = sum(b for _, b in known) / len(known)
+    rules = {}
+    for size in range(1, 9):
+        for combo in combinations(sorted(set().union(*(t for t, _ in known))), size):
+            marks = [b for t, b in known if set(combo) <= t]
+            if sum(marks) >= urls.MIN_COUNT and sum(marks) / len(marks) >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * base):
+                rules[combo] = sum(marks) / len(marks)
+    want = {w: c for w, c in rules.items() if not any(set(v) < set(w) and rules[v] >= c for v in rules)}
+    got = {tuple(r.words): r.confidence for r in urls.mine(df, "url", "bad").collect()}
+    assert got == pytest.approx(want) and 0 < len(want) < len(rules) and "lone" not in {w for r in got for w in r}
+    out = urls.filter_urls(df.drop("bad"), df.select("page_id", "bad")).collect()
+    # the join by key leaves the row without a key unlabelled
+    assert len(out) == 153 and sum(r.page_id is None for r in out) == 1
+
+
+def urls_tokens(url):
+    return [t for t in re.split(r"[^a-z0-9]+", (url or "").lower()) if t]
+
+
+def test_urls_repeated_and_null_keys(spark):
+    urls_of = [(1, "http://pills.net/buy"), (1, "http://pills.net/buy"), (1, "http://other.net/"), (None, "http://pills.net/buy"), (None, None)]
+    pages = spark.createDataFrame(urls_of + [(10 + i, f"http://x{i}.net/buy") for i in range(8)] + [(30 + i, f"http://y{i}.net/") for i in range(20)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 20) for i in range(10, 50)] + [(10, False), (None, False)], "page_id long, bad boolean")
+    out = urls.filter_urls(pages, labels).collect()
+    assert Counter((r.page_id, r.url, r.verdict) for r in out if r.page_id in (1, None)) == Counter(
+        [(1, "http://pills.net/buy", "block")] * 2 + [(1, "http://other.net/", "allow"), (None, "http://pills.net/buy", "block"), (None, None, "allow")]
+    )
+
+
 def test_urls_without_labels_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     labels = spark.createDataFrame([], "page_id long, bad boolean")
@@ -523,6 +561,36 @@ def test_solver_uses_every_item_once(counts):
     assert used == Counter(counts)
 
 
+def fewest_bins(items, capacity):
+    """By all orders at once: of each subset the fewest bins, then the emptiest last one."""
+    least = [(len(items) + 1, 0)] * (1 << len(items))
+    least[0] = (0, capacity)
+    for mask, (bins, used) in enumerate(least):
+        for i, s in enumerate(items):
+            if not mask >> i & 1:
+                after = (bins, used + s) if used + s <= capacity else (bins + 1, s)
+                least[mask | 1 << i] = min(least[mask | 1 << i], after)
+        least[mask] = (bins, used)
+    return least[-1][0]
+
+
+def test_reduction_keeps_the_optimum():
+    assert packing.reduce({5: 1, 3: 1, 2: 2}, 10)[0][0] == ((5, 3, 2), 1)
+    assert packing.reduce({}, 10) == ([], {})
+    rng = random.Random(2)
+    sizes = Counter()
+    for _ in range(600):
+        capacity = rng.randint(5, 20)
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 8))]
+        fixed, left = packing.reduce(Counter(items), capacity)
+        rest = list(Counter(left).elements())
+        assert Counter(rest) + sum((Counter({s: n * p.count(s) for s in p}) for p, n in fixed), Counter()) == Counter(items)
+        assert all(sum(p) <= capacity for p, _ in fixed)
+        assert sum(n for _, n in fixed) + fewest_bins(rest, capacity) == fewest_bins(items, capacity)
+        sizes.update(len(p) for p, _ in fixed)
+    assert min(sizes[1], sizes[2], sizes[3]) > 30
+
+
 def test_solver_reaches_the_optimum_on_small_cases():
     from functools import lru_cache
 
