@@ -12,9 +12,11 @@ from millrace.session import settle
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT = 0.004
 MIN_CONFIDENCE = 0.6
-#: A rule rests on so many bad pages at least, and is so many times likelier to be right than a guess.
+#: A rule rests on so many bad pages at least, and Wilson's lower bound of its confidence, so many
+#: standard errors below, lies above the share of bad pages: among thousands of combinations
+#: some have a high confidence by chance.
 MIN_COUNT = 5
-MIN_LIFT = 1.2
+ERRORS = 4.0
 _BAD = "label=block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,7 +52,7 @@ def fixed_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column
 
 
 def mine(
-    labelled: DataFrame, url: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT
+    labelled: DataFrame, url: str, bad: str, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, errors: float = ERRORS
 ) -> DataFrame:
     """Rules (words, confidence, support): the token combinations that imply a bad label.
 
@@ -65,8 +67,9 @@ def mine(
     items = known.select(F.when(F.col(bad), F.concat(tokens_of(F.col(url)), F.array(F.lit(_BAD)))).otherwise(tokens_of(F.col(url))).alias("items"))
     # half a row below the count, so that rounding does not lose a set that has just the count
     least = max(min_support, (min_count - 0.5) / n)
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=max(min_confidence, min(1.0, min_lift * n_bad / n))).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD))
+    found = found.where(lower_bound(F.col("confidence"), F.round(F.col("support") * n / F.col("confidence")), errors) > n_bad / n)
     found = settle(found.select(F.array_sort("antecedent").alias("words"), "confidence", "support"), "url-rules")
     parts = _by_rarest(found).select("_word", F.col("words").alias("_part"), F.col("confidence").alias("_confidence"))
     wider = found.select("words", "confidence", F.explode("words").alias("_word")).join(parts, "_word")
@@ -74,6 +77,13 @@ def mine(
     return found.join(wider.select("words"), "words", "left_anti")
 
 
+def lower_bound(share: Column, of: Column, errors: float) -> Column:
+    """Wilson's lower bound of a share found among ``of`` cases."""
+    z = errors * errors
+    spread = F.sqrt(share * (1 - share) / of + z / (4 * of * of))
+    return (share + z / (2 * of) - errors * spread) / (1 + z / of)
+
+
 def _by_rarest(rules: DataFrame) -> DataFrame:
     """The rules with the word, as _word, that the fewest of them have."""
     uses = rules.select(F.explode("words").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_uses"))

@@ -277,7 +277,7 @@ def test_url_rules_against_all_combinations(spark):
     for size in range(1, 9):
         for combo in combinations(sorted(set().union(*(t for t, _ in known))), size):
             marks = [b for t, b in known if set(combo) <= t]
-            if sum(marks) >= urls.MIN_COUNT and sum(marks) / len(marks) >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * base):
+            if sum(marks) >= urls.MIN_COUNT and sum(marks) / len(marks) >= urls.MIN_CONFIDENCE and wilson(sum(marks), len(marks), urls.ERRORS) > base:
                 rules[combo] = sum(marks) / len(marks)
     want = {w: c for w, c in rules.items() if not any(set(v) < set(w) and rules[v] >= c for v in rules)}
     got = {tuple(r.words): r.confidence for r in urls.mine(df, "url", "bad").collect()}
@@ -287,6 +287,11 @@ def test_url_rules_against_all_combinations(spark):
     assert len(out) == 153 and sum(r.page_id is None for r in out) == 1
 
 
+def wilson(hits, n, z):
+    """The smaller root of (hits / n - p)^2 = z^2 p (1 - p) / n."""
+    return min(np.roots([1 + z * z / n, -(2 * hits / n + z * z / n), (hits / n) ** 2]))
+
+
 def urls_tokens(url):
     return [t for t in re.split(r"[^a-z0-9]+", (url or "").lower()) if t]
 
