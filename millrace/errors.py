@@ -28,3 +28,11 @@ class HashMismatch(EngineError):
 
 class InvalidRecord(EngineError):
     """A record breaks its schema."""
+
+
+class PreflightFailure(EngineError):
+    """A check before a run failed."""
+
+    def __init__(self, failed: list[str]):
+        self.failed = failed
+        super().__init__("preflight failed: " + ", ".join(failed))

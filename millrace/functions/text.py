@@ -136,3 +136,19 @@ def hash_uniform(*parts: Column) -> Column:
     """A value in [0, 1) from a digest of the parts: the same in every run, order and engine."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def mean_pooled(states: Column, mask: Column, floor: float = 1e-9) -> Column:
+    """The mean of the vectors whose mask is 1, component by component; zeros where the mask is all 0, null without vectors."""
+    kept = F.transform(F.arrays_zip(states.alias("v"), mask.alias("m")), lambda p: F.transform(p["v"].cast("array<double>"), lambda x: x * p["m"]))
+    start = F.transform(F.try_element_at(states, F.lit(1)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, start, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    count = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m)
+    return F.transform(total, lambda x: x / F.greatest(count, F.lit(floor)))
+
+
+def time_ordered_id(at: Column) -> Column:
+    """A version 7 id: 48 bits of milliseconds, then random bits with the version and the variant in their places."""
+    millis = F.lpad(F.lower(F.hex(F.unix_millis(at))), 12, "0")
+    random = F.uuid()
+    return F.concat(F.substring(millis, 1, 8), F.lit("-"), F.substring(millis, 9, 4), F.lit("-7"), F.substring(random, 16, 3), F.lit("-"), F.substring(random, 20, 17))

@@ -38,6 +38,29 @@ def centroid_probe(train: DataFrame, test: DataFrame, key: str, vector: str, lab
     return test.select(key, label, F.when(distance(a) <= distance(b), F.lit(low)).otherwise(F.lit(high)).alias("predicted"))
 
 
+def logistic_probe(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, max_iter: int = 1000) -> DataFrame:
+    """(key, label, predicted) of a logistic regression with a ridge penalty of 1 over all training rows, multinomial above two classes.
+
+    Labels are integers from 0. Rows with a null label or vector are not learned from; a null
+    vector predicts null. Of one class only, that class is predicted; without rows, null.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = train.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    n, least, most = rows.agg(F.count(F.lit(1)), F.min(label), F.max(label)).first()
+    kind = test.schema[label].dataType
+    if not n or least == most:
+        return test.select(key, label, F.lit(least).cast(kind).alias("predicted"))
+    features = array_to_vector(F.col(vector).cast("array<double>")).alias("features")
+    # the penalty is per row in this solver
+    fitted = LogisticRegression(maxIter=max_iter, regParam=1.0 / n, standardization=False, tol=1e-8).fit(rows.select(features, F.col(label).cast("double").alias("label")))
+    known = test.where(F.col(vector).isNotNull())
+    out = fitted.transform(known.select(F.col(key).alias("_key"), F.col(label).alias("_label"), features))
+    out = out.select(F.col("_key").alias(key), F.col("_label").alias(label), F.col("prediction").cast(kind).alias("predicted"))
+    return out.unionByName(test.where(F.col(vector).isNull()).select(key, label, F.lit(None).cast(kind).alias("predicted")))
+
+
 def classification(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """One row: accuracy and macro-F1 over the classes seen on either side; a class never predicted, or never true, has F1 0."""
     sides = df.select(F.explode(F.array(F.struct(F.col(label).alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(predicted).alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), (F.col(label) == F.col(predicted)).cast("int").alias("hit"))

@@ -108,3 +108,23 @@ def sliced(spark, sf_dir):
 @query("stats_a21_means", "SELECT event_type, round(avg(value), 6) AS value, round(avg(length(props)), 6) AS size FROM events GROUP BY event_type")
 def means(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("value"), F.round(F.avg(F.length("props")), 6).alias("size"))
+
+
+@query("probe_a14_logistic")
+def logistic(spark, sf_dir):
+    """Accuracy and macro-F1 over the ten labels, of a probe trained on the even rows; tested against a solver of its own."""
+    e = table(spark, sf_dir, "embeddings")
+    out = V.logistic_probe(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", "label")
+    return V.classification(out, "label", "predicted").select(F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
+
+
+@query(
+    "pool_r2_mean",
+    """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 2 AS m FROM embeddings)
+       SELECT vec_id, list_transform(range(1, 5), lambda i: round((v[i] + m * v[i + 4]) / (1 + m), 6)) AS pooled FROM p""",
+)
+def mean_pool(spark, sf_dir):
+    """Of each vector the first two four-component parts as states, the second under a mask."""
+    states = F.array(F.slice("embedding", 1, 4), F.slice("embedding", 5, 4))
+    pooled = X.mean_pooled(states, F.array(F.lit(1), (F.col("vec_id") % 2).cast("int")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))

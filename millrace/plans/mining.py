@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import mining as M
+from millrace.operators.redaction import redacted_json
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -141,3 +142,31 @@ def major_version(spark, sf_dir):
     custkey = F.col("o_custkey").cast("string")
     v = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("v"), custkey, F.lit(".2"))).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).otherwise(custkey)
     return table(spark, sf_dir, "orders").select("o_orderkey", X.major_version(v).alias("major"))
+
+
+@query(
+    "redact_x14_nested",
+    rf"""SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4096 THEN '<redacted: too_long>'
+                            ELSE regexp_replace(regexp_replace(text, '\b[0-9a-fA-F]{{32,}}\b', '<redacted: hex_token>', 'g'), '{_EMAIL}', '<redacted: email>', 'g') END AS note,
+               CASE WHEN doc_id % 2 = 1 THEN '<redacted: source>' WHEN length(text) > 256 THEN text[1:256] || '…' ELSE text END AS code,
+               sha256(doc_id::VARCHAR) AS chunk_id, '<redacted: hex_token>' AS other FROM documents WHERE text IS NOT NULL""",
+)
+def redacted_payload(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    digest = F.sha2(F.col("doc_id").cast("string"), 256)
+    payload = F.to_json(F.struct(F.struct(F.array("text").alias("note"), digest.alias("chunk_id"), digest.alias("other")).alias("of"), F.col("text").alias("code")))
+    out = d.select("doc_id", redacted_json(payload, F.when(F.col("doc_id") % 2 == 1, "info").otherwise("debug")).alias("p"))
+    found = out.select("doc_id", F.from_json("p", "of struct<note: array<string>, chunk_id: string, other: string>, code string").alias("p"))
+    return found.select("doc_id", F.col("p.of.note")[0].alias("note"), "p.code", "p.of.chunk_id", "p.of.other")
+
+
+@query(
+    "ids_x21_time_ordered",
+    "SELECT event_id, lpad(lower(to_hex(epoch_ms(ts))), 12, '0') AS millis, true AS of_version_7 FROM events WHERE ts IS NOT NULL",
+)
+def time_ordered(spark, sf_dir):
+    # the column has no zone and is read as UTC, whatever the session's zone
+    at = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp")
+    ids = table(spark, sf_dir, "events").where(F.col("ts").isNotNull()).select("event_id", X.time_ordered_id(at).alias("id"))
+    good = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return ids.select("event_id", F.translate(F.substring("id", 1, 13), "-", "").alias("millis"), good.alias("of_version_7"))

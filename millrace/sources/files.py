@@ -1,4 +1,4 @@
-"""Rows by file suffix, manifests with their own hash, front matter, and chunks of a folder of sources."""
+"""Rows by file suffix, indexes, splits, manifests with their own hash, checks before a run, front matter, and chunks of a folder of sources."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import datetime
 import hashlib
 import json
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.errors import HashMismatch, InvalidRecord
+from millrace.errors import HashMismatch, InvalidRecord, PreflightFailure
 from millrace.operators.code import chunk_sources
 from millrace.operators.mining import python_files
 from millrace.operators.normalise import normalise_chunks
@@ -20,6 +22,9 @@ ZERO_HASH = "0" * 64
 FRONT_MATTER = r"\A---\s*\n(.*?)\n---\s*\n"
 KEY_VALUE = r"^([A-Za-z_][A-Za-z0-9_]*):\s*(.*?)\s*$"
 MANIFEST_VERSION = "v1"
+SEQUENCES = "repo string, file_path string, context_ids array<array<int>>, target_ids array<int>, intent_idx tinyint, sequence_id string"
+SPLITS = ("train", "val", "test")
+BASELINES = ("bm25", "mlm_encoder", "codebert")
 
 
 def load_rows(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -92,3 +97,91 @@ def front_matter(text: str) -> dict[str, str]:
 def chunk_repo(spark: SparkSession, root: str, subset: tuple[str, ...] = ()) -> DataFrame:
     """(path, qualname, kind, start_line, end_line, source, normalised) of the chunks of a folder's sources; those without a normal form are dropped."""
     return normalise_chunks(chunk_sources(python_files(spark, root, subset), "path", "text"))
+
+
+def write_sequences(df: DataFrame, path: str) -> None:
+    """Sequences with their fixed schema; other columns are left out."""
+    write_rows(df, path, StructType.fromDDL(SEQUENCES))
+
+
+def write_splits(df: DataFrame, folder: str, split: str = "split") -> None:
+    """One Parquet folder a split, in one pass; rows without a split go to none of the known ones."""
+    df.write.partitionBy(split).parquet(folder)
+
+
+def load_splits(spark: SparkSession, folder: str, split: str = "split") -> dict[str, DataFrame]:
+    """The rows of each split that the folder has; an error where it has none. Only a split's own files are read."""
+    rows = spark.read.parquet(folder)
+    found = {r[split] for r in rows.select(split).where(F.col(split).isin(*SPLITS)).distinct().collect()}
+    if not found:
+        raise ValueError(f"no split in {folder}")
+    return {s: rows.where(F.col(split) == s).drop(split) for s in SPLITS if s in found}
+
+
+def write_index(df: DataFrame, folder: str, index_id: str, key: str = "chunk_id", vector: str = "vector", source: str = "source") -> str:
+    """The vectors of an exact index, with their keys and sources, under the index's name; an index is never overwritten."""
+    path = f"{folder}/index_id={index_id}"
+    df.select(F.col(key).alias("chunk_id"), F.col(source).cast("string").alias("source"), F.col(vector).cast("array<float>").alias("vector")).write.parquet(path)
+    return path
+
+
+def load_index(spark: SparkSession, folder: str, index_id: str, checkpoint: str | None = None, manifest: str | None = None) -> DataFrame:
+    """(chunk_id, source, vector) of an index named checkpoint-manifest; an error if a half does not begin with the expected prefix."""
+    built_by, _, built_on = index_id.partition("-")
+    for what, expected, stored in (("checkpoint", checkpoint, built_by), ("manifest", manifest, built_on)):
+        if expected is not None and not stored.startswith(expected):
+            raise HashMismatch(f"the index is of {what} {stored!r}, not {expected!r}")
+    return spark.read.parquet(f"{folder}/index_id={index_id}")
+
+
+def human_scores(folder: str) -> dict:
+    """What the annotators' file states; nulls and a status where it is absent or empty. Agreement is read, not computed."""
+    path = Path(folder) / "human_annotations.json"
+    found = json.loads(path.read_text()) if path.exists() else {}
+    if not found:
+        return {"mean_likert": None, "cohen_kappa": None, "status": "no_human_annotations"}
+    return {"mean_likert": float(found.get("mean_likert", 0.0)), "cohen_kappa": float(found.get("cohen_kappa", 0.0)), "status": "ok"}
+
+
+def preflight(manifest_path: str, baselines_path: str | None = None) -> dict[str, bool]:
+    """The checks before a training run, all of them done before an error names those that failed.
+
+    The manifest is there and, where it carries repositories and a hash, true to it; audits
+    embedded in it pass all gates; the file of baseline figures, where one is asked for, parses.
+    """
+    manifest = _json(manifest_path)
+    valid = manifest is not None
+    if isinstance(manifest, dict) and {"manifest_hash", "repos"} <= set(manifest):
+        valid = manifest["manifest_hash"] == manifest_hash(manifest)
+    audits = manifest.get("audits") if isinstance(manifest, dict) else None
+    checks = {
+        "manifest_exists_and_valid": valid,
+        "audit_gates": valid and _audits_pass(audits),
+        "baseline_metrics": baselines_path is None or _json(baselines_path) is not None,
+    }
+    if failed := [name for name, passed in checks.items() if not passed]:
+        raise PreflightFailure(failed)
+    return checks
+
+
+def missing_baselines(folder: str) -> list[str]:
+    """The baselines whose results.json the folder lacks; a run starts only where there is none."""
+    return [name for name in BASELINES if not (Path(folder) / name / "results.json").exists()]
+
+
+def _json(path: str) -> object:
+    try:
+        return json.loads(Path(path).read_text())
+    except (OSError, json.JSONDecodeError):
+        return None
+
+
+def _audits_pass(audits: object) -> bool:
+    """No audits, or paths of audits, assert nothing; an embedded audit must say that it passes."""
+    if not audits:
+        return True
+    if not isinstance(audits, dict | list):
+        return False
+    entries = list(audits.values()) if isinstance(audits, dict) else audits
+    known = isinstance(audits, dict) or all(isinstance(e, dict | str) for e in entries)
+    return known and all(e.get("passes_all_gates", False) for e in entries if isinstance(e, dict))
