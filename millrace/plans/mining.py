@@ -162,7 +162,7 @@ def redacted_payload(spark, sf_dir):
 
 @query(
     "ids_x21_time_ordered",
-    "SELECT event_id, lpad(lower(to_hex(epoch_ms(ts))), 12, '0') AS millis, true AS of_version_7 FROM events WHERE ts IS NOT NULL",
+    "SELECT event_id, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS millis, true AS of_version_7 FROM events WHERE ts IS NOT NULL",
 )
 def time_ordered(spark, sf_dir):
     # the column has no zone and is read as UTC, whatever the session's zone
