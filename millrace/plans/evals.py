@@ -50,13 +50,13 @@ _PICKS = "SELECT draw, floor(('0x' || md5('{seed}|' || draw || '|' || i)[1:13]):
     f"""WITH s AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer),
         picks AS ({_PICKS.format(seed=0, draws=1000)}),
         m AS (SELECT draw, avg(c_acctbal) AS mean FROM picks JOIN s USING (pos) GROUP BY draw)
-        SELECT (SELECT round(avg(c_acctbal), 4) FROM s) AS mean, (SELECT round(stddev_samp(c_acctbal), 4) FROM s) AS std, (SELECT count(*) FROM s) AS n, 1000 AS n_boot, 0.95::DOUBLE AS level,
-               round(quantile_cont(mean, 0.025), 4) AS ci_low, round(quantile_cont(mean, 0.975), 4) AS ci_high FROM m""",
+        SELECT (SELECT round(avg(c_acctbal), 5) FROM s) AS mean, (SELECT round(stddev_samp(c_acctbal), 5) FROM s) AS std, (SELECT count(*) FROM s) AS n, 1000 AS n_boot, 0.95::DOUBLE AS level,
+               round(quantile_cont(mean, 0.025), 5) AS ci_low, round(quantile_cont(mean, 0.975), 5) AS ci_high FROM m""",
 )
 def bootstrap(spark, sf_dir):
     s = V.numbered(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
     out = V.bootstrap_ci(s, "at", "c_acctbal")
-    return out.select(*[F.round(c, 4).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "n", "n_boot", "level")
+    return out.select(*[F.round(c, 5).alias(c) for c in ("mean", "std", "ci_low", "ci_high")], "n", "n_boot", "level")
 
 
 @query(
