@@ -78,9 +78,9 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the row of each."""
-    solid = ~SPACES[data]
+def words(data: np.ndarray, starts: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of what the bytes of ``between`` part) and the row of each."""
+    solid = ~between[data]
     if not solid.any():
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -97,6 +97,13 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(starts, begin, "right") - 1
 
 
+def word_values(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words as an Arrow column over the same bytes: every even value is a word, every odd one what lies between two."""
+    offsets = np.empty(2 * len(begin), np.int64)
+    offsets[::2], offsets[1::2] = begin, end
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(offsets) - 1), [None, pa.py_buffer(offsets if len(offsets) else np.zeros(1, np.int64)), pa.py_buffer(data)])
+
+
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     base = np.uint64(0x9E3779B97F4A7C15)
     inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
