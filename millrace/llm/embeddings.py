@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import batches_of
 from millrace.operators.components import components, local_components
 from millrace.session import scratched, settle
 
@@ -27,7 +28,21 @@ def _matrix(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _basis(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which changes no digit, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with the same row of b, from the given components."""
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+
+
+def _basis(classes: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
     """Of each dimension the principal axes, strongest first, from all vectors. Partitions send sums, which a few tasks add up."""
 
     def total(gram: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +53,7 @@ def _basis(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
         for batch in batches:
             dim = batch.column("dim").to_numpy()
             for d in np.unique(dim).tolist():
-                x = _matrix(batch.filter(pa.array(dim == d)), "unit", d)
+                x = _unit(_scaled(_matrix(batch.filter(pa.array(dim == d)), "v", d)))
                 x = np.c_[x, np.ones(len(x))]
                 gram[d] = gram.get(d, 0) + x.T @ x
         yield from total(gram)
@@ -52,7 +67,7 @@ def _basis(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
 
     schema = "dim int, gram binary"
     sums: dict[int, np.ndarray] = {}
-    for r in units.select("dim", "unit").mapInArrow(each, schema).repartition(4).mapInArrow(some, schema).collect():
+    for r in classes.select("dim", "v").mapInArrow(each, schema).repartition(4).mapInArrow(some, schema).collect():
         sums[r["dim"]] = sums.get(r["dim"], 0) + np.frombuffer(r["gram"]).reshape(r["dim"] + 1, r["dim"] + 1)
     axes = {}
     for d in dims:
@@ -62,7 +77,7 @@ def _basis(units: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
     return axes
 
 
-def _blocks(units: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
+def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
     """The vectors in epsilon grid order, cut into sequence intervals with their boxes."""
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,17 +85,18 @@ def _blocks(units: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFr
             dim = batch.column("dim").to_numpy()
             for d in np.unique(dim).tolist():
                 own = batch.filter(pa.array(dim == d))
-                y = _matrix(own, "unit", d) @ axes[d]
+                x = _scaled(_matrix(own, "v", d))
+                y = _unit(x) @ axes[d][:, :GRID_DIMS]
                 cells = np.zeros((len(y), GRID_DIMS), np.int32)
                 k = min(d, GRID_DIMS)
                 cells[:, :k] = np.floor(y[:, :k] / eps)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(c) for c in ("label", "dim", "id", "n")] + [pa.array(cells[:, i]) for i in range(GRID_DIMS)] + [pa.array([v.tobytes() for v in y], pa.binary())],
+                    [own.column(c) for c in ("label", "dim", "id", "n")] + [pa.array(cells[:, i]) for i in range(GRID_DIMS)] + [pa.array([v.tobytes() for v in x], pa.binary())],
                     names=["label", "dim", "id", "n", *(f"c{i}" for i in range(GRID_DIMS)), "v"],
                 )
 
     names = [f"c{i}" for i in range(GRID_DIMS)]
-    placed = units.mapInArrow(rotate, "label long, dim int, id long, n long, " + ", ".join(f"{c} int" for c in names) + ", v binary")
+    placed = classes.mapInArrow(rotate, "label long, dim int, id long, n long, " + ", ".join(f"{c} int" for c in names) + ", v binary")
     placed = placed.repartitionByRange("label", "dim", *names, "id").sortWithinPartitions("label", "dim", *names, "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +106,16 @@ def _blocks(units: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFr
         def block(rows: pa.Table) -> pa.RecordBatch:
             nonlocal made
             d = rows.column("dim")[0].as_py()
-            y = np.frombuffer(b"".join(rows.column("v").to_pylist())).reshape(-1, d)
+            x = np.frombuffer(b"".join(rows.column("v").to_pylist())).reshape(-1, d)
             made += 1
-            low, high = y[:, :BOX_DIMS].min(0), y[:, :BOX_DIMS].max(0)
+            y = _unit(x) @ axes[d][:, :BOX_DIMS]
+            low, high = y.min(0), y.max(0)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) | made]), rows.column("label").slice(0, 1).combine_chunks(), pa.array([d], pa.int32()),
                     pa.array([int(np.floor(low[0] / eps))]), pa.array([int(np.floor(high[0] / eps))]),
                     pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64())),
-                    pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()), pa.array([rows.column("n").to_numpy().tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()),
+                    pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()), pa.array([rows.column("n").to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()),
                 ],
                 names=["block", "label", "dim", "first", "last", "low", "high", "ids", "ns", "m"],
             )
@@ -122,8 +139,13 @@ def _blocks(units: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFr
     return placed.mapInArrow(cut, "block long, label long, dim int, first long, last long, low array<double>, high array<double>, ids binary, ns binary, m binary")
 
 
-def _join(a: np.ndarray, b: np.ndarray, same: bool, cosine: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The linked positions of two sequences, by halving intervals and skipping those whose boxes are further apart than eps."""
+def _join(va: np.ndarray, vb: np.ndarray, axes: np.ndarray, same: bool, cosine: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The linked positions of two sequences, by halving intervals and skipping those whose boxes are further apart than eps.
+
+    Products of rotated vectors are off in the last digits; pairs so near the threshold that it
+    matters are judged by the cosine of the given components.
+    """
+    a, b = _unit(va) @ axes, _unit(vb) @ axes
 
     def boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(0, len(x), LEAF)
@@ -140,9 +162,14 @@ def _join(a: np.ndarray, b: np.ndarray, same: bool, cosine: float, eps: float) -
         if (gap * gap).sum() > eps * eps + _SLACK:
             continue
         if j - i == 1 and m - k == 1:
-            x, y = np.nonzero(a[i * LEAF : j * LEAF] @ b[k * LEAF : m * LEAF].T >= cosine)
+            product = a[i * LEAF : j * LEAF] @ b[k * LEAF : m * LEAF].T
+            x, y = np.nonzero(product >= cosine - _SLACK)
+            keep = product[x, y] >= cosine + _SLACK
             x, y = x + i * LEAF, y + k * LEAF
-            keep = x < y if same else slice(None)
+            close = np.flatnonzero(~keep)
+            keep[close] = _exact(va[x[close]], vb[y[close]]) >= cosine
+            if same:
+                keep &= x < y
             yield x[keep], y[keep]
         elif j - i >= m - k:
             mid = (i + j) // 2
@@ -162,10 +189,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     classes a task adds up its links and hands on a spanning forest only, so the rows stay
     proportional to vectors and pairs of near blocks, however many links there are. The key
     is taken to identify a vector; a vector with a null key links like any other, and a
-    component of null keys alone has a null id. An empty table gives no rows.
+    component of null keys alone has a null id. An empty table gives no rows. A cosine equal to
+    the threshold links: it is taken from the given components, in double precision.
     """
     spark = df.sparkSession
-    eps = float(np.sqrt(2 - 2 * cosine))
+    eps = float(np.sqrt(2 - 2 * cosine + 4 * _SLACK))
     rows = df.select(df[key].cast("long").alias("id"), df[label].cast("long").alias("label"), df[vector].cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -174,13 +202,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     # min of the keys may be null, so classes are joined by a number of their own; written, so it stays
     classes = good.groupBy("label", "v").agg(F.min("id").alias("key"), F.count(F.lit(1)).alias("n"))
     classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
-    # scaled first, so that squares neither overflow nor vanish
-    scaled = classes.withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("top")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    units = scaled.withColumn("norm", norm).select("label", F.size("v").alias("dim"), "id", "n", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
-    dims = [r["dim"] for r in units.select("dim").distinct().collect()]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    blocks = settle(_blocks(units, _basis(units, dims), eps), "blocks")
+    own = classes.select("label", F.size("v").alias("dim"), "id", "n", "v")
+    dims = [r["dim"] for r in own.select("dim").distinct().collect()]
+    with batches_of(spark, 1000):
+        axes = _basis(own, dims)
+        blocks = settle(_blocks(own, axes, eps), "blocks")
     meta = blocks.select("block", "label", "dim", "first", "last", "low", "high")
     left = meta.select("label", "dim", F.col("block").alias("a"), F.col("first").alias("fa"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence("first", "last")).alias("cell"))
     right = meta.select(
@@ -202,7 +228,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 a, b, dim, ia, na, ma, ib, nb, mb = (batch.column(c)[r].as_py() for c in ("a", "b", "dim", "ia", "na", "ma", "ib", "nb", "mb"))
                 ia, ib, na, nb = (np.frombuffer(x, np.int64) for x in (ia, ib, na, nb))
                 ma, mb = (np.frombuffer(x).reshape(-1, dim) for x in (ma, mb))
-                found = list(_join(ma, mb, a == b, cosine, eps))
+                found = list(_join(ma, mb, axes[dim], a == b, cosine, eps))
                 x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
                 y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
                 if not len(x):
@@ -214,9 +240,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 counts = np.concatenate([ca[ca > 0], cb[cb > 0]])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(roots[np.searchsorted(nodes, ids)])], names=["id", "links", "root"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    found = settle(pairs.mapInArrow(link, "id long, links long, root long"), "links")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    with batches_of(spark, 16):
+        found = settle(pairs.mapInArrow(link, "id long, links long, root long"), "links")
     groups = components(found.where("id <> root"), "id", "root")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     judged = classes.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -221,6 +221,26 @@ def test_embeddings_against_brute_force(spark):
     assert out == brute_vectors(rows)
 
 
+def test_embeddings_at_the_threshold(spark):
+    """The cosine of (±1, 0, ...) and (±49, ±9, ±3, ±3, 0, ...) is 49 / 50, in double precision as well, wherever the components stand and whatever their scale."""
+    rng, rows = random.Random(7), []
+    for label in range(300):
+        places, scale = rng.sample(range(16), 4), 2.0 ** rng.choice([-600, -3, 0, 500])
+        a, b = [0.0] * 16, [0.0] * 16
+        for p, x in zip(places, (49, 9, 3, 3), strict=True):
+            b[p] = x * rng.choice([-1, 1]) * scale
+        a[places[0]] = 1.0 if b[places[0]] > 0 else -1.0
+        rows += [(2 * label, a, label), (2 * label + 1, b, label)]
+        below = list(b)
+        below[places[1]] *= 1 + 1e-12
+        rows += [(10000 + 2 * label, a, 1000 + label), (10001 + 2 * label, below, 1000 + label)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert out == {i: (1, i - i % 2) if i < 10000 else (0, i) for i, _, _ in rows}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_embeddings_with_null_keys(spark):
     far = [0.0] * 16
     rows = [(1, [1.0, 0.0] + far, 1), (None, [1.0, 0.1] + far, 1), (2, [1.0, 0.15] + far, 1), (3, [0.0, 0.0, 1.0] + far[1:], 1), (None, [0.0] * 17 + [1.0], 1), (None, [0.0] * 17 + [1.0], 1)]
