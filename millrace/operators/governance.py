@@ -40,8 +40,9 @@ EVENTS = (
 def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str, str, Column]]:
     """(path, rule, broken) of a JSON schema on a column of parsed JSON (variant text), for flat and nested objects.
 
-    ``value`` is JSON text. Supported: type, enum, required, properties, additionalProperties,
-    items (by length only), pattern, minimum, maximum, minLength, maxLength.
+    ``value`` is JSON text. Supported: type (one or a list), enum, required, properties,
+    additionalProperties (false), pattern, minimum, maximum, minLength, maxLength; what
+    ``items`` asks of the elements of arrays is in ``element_hits``.
     """
     rules: list[tuple[str, str, Column]] = []
     kind = schema.get("type")
@@ -56,8 +57,9 @@ def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str
             "array": found.rlike("^ARRAY"),
             "object": found.rlike("^(OBJECT|STRUCT)"),
             "null": found == "VOID",
-        }[kind]
-        rules.append((path, "type", ~F.coalesce(wanted, F.lit(False))))
+        }
+        any_of = reduce(lambda x, y: x | y, [wanted[k] for k in (kind if isinstance(kind, list) else [kind])])
+        rules.append((path, "type", ~F.coalesce(any_of, F.lit(False))))
     text = F.try_variant_get(variant, "$", "string")
     if "enum" in schema:
         rules.append((path, "enum", ~F.coalesce(text.isin(*[str(e) for e in schema["enum"]]), F.lit(False))))
@@ -72,7 +74,8 @@ def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str
             rules.append((path, name, F.coalesce(test(F.length(text), schema[name]), F.lit(False))))
     fields = schema.get("properties", {})
     for name in schema.get("required", []):
-        rules.append((f"{path}.{name}", "required", F.get_json_object(value, f"$.{name}").isNull() & ~F.coalesce(F.array_contains(F.json_object_keys(value), name), F.lit(False))))
+        # asked of objects only: what is none breaks the type
+        rules.append((f"{path}.{name}", "required", F.coalesce(~F.array_contains(F.json_object_keys(value), name), F.lit(False))))
     if schema.get("additionalProperties") is False:
         extra = F.array_except(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
         rules.append((path, "additionalProperties", F.size(extra) > 0))
@@ -83,11 +86,39 @@ def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str
     return rules
 
 
+def _hits(rules: list[tuple[str, str, Column]], path: Column) -> Column:
+    """The broken rules as an array of (path, rule), below a path."""
+    if not rules:
+        return F.array().cast("array<struct<path: string, rule: string>>")
+    found = [F.when(broken, F.struct(F.concat(path, F.lit(p)).alias("path"), F.lit(r).alias("rule"))) for p, r, broken in rules]
+    return F.filter(F.array(*found), lambda h: h.isNotNull())
+
+
+def element_hits(schema: dict, value: Column, path: Column) -> list[Column]:
+    """Arrays of (path, rule) of all broken rules inside arrays, at any depth, by the place of the element: $.a[3].b.
+
+    Elements are taken apart as variants within the row: no row is made for an element.
+    """
+    variant = F.try_parse_json(value)
+    out = []
+    if isinstance(schema.get("items"), dict):
+        items = schema["items"]
+
+        def each(element: Column, place: Column) -> Column:
+            own, here = F.to_json(element), F.concat(path, F.lit("["), place.cast("string"), F.lit("]"))
+            return F.flatten(F.array(_hits(schema_rules(items, own, ""), here), *element_hits(items, own, here)))
+
+        elements = F.try_variant_get(variant, "$", "array<variant>")
+        out.append(F.coalesce(F.flatten(F.transform(elements, each)), F.array().cast("array<struct<path: string, rule: string>>")))
+    for name, part in schema.get("properties", {}).items():
+        out += element_hits(part, F.to_json(F.try_variant_get(variant, f"$.{name}", "variant")), F.concat(path, F.lit(f".{name}")))
+    return out
+
+
 def violations(df: DataFrame, key: str, value: str, schema: dict) -> DataFrame:
-    """(key, path, rule) of every broken rule, in one pass over df."""
-    rules = schema_rules(schema, F.col(value))
-    hits = [F.when(broken, F.struct(F.lit(p).alias("path"), F.lit(r).alias("rule"))) for p, r, broken in rules]
-    return df.select(key, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select(key, "h.path", "h.rule")
+    """(key, path, rule) of every broken rule, in arrays too, in one pass over df."""
+    broken = F.flatten(F.array(_hits(schema_rules(schema, F.col(value), ""), F.lit("$")), *element_hits(schema, F.col(value), F.lit("$"))))
+    return df.select(key, F.explode(broken).alias("h")).select(key, "h.path", "h.rule")
 
 
 def log_violations(df: DataFrame, key: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import EMAIL, PRAGMA_PREFIXES, TRAILING_PRAGMA
+from millrace.operators.tokens import MAX_TOKEN_LENGTH, encode, over_cap, token_ids
 
 # Fixed values.
 SENTINEL = '"<DOC>"'
@@ -158,3 +159,14 @@ def node_pairs(df: DataFrame, key: str, before: str = "before", after: str = "af
     own = df.select(F.col(key).alias("_key"), F.col(before).alias("_before"), F.col(after).alias("_after"))
     schema = f"_key {own.schema['_key'].dataType.simpleString()}, _nodes array<struct<qualname: string, before: string, after: string>>"
     return own.mapInArrow(run, schema).select(F.col("_key").alias(key), F.inline("_nodes"))
+
+
+def embedding_input(df: DataFrame, source: str = "source", length: int = MAX_TOKEN_LENGTH) -> DataFrame:
+    """df with token_ids, what an encoder of chunks takes in: the framed ids of the source's normal form.
+
+    Null where the source does not compile, and where its form has more ids than fit: such
+    chunks are refused, not cut.
+    """
+    own = encode(_mapped(df, [source], "_normal", normalise), "_normal", "_ids")
+    ids = F.when(F.col("_normal").isNotNull() & ~over_cap(F.col("_ids"), length), token_ids(F.col("_ids"), length))
+    return own.withColumn("token_ids", ids).drop("_normal", "_ids")

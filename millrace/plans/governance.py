@@ -32,11 +32,45 @@ def log_rules(spark, sf_dir):
 _SCHEMA = {"type": "object", "required": ["k", "missing"], "properties": {"k": {"type": "integer", "maximum": 50}}, "additionalProperties": False}
 
 
-@query("govern_g1_schema")
+@query(
+    "govern_g1_schema",
+    """SELECT event_id, '$.missing' AS path, 'required' AS rule FROM events
+       UNION ALL SELECT event_id, '$.k', 'maximum' FROM events WHERE (props->>'k')::BIGINT > 50""",
+)
 def schema(spark, sf_dir):
     return G.violations(table(spark, sf_dir, "events"), "event_id", "props", _SCHEMA)
 
 
+_ITEMS = {
+    "type": "object",
+    "properties": {
+        "k": {"type": ["integer", "null"]},
+        "a": {"type": "array", "items": {"type": "object", "required": ["b"], "properties": {"b": {"type": "integer", "minimum": 10}, "c": {"type": "array", "items": {"type": "string", "maxLength": 4}}}}},
+    },
+}
+
+
+@query(
+    "govern_g1_items",
+    """WITH e AS (SELECT event_id, (props->>'k')::BIGINT AS k, event_type FROM events)
+       SELECT event_id, '$.a[0].b' AS path, 'minimum' AS rule FROM e WHERE k < 10
+       UNION ALL SELECT event_id, '$.a[1].b', 'required' FROM e
+       UNION ALL SELECT event_id, '$.a[2].b', 'type' FROM e
+       UNION ALL SELECT event_id, '$.a[' || 3 + i || ']', 'type' FROM e, range(3) r(i) WHERE i < k % 3
+       UNION ALL SELECT event_id, '$.a[3].c[1]', 'maxLength' FROM e WHERE k % 3 = 0 AND length(event_type) > 4
+       UNION ALL SELECT event_id, '$.a[3].c[0]', 'type' FROM e WHERE k % 3 = 0
+       UNION ALL SELECT event_id, '$.a[3].b', 'required' FROM e WHERE k % 3 = 0""",
+)
+def array_items(spark, sf_dir):
+    """Props with an array built from each event: objects that lack b or have another kind of b, bare numbers, and an array inside an element."""
+    k, kind = F.get_json_object("props", "$.k").cast("long"), F.col("event_type")
+    bare = F.array_join(F.slice(F.array(F.lit("7"), F.lit("true")), 1, (k % 3).cast("int")), ",")
+    inner = F.concat(F.lit('{"c":[1,"'), kind, F.lit('"]}'))
+    last = F.when(k % 3 == 0, inner).otherwise(bare)
+    json = F.concat(F.lit('{"k":null,"a":[{"b":'), k, F.lit('},{"d":1},{"b":"x"},'), last, F.lit("]}"))
+    return G.violations(table(spark, sf_dir, "events").select("event_id", json.alias("json")), "event_id", "json", _ITEMS)
+
+
 @query("govern_g3_first_mismatch", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'checkpoint_hash' WHEN o_orderkey % 5 = 0 THEN 'manifest_hash' END AS mismatch FROM orders")
 def mismatch(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("a").alias("c"), F.when(F.col("o_orderkey") % 7 == 0, "b").otherwise("a").alias("c2"), F.lit("a").alias("m"), F.when(F.col("o_orderkey") % 5 == 0, "b").otherwise("a").alias("m2"))

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("corpus", "sequences", "retrieval", "evals", "mining", "governance", "code", "sources")
+MODULES = ("corpus", "sequences", "retrieval", "evals", "mining", "governance", "code", "sources", "tokens", "streams", "suites")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
