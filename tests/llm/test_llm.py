@@ -292,13 +292,17 @@ def test_url_rules_against_all_combinations(spark):
     rows = [(i, "http://a.net/" + "/".join(own := [w for w in words if rng.random() < 0.45]), rng.random() < (0.9 if {"buy", "win"} <= set(own) else 0.3)) for i in range(150)]
     df = spark.createDataFrame([*rows, (None, "http://a.net/lone/x", True), (900, None, True), (901, "http://a.net/buy", None)], "page_id long, url string, bad boolean")
     known = [(frozenset(urls_tokens(u)), bad) for _, u, bad in [*rows, (None, "http://a.net/lone/x", True), (900, None, True)]]
-    base = sum(b for _, b in known) / len(known)
-    rules = {}
+    n, n_bad = len(known), sum(b for _, b in known)
+    everywhere = frozenset.intersection(*(t for t, _ in known))
+    tested = {}
     for size in range(1, 9):
-        for combo in combinations(sorted(set().union(*(t for t, _ in known))), size):
+        for combo in combinations(sorted(set().union(*(t for t, _ in known)) - everywhere), size):
             marks = [b for t, b in known if set(combo) <= t]
-            if sum(marks) >= urls.MIN_COUNT and sum(marks) / len(marks) >= urls.MIN_CONFIDENCE and wilson(sum(marks), len(marks), urls.ERRORS) > base:
-                rules[combo] = sum(marks) / len(marks)
+            if len(marks) >= max(urls.MIN_SUPPORT * n, urls.MIN_COUNT - 0.5):
+                tested[combo] = (hypergeometric(sum(marks), len(marks), n_bad, n) if sum(marks) >= urls.MIN_COUNT else 1.0, sum(marks), len(marks))
+    chances = sorted(c for c, _, _ in tested.values())
+    most = max((c for i, c in enumerate(chances) if c <= urls.FALSE_SHARE * (i + 1) / len(chances)), default=-1)
+    rules = {w: k / m for w, (c, k, m) in tested.items() if c <= most and k >= urls.MIN_COUNT and k / m >= urls.MIN_CONFIDENCE}
     want = {w: c for w, c in rules.items() if not any(set(v) < set(w) and rules[v] >= c for v in rules)}
     got = {tuple(r.words): r.confidence for r in urls.mine(df, "url", "bad").collect()}
     assert got == pytest.approx(want) and 0 < len(want) < len(rules) and "lone" not in {w for r in got for w in r}
@@ -307,9 +311,39 @@ def test_url_rules_against_all_combinations(spark):
     assert len(out) == 153 and sum(r.page_id is None for r in out) == 1
 
 
-def wilson(hits, n, z):
-    """The smaller root of (hits / n - p)^2 = z^2 p (1 - p) / n."""
-    return min(np.roots([1 + z * z / n, -(2 * hits / n + z * z / n), (hits / n) ** 2]))
+def hypergeometric(hits, of, bad, n):
+    """The tail, in whole numbers; 1 where the share is no higher than among all."""
+    from fractions import Fraction
+    from math import comb
+
+    if hits * n <= bad * of:
+        return 1.0
+    return float(Fraction(sum(comb(bad, i) * comb(n - bad, of - i) for i in range(hits, min(of, bad) + 1)), comb(n, of)))
+
+
+def test_url_chances():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(1, 200)
+        bad, of = rng.randint(0, n), rng.randint(1, n)
+        hits = rng.randint(max(0, of - (n - bad)), min(of, bad)) if min(of, bad) >= max(0, of - (n - bad)) else 0
+        assert urls.chance(hits, of, bad, n) == pytest.approx(hypergeometric(hits, of, bad, n), rel=1e-9)
+    assert urls.chance(2000, 4000, 300_000, 1_000_000) < 1e-100 < urls.chance(1300, 4000, 300_000, 1_000_000)
+
+
+def test_url_rules_planted_in_several_strengths(spark):
+    """Of words on 100 of 3000 pages, those with 30 points more bad pages than the rest are found, those with none are not."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(3000):
+        own = [w for w in ("none", "some", "much", "all") if rng.random() < 1 / 30] + [f"n{rng.randint(0, 39)}x"]
+        odds = max([0.25, *(p for w, p in (("some", 0.35), ("much", 0.7), ("all", 0.97)) if w in own)])
+        rows.append((i, f"http://h{i}.net/" + "/".join(own), rng.random() < odds))
+    found = [set(r.words) for r in urls.mine(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), "url", "bad").collect()]
+    assert {"much"} in found and {"all"} in found and not any("none" in w or w == {"some"} for w in found)
+    # no label follows any word: no rule
+    shuffled = [(i, u, rng.random() < 0.26) for i, u, _ in rows]
+    assert urls.mine(spark.createDataFrame(shuffled, "page_id long, url string, bad boolean"), "url", "bad").count() == 0
 
 
 def urls_tokens(url):
