@@ -9,7 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connect
@@ -29,11 +29,21 @@ def digest(text: Column) -> Column:
 def exact_dedup(df: DataFrame, text: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): of rows with equal text, the one with the lowest seq stays.
 
-    Null texts are equal to each other. One shuffle on the digest, whose map side keeps one
-    row per digest, so a text that a third of the rows share does not fill a task.
+    Null texts are equal to each other. A null seq comes after all others; of several rows with
+    the lowest seq one stays. The map side keeps one seq per digest, and rows are
+    dealt by digest and seq together, so a text that a third of the rows share does not fill a
+    task.
     """
-    first = df.groupBy(digest(F.col(text)).alias("_digest")).agg(F.min(seq).alias(seq))
-    return df.join(first.select(seq), seq, "left_semi"), df.join(first.select(seq), seq, "left_anti")
+    own = df.withColumn("_digest", digest(F.col(text)))
+    first = own.groupBy("_digest").agg(F.min(F.struct(F.col(seq).isNull().alias("none"), F.col(seq).alias("seq"))).alias("_f"))
+    first = first.select(F.col("_digest").alias("_d"), F.col("_f.seq").alias("_s"), F.lit(True).alias("_lowest"))
+    joined = own.join(first, (F.col("_digest") == F.col("_d")) & F.col(seq).eqNullSafe(F.col("_s")), "left")
+    # the same choice in both results: by a hash of the row
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    again = F.row_number().over(Window.partitionBy("_digest", seq).orderBy(F.xxhash64(*plain)))
+    stays = F.coalesce(F.col("_lowest"), F.lit(False)) & (F.col("_again") == 1)
+    marked = joined.withColumn("_again", again)
+    return marked.where(stays).select(*df.columns), marked.where(~stays).select(*df.columns)
 
 
 @cache
@@ -71,6 +81,36 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
+#: Different shingles whose hashes a task keeps.
+GRAMS_HELD = 1 << 20
+
+
+def shingle_hashes(df: DataFrame, key: str, text: str, out: str = "hashes") -> DataFrame:
+    """(key, hashes): the 32-bit hash of each different shingle of a text, ascending; null and empty texts have none.
+
+    In Arrow batches: each shingle that a task meets is digested once, and texts are cut by
+    character without a copy of the text a place.
+    """
+    own = df.select(key, F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            lists = []
+            for t in batch.column("_text").to_pylist():
+                grams = _grams(t) if t else set()
+                if len(known) > GRAMS_HELD:
+                    known.clear()
+                for g in grams.difference(known):
+                    known[g] = int.from_bytes(hashlib.sha1(g.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+                lists.append(np.sort(np.fromiter((known[g] for g in grams), np.int64, len(grams))))
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, out])
+
+    return own.mapInArrow(run, f"`{key}` {own.schema[key].dataType.simpleString()}, `{out}` array<bigint>")
+
+
 def signature(text: str | None, n: int = HASHES) -> np.ndarray:
     """Per hash function the least value over the shingles' 32-bit hashes; PRIME for an empty text."""
     out = np.full(n, PRIME, np.uint64)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +24,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries, QUERY_BLOCK at a time, in key order; the driver holds one block."""
+    """The stated queries with a vector, QUERY_BLOCK at a time, in key order; the driver holds one block."""
     last = None
     while True:
-        part = queries.where(F.col(key) > last) if last is not None else queries
+        given = queries.where(F.col(vector).isNotNull())
+        part = given.where(F.col(key) > last) if last is not None else given
         rows = part.select(key, F.col(vector).cast("array<double>").alias(vector)).orderBy(key).limit(QUERY_BLOCK).toArrow()
         if not rows.num_rows:
             return
@@ -71,7 +75,8 @@ def target_ranks(index: DataFrame, pairs: DataFrame, key: str, vector: str, digi
     found = None
     last = None
     while True:
-        part = pairs.where(F.col("query") > last) if last is not None else pairs
+        given = pairs.where(F.col("qv").isNotNull() & F.col("tv").isNotNull())
+        part = given.where(F.col("query") > last) if last is not None else given
         rows = part.select("query", "target", F.col("qv").cast("array<double>").alias("qv"), F.col("tv").cast("array<double>").alias("tv")).orderBy("query").limit(QUERY_BLOCK).toArrow()
         if not rows.num_rows:
             break
@@ -136,6 +141,124 @@ def refusals(queries: DataFrame, reranked: DataFrame, tau: float = REFUSAL_TAU)
     return rows.select("query", n.alias("n"), passed.alias("n_passed"), F.coalesce("best", F.lit(0.0)).alias("best"), code.alias("refusal"))
 
 
+#: Bytes of the queries' words that are sent to every task at once; more queries take more passes.
+QUERY_BYTES = 16 << 20
+
+
+class _Asked:
+    """Queries as rows of (word number, weight) over their own vocabulary; weights are idf times the word's count in the query."""
+
+    def __init__(self, ids: list[int], words: list[list[str]]) -> None:
+        self.ids = np.array(ids, np.int64)
+        counts = [Counter(w) for w in words]
+        self.vocabulary = pa.array(sorted({w for c in counts for w in c}), pa.large_string())
+        number = {w: i for i, w in enumerate(self.vocabulary.to_pylist())}
+        self.words = [np.array([number[w] for w in c], np.int64) for c in counts]
+        self.counts = [np.array(list(c.values()), np.float64) for c in counts]
+
+
+def _asked_blocks(queries: DataFrame, query: str, words: str, limit: int) -> Iterator[_Asked]:
+    """Queries in blocks of about limit bytes; the driver holds one partition of them and one block."""
+    ids, texts, held = [], [], 0
+    for r in queries.select(F.col(query).cast("long").alias("q"), F.col(words).alias("w")).toLocalIterator():
+        own = [t for t in r["w"] or [] if t is not None]
+        size = sum(map(len, own)) + 100
+        if ids and held + size > limit:
+            yield _Asked(ids, texts)
+            ids, texts, held = [], [], 0
+        ids.append(r["q"])
+        texts.append(own)
+        held += size
+    if ids:
+        yield _Asked(ids, texts)
+
+
+def _known_words(corpus: DataFrame, words: str, vocabulary: pa.Array) -> DataFrame:
+    """(number, n): in how many rows each word of the vocabulary occurs; tasks count, and send one row a word."""
+    shared = corpus.sparkSession.sparkContext.broadcast(vocabulary.to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.large_string())
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            row, word, _ = _occurrences(batch.column(0), known)
+            total += np.bincount(word, minlength=len(known))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["number", "n"])
+
+    return corpus.select(words).mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+
+
+def _occurrences(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word number, occurrences) of the known words in a column of word lists."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    found = pc.index_in(lists.flatten().cast(pa.large_string()), value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(lists), dtype=np.int64), sizes)
+    keys, times = np.unique(rows[found >= 0] * max(1, len(known)) + found[found >= 0], return_counts=True)
+    return keys // max(1, len(known)), keys % max(1, len(known)), times
+
+
+def bm25_top(corpus: DataFrame, key: str, words: str, queries: DataFrame, query: str, query_words: str, k: int, digits: int = 6, limit: int = QUERY_BYTES) -> DataFrame:
+    """(query, key, score, rank): each query's k documents of the highest Okapi BM25, k1 = 1.5, b = 0.75, ties by key.
+
+    idf is ln((N - df + 0.5) / (df + 0.5)), at least 1e-3, so no shared word counts against a
+    document; a query's repeated words count each time; documents that share no word are not
+    ranked. Scores are rounded before they are ranked. No word is a shuffle key: tasks score their
+    documents against blocks of queries of at most ``limit`` bytes of words and keep k a query.
+    A query whose best possible score in a batch, by the highest weight of each of its words
+    there, is below its k-th score so far is not scored against that batch. Queries are few and
+    numbered; null words and null lists are none.
+    """
+    sizes = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.coalesce(words, F.array().cast("array<string>")))).alias("mean")).first()
+    n, mean = sizes["n"], sizes["mean"] or 1.0
+    spark, found = corpus.sparkSession, None
+    own = corpus.select(F.col(key).cast("long").alias(key), F.col(words).cast("array<string>").alias("_w"))
+    for asked in _asked_blocks(queries, query, query_words, limit):
+        idf = np.full(len(asked.vocabulary), 0.0)
+        for r in _known_words(own.select("_w"), "_w", asked.vocabulary).toLocalIterator():
+            idf[r["number"]] = max(math.log((n - r["n"] + 0.5) / (r["n"] + 0.5)), 1e-3)
+        shared = spark.sparkContext.broadcast((asked, idf))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, idf = shared.value
+            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in asked.words]
+            for batch in batches:
+                lists, docs = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+                length = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+                row, word, times = _occurrences(lists, asked.vocabulary)
+                weight = idf[word] * times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / mean))
+                order = np.argsort(word, kind="stable")
+                row, weight = row[order], weight[order]
+                ends = np.cumsum(np.bincount(word, minlength=len(idf)))
+                starts = np.r_[0, ends[:-1]].astype(np.int64)
+                most = np.zeros(len(idf))
+                used = np.flatnonzero(ends > starts)
+                if len(used):
+                    most[used] = np.maximum.reduceat(weight, starts[used])
+                for i, (terms, counts) in enumerate(zip(asked.words, asked.counts, strict=True)):
+                    score, doc = best[i]
+                    least = score[-1] if len(score) == k else 0.0
+                    if (most[terms] * counts).sum() < least - 10.0**-digits:
+                        continue
+                    total = np.zeros(len(docs))
+                    for a, b, c in zip(starts[terms].tolist(), ends[terms].tolist(), counts.tolist(), strict=True):
+                        total[row[a:b]] += c * weight[a:b]
+                    hit = np.flatnonzero(total > max(0.0, least - 10.0**-digits))
+                    score, doc = np.concatenate([score, np.round(total[hit], digits)]), np.concatenate([doc, docs[hit]])
+                    first = np.lexsort((doc, -score))[:k]
+                    best[i] = score[first], doc[first]
+            counts = [len(s) for s, _ in best]
+            if sum(counts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked.ids, counts)), pa.array(np.concatenate([d for _, d in best]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in best]))], names=["query", key, "score"])
+
+        part = own.mapInArrow(run, f"query long, `{key}` long, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], f"query long, `{key}` long, score double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def bm25(corpus: DataFrame, key: str, words: str, queries: DataFrame, query: str, query_words: str) -> DataFrame:
     """(query, key, score) of every document that shares a word with the query, by Okapi BM25 with k1 = 1.5, b = 0.75.
 
@@ -168,7 +291,8 @@ def mmr(candidates: DataFrame, vector: str, key: str, k: int, weight: float = 0.
         x, s = np.stack(rows[vector].to_list()).astype(float), rows["score"].to_numpy()
         like, chosen = x @ x.T, []
         while len(chosen) < min(k, len(rows)):
-            gain = weight * s - ((1 - weight) * like[:, chosen].max(1) if chosen else 0)
+            # rounded, so that ties go by key whatever the order of a sum
+            gain = np.round(weight * s - ((1 - weight) * like[:, chosen].max(1) if chosen else 0), 9)
             gain[chosen] = -np.inf
             chosen.append(int(np.lexsort((rows[key].to_numpy(), -gain))[0]))
         return pd.DataFrame({"query": rows["query"].iloc[chosen].to_numpy(), key: rows[key].iloc[chosen].to_numpy(), "pick": range(1, len(chosen) + 1)})

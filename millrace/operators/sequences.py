@@ -92,15 +92,19 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
 
 
-def mask_tokens(ids: Column, key: Column, mask_id: int, share: float = 0.15, seed: int = 0) -> tuple[Column, Column]:
-    """(masked ids, labels): a hashed share of positions shows mask_id and keeps its id as label; others have IGNORED_LABEL."""
+def with_masked(df: DataFrame, ids: str, key: str, mask_id: int, share: float = 0.15, seed: int = 0, masked: str = "masked", labels: str = "labels") -> DataFrame:
+    """df with masked ids and labels: a hashed share of positions shows mask_id and keeps its id as label; others have IGNORED_LABEL.
 
-    def hit(i: Column) -> Column:
-        return hash_uniform(F.lit(seed), key, i) < share
+    Each position is drawn once: the draws are a column of their own, which both others read.
+    """
+
+    def draw(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("id"), (hash_uniform(F.lit(seed), F.col(key), i) < share).alias("hit"))
 
-    masked = F.transform(ids, lambda x, i: F.when(hit(i), F.lit(mask_id)).otherwise(x))
-    labels = F.transform(ids, lambda x, i: F.when(hit(i), x).otherwise(F.lit(IGNORED_LABEL)))
-    return masked, labels
+    drawn = df.withColumn("_drawn", F.transform(ids, draw))
+    shown = F.transform("_drawn", lambda d: F.when(d["hit"], F.lit(mask_id)).otherwise(d["id"]))
+    kept = F.transform("_drawn", lambda d: F.when(d["hit"], d["id"]).otherwise(F.lit(IGNORED_LABEL)))
+    return drawn.withColumns({masked: shown, labels: kept}).drop("_drawn")
 
 
 def sequence_matrix(context: Column, target: Column, length: int, pad: int = 0) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,42 +44,87 @@ def priority(split: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SPLITS]), split)
 
 
-def detect_leakage(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.85) -> DataFrame:
-    """(split_a, a, split_b, b, jaccard) of rows of different splits with token sets at least so similar, a in the earlier split.
+def token_classes(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
+    """(id, split, class, w) of every row with tokens: rows of equal token sets are of one class, named by a 128-bit digest."""
+    rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(token_set(F.col(text))).alias("w")).where(F.size("w") > 0)
+    # tokens hold no white space, so the joined text is the set
+    return rows.withColumn("class", F.md5(F.array_join("w", " ").cast("binary")))
+
+
+def similar_classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(class, other, jaccard), both ways round, of classes of different token sets at least so similar.
 
     Token sets are ordered by corpus rarity; similar sets share one of their first
-    n - ceil(n * threshold) + 1 tokens, and sizes within the threshold. Equal sets are judged
-    once, so candidates do not grow with the number of copies; only the result rows do.
+    n - ceil(n * threshold) + 1 tokens. Sets meet by such a token and by a band of sizes, and
+    only neighbouring bands hold sizes within the threshold, so a frequent token's sets are
+    dealt out by size; what they can still share after that token must suffice.
     """
-    schema = f"split_a string, a {df.schema[key].dataType.simpleString()}, split_b string, b {df.schema[key].dataType.simpleString()}, jaccard double"
-    if threshold > 1:
-        return df.sparkSession.createDataFrame([], schema)
-    rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(token_set(F.col(text))).alias("w")).where(F.size("w") > 0)
-    rows = settle(rows.withColumn("set", F.xxhash64("w")), "token-sets")
-    sets = rows.groupBy("set").agg(F.first("w").alias("w"))
-    words = sets.select("set", F.size("w").alias("n"), F.explode("w").alias("t"))
+    sets = rows.groupBy("class").agg(F.first("w").alias("w"))
+    words = sets.select("class", F.size("w").alias("n"), F.explode("w").alias("t"))
     counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    ranked = words.join(counts, "t").withColumn("at", F.row_number().over(Window.partitionBy("set").orderBy("f", "t")))
-    index = settle(ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("f") > 1)).select("t", "set", "n", "at"), "prefixes")
-    other = index.select("t", F.col("set").alias("set_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    near = index.join(other, "t").where((F.col("set") < F.col("set_b")) & (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b") - 1e-9))
-    # what can still be shared from here on must reach the needed overlap
+    ranked = words.join(counts, "t").withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("f", "t")))
+    prefix = (F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("f") > 1)
+    # sizes of one band differ by less than the threshold's ratio; without one, all are of one band
+    band = F.floor(F.ln("n") / F.lit(math.log(1 / threshold))) if 0 < threshold < 1 else F.col("n") if threshold >= 1 else F.lit(0)
+    index = settle(ranked.where(prefix).select("t", "class", "n", "at", band.cast("long").alias("band")), "prefixes")
+    bands = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1) if 0 < threshold < 1 else F.array("band")
+    other = index.select("t", F.explode(bands).alias("band"), F.col("class").alias("other"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    near = index.join(other, ["t", "band"]).where((F.col("class") < F.col("other")) & (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b") - 1e-9))
     near = near.where(1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-9)
-    pairs = near.select("set", "set_b").distinct()
-    left, right = sets.select("set", F.col("w").alias("wa")), sets.select(F.col("set").alias("set_b"), F.col("w").alias("wb"))
-    scored = pairs.join(left, "set").join(right, "set_b").withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold).select("set", "set_b", "jaccard")
-    both = scored.union(scored.select("set_b", "set", "jaccard")).union(rows.select("set").distinct().select("set", F.col("set").alias("set_b"), F.lit(1.0).alias("jaccard")))
-    a = rows.select("set", F.col("id").alias("a"), F.col("split").alias("split_a"))
-    b = rows.select(F.col("set").alias("set_b"), F.col("id").alias("b"), F.col("split").alias("split_b"))
-    found = both.join(a, "set").join(b, "set_b").where(priority(F.col("split_a")) < priority(F.col("split_b")))
+    pairs = near.select("class", "other").distinct()
+    left, right = sets.select("class", F.col("w").alias("wa")), sets.select(F.col("class").alias("other"), F.col("w").alias("wb"))
+    scored = pairs.join(left, "class").join(right, "other").withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
+    scored = settle(scored.select("class", "other", "jaccard"), "similar")
+    return scored.unionByName(scored.select(F.col("other").alias("class"), F.col("class").alias("other"), "jaccard"))
+
+
+def leaks(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members are (id, split, class), links (class, other, jaccard) of classes that lie in different splits.
+
+    A class that is itself in several splits links to itself with 1. Copies are not expanded
+    into pairs: both tables grow with the rows and with the pairs of different texts.
+    """
+    rows = settle(token_classes(df, key, text, split), "token-sets")
+    if threshold > 1:
+        return rows.select("id", "split", "class"), rows.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
+    spans = rows.groupBy("class").agg(F.min(priority(F.col("split"))).alias("low"), F.max(priority(F.col("split"))).alias("high"))
+    # spans of the few linked classes are looked up; a pair in one single split is no leak
+    links = similar_classes(rows, threshold).unionByName(spans.where("low < high").select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")))
+    of = spans.select(F.col("class").alias("other"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    across = links.join(spans, "class").join(of, "other").where((F.col("low") < F.col("high_b")) | (F.col("low_b") < F.col("high")))
+    return rows.select("id", "split", "class"), settle(across.select("class", "other", "jaccard"), "leaks")
+
+
+def detect_leakage(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.85) -> DataFrame:
+    """(split_a, a, split_b, b, jaccard) of rows of different splits with token sets at least so similar, a in the earlier split.
+
+    ``leaks`` spelled out row by row; where many copies lie in several splits, use that instead.
+    """
+    members, links = leaks(df, key, text, split, threshold)
+    a = members.select("class", F.col("id").alias("a"), F.col("split").alias("split_a"))
+    b = members.select(F.col("class").alias("other"), F.col("id").alias("b"), F.col("split").alias("split_b"))
+    found = links.join(a, "class").join(b, "other").where(priority(F.col("split_a")) < priority(F.col("split_b")))
     return found.select("split_a", "a", "split_b", "b", "jaccard")
 
 
+def leaking_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id) of rows that a similar row of an earlier split forestalls, found by class: no pairs of rows are made."""
+    first = members.groupBy(F.col("class").alias("other")).agg(F.min(priority(F.col("split"))).alias("_p"))
+    earliest = links.join(first, "other").groupBy("class").agg(F.min("_p").alias("_p"))
+    return members.join(earliest, "class").where(priority(F.col("split")) > F.col("_p")).select("id")
+
+
 def resolve_leakage(df: DataFrame, key: str, leaks: DataFrame) -> DataFrame:
     """df without the later split's member of each leaking pair."""
     return df.join(leaks.select(F.col("b").alias(key)).distinct(), key, "left_anti")
 
 
+def without_leaks(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.85) -> DataFrame:
+    """df without rows that resemble a row of an earlier split, by classes: what ``resolve_leakage`` gives for all pairs."""
+    gone = leaking_rows(*leaks(df, key, text, split, threshold))
+    return df.join(gone.select(F.col("id").alias(key)).distinct(), key, "left_anti")
+
+
 def spanning_clusters(df: DataFrame, cluster: str, split: str) -> DataFrame:
     """(cluster, n_splits, members) of clusters with rows in several splits, which are dropped."""
     return df.groupBy(cluster).agg(F.countDistinct(split).alias("n_splits"), F.count(F.lit(1)).alias("members")).where("n_splits > 1")

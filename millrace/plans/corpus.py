@@ -59,41 +59,56 @@ def shingles(spark, sf_dir):
        SELECT doc_id, min(h) AS least, sum(h)::BIGINT AS total FROM h GROUP BY doc_id""",
 )
 def shingle_hash(spark, sf_dir):
-    rows = _docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", F.transform(X.char_shingles(F.col("text")), X.hash32).alias("h"))
-    return rows.select("doc_id", F.array_min("h").alias("least"), F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    rows = dedup.shingle_hashes(_docs(spark, sf_dir).where(F.length("text") > 0), "doc_id", "text")
+    return rows.select("doc_id", F.array_min("hashes").alias("least"), F.aggregate("hashes", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 def _minhash_sql(n):
+    """sigs(doc_id, s): products of up to 93 bits are folded modulo 2^61 - 1 in halves, once a different hash."""
     a, b = dedup.hash_pairs(n)
-    pairs = ", ".join(f"({i}, {x}::HUGEINT, {y}::HUGEINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)))
-    return f"""WITH RECURSIVE pairs(i, a, b) AS (VALUES {pairs}),
-       g AS (SELECT doc_id, CASE WHEN length(text) < 5 THEN [text] ELSE list_distinct(list_transform(range(1, length(text) - 3), lambda k: substring(text, k, 5))) END AS g FROM documents WHERE length(text) > 0),
-       h AS (SELECT doc_id, ('0x' || sha1(unnest(g))[1:8])::BIGINT AS h FROM g),
-       slots AS (SELECT doc_id, i, min((a * h + b) % {dedup.PRIME}::HUGEINT)::BIGINT AS v FROM h CROSS JOIN pairs GROUP BY doc_id, i),
+    pairs = ", ".join(f"({i}, {x >> 32}::UBIGINT, {x & 0xFFFFFFFF}::UBIGINT, {y}::UBIGINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)))
+    fold = lambda v: f"((({v}) & {dedup.PRIME}) + (({v}) >> 61))"
+    return f"""WITH RECURSIVE pairs(i, ah, al, b) AS (VALUES {pairs}),
+       c AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0),
+       g AS (SELECT doc_id, CASE WHEN len(c) < 5 THEN [array_to_string(c, '')] ELSE list_distinct(list_transform(range(1, len(c) - 3), lambda k: c[k] || c[k + 1] || c[k + 2] || c[k + 3] || c[k + 4])) END AS g FROM c),
+       h AS (SELECT doc_id, ('0x' || sha1(unnest(g))[1:8])::UBIGINT AS h FROM g),
+       products AS (SELECT h, i, ah * h AS x, al * h AS y, b FROM (SELECT DISTINCT h FROM h) CROSS JOIN pairs),
+       folded AS (SELECT h, i, {fold("x")} AS x, {fold("y")} AS y, b FROM products),
+       sums AS (SELECT h, i, {fold(f"(x >> 29) + ((x & {(1 << 29) - 1}) << 32) + y + b")} AS v FROM folded),
+       hashed AS (SELECT h, list(CASE WHEN v >= {dedup.PRIME} THEN v - {dedup.PRIME} ELSE v END ORDER BY i) AS v FROM sums GROUP BY h),
+       slots AS (SELECT doc_id, i, min(v)::BIGINT AS v FROM (SELECT doc_id, unnest(v) AS v, unnest(range({n})) AS i FROM h JOIN hashed USING (h)) GROUP BY ALL),
        sigs AS (SELECT doc_id, list(v ORDER BY i) AS s FROM slots GROUP BY doc_id)"""
 
 
-@query("dedup_d5_minhash", _minhash_sql(16) + " SELECT doc_id, array_to_string(s, ',') AS signature FROM sigs")
+@query("dedup_d5_minhash", _minhash_sql(128) + " SELECT doc_id, array_to_string(s, ',') AS signature FROM sigs")
 def minhash(spark, sf_dir):
     docs = _docs(spark, sf_dir).where(F.length("text") > 0)
-    return dedup.signatures(docs, "doc_id", "text", 16).select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+    return dedup.signatures(docs, "doc_id", "text").select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
-@query(
-    "dedup_d7_lsh",
+_COMPONENTS = (
     _minhash_sql(128)
     + """, classes AS (SELECT s, min(doc_id) AS rep FROM sigs GROUP BY s),
        links AS (SELECT x.rep AS a, y.rep AS b FROM classes x JOIN classes y ON x.rep <> y.rep
                  WHERE list_sum(list_transform(list_zip(x.s, y.s), lambda p: (p[1] = p[2])::INT)) >= 0.85 * 128),
        reach(node, root) AS (SELECT rep, rep FROM classes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
-       roots AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
-       SELECT g.doc_id, r.component FROM sigs g JOIN classes c USING (s) JOIN roots r ON r.node = c.rep""",
+       roots AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+       placed AS (SELECT g.doc_id, r.component FROM sigs g JOIN classes c USING (s) JOIN roots r ON r.node = c.rep)"""
 )
+
+
+@query("dedup_d7_lsh", _COMPONENTS + " SELECT doc_id, component FROM placed")
 def lsh(spark, sf_dir):
     return dedup.lsh_dedup(_docs(spark, sf_dir).where(F.length("text") > 0), "doc_id", "text")
 
 
-@query("dedup_d8_report")
+@query(
+    "dedup_d8_report",
+    _COMPONENTS
+    + """, n AS (SELECT count(*) AS total, count(DISTINCT text) + max((text IS NULL)::INT) AS uniq, max((coalesce(text, '') = '')::INT) AS blank FROM documents),
+         r AS (SELECT total, uniq, blank + (SELECT count(DISTINCT component) FROM placed) AS retained FROM n)
+         SELECT total, total - uniq AS exact, uniq - retained AS near, retained, (total - retained)::DOUBLE / total AS dedup_rate FROM r""",
+)
 def dedup_report(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     kept, _ = dedup.exact_dedup(docs, "text", "doc_id")
@@ -117,9 +132,25 @@ def leakage(spark, sf_dir):
 
 @query("split_d10_resolved", _LEAKS + " SELECT split, count(*) AS n FROM docs WHERE doc_id NOT IN (SELECT b FROM leaks) GROUP BY split")
 def resolved(spark, sf_dir):
-    docs = _split_docs(spark, sf_dir)
-    leaks = splits.detect_leakage(docs, "doc_id", "text", "split")
-    return splits.resolve_leakage(docs.select("doc_id", "split"), "doc_id", leaks).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return splits.without_leaks(_split_docs(spark, sf_dir), "doc_id", "text", "split").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "split_j3_classes",
+    _LEAKS
+    + """, c AS (SELECT doc_id, split, min(doc_id) OVER (PARTITION BY list_sort(w)) AS class FROM docs WHERE len(w) > 0),
+         p AS (SELECT DISTINCT x.class AS class, y.class AS other FROM leaks JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b),
+         e AS (SELECT class, other FROM p UNION SELECT other, class FROM p)
+         SELECT doc_id, class AS class_id, (SELECT count(*) FROM e WHERE e.class = c.class) AS n_links, doc_id IN (SELECT b FROM leaks) AS forestalled FROM c""",
+)
+def leak_classes(spark, sf_dir):
+    """Every document with tokens: its class (named by its lowest document), the classes of other splits that it leaks to, and whether an earlier split has it."""
+    members, links = splits.leaks(_split_docs(spark, sf_dir), "doc_id", "text", "split")
+    names = members.groupBy("class").agg(F.min("id").alias("class_id"))
+    linked = links.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    gone = splits.leaking_rows(members, links).select("id", F.lit(True).alias("gone"))
+    rows = members.join(names, "class").join(linked, "class", "left").join(gone, "id", "left")
+    return rows.select(F.col("id").alias("doc_id"), "class_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("gone", F.lit(False)).alias("forestalled"))
 
 
 @query(
@@ -229,15 +260,22 @@ def intents(spark, sf_dir):
     return audit.intent_counts(docs, "source", "intent").select("source", F.to_json("per_intent").alias("per_intent"))
 
 
+_PLANTED = "text || CASE doc_id % 15 WHEN 0 THEN ' AKIA' || upper(md5(doc_id::VARCHAR)[1:16]) WHEN 5 THEN ' ghp_' || md5(doc_id::VARCHAR) || 'zzzz' WHEN 10 THEN ' eyJ' || doc_id || '.a-b.c_d' ELSE '' END"
+
+
 @query(
     "audit_x15b_secrets",
-    f"SELECT doc_id, 'hex_token' AS pattern_name, unnest(regexp_extract_all(text, '{_HEX}'))[1:8] AS match_preview FROM documents",
+    " UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern_name, unnest(regexp_extract_all({_PLANTED}, '{pattern.replace(',255}', ',}')}'))[1:8] AS match_preview FROM documents" for name, pattern in X.SECRETS),
 )
 def secrets(spark, sf_dir):
-    return audit.secret_hits(_docs(spark, sf_dir), "doc_id", "text")
+    """All four patterns: a fifth of the texts gets a key of one of three kinds that the tables lack."""
+    key = F.when(F.col("doc_id") % 15 == 0, F.concat(F.lit(" AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16))))
+    key = key.when(F.col("doc_id") % 15 == 5, F.concat(F.lit(" ghp_"), F.md5(F.col("doc_id").cast("string")), F.lit("zzzz"))).when(F.col("doc_id") % 15 == 10, F.concat(F.lit(" eyJ"), F.col("doc_id").cast("string"), F.lit(".a-b.c_d")))
+    planted = F.concat("text", F.coalesce(key, F.lit("")))
+    return audit.secret_hits(_docs(spark, sf_dir).select("doc_id", planted.alias("text")), "doc_id", "text")
 
 
-@query("audit_x15b_clean", f"SELECT source, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '{_HEX}') GROUP BY source")
+@query("audit_x15b_clean", "SELECT source, count(*) AS n FROM documents WHERE NOT (" + " OR ".join(f"regexp_matches(text, '{p.replace(',255}', ',}')}')" for _, p in X.SECRETS) + ") GROUP BY source")
 def clean(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     hits = audit.secret_hits(docs, "doc_id", "text").select("doc_id").distinct()

@@ -182,21 +182,28 @@ _BM25 = f"""WITH d AS (SELECT doc_id, {_W} AS w FROM documents),
           FROM q JOIN df USING (t) JOIN tf USING (t) CROSS JOIN stats GROUP BY ALL)"""
 
 
-def _bm25(spark, sf_dir):
+@query("retrieval_r7_bm25", _BM25 + " SELECT query, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 5")
+def bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("w"))
-    return R.bm25(docs, "doc_id", "w", asked, "item_id", "w").withColumn("score", F.round("score", 6))
-
+    return R.bm25_top(docs, "doc_id", "w", asked, "item_id", "w", 5).select("query", "doc_id", "score")
 
-@query("retrieval_r7_bm25", _BM25 + " SELECT query, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 5")
-def bm25(spark, sf_dir):
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc_id")
-    return _bm25(spark, sf_dir).withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r")
+def _mmr_sql(picks, width, weight):
+    """Greedy picks, one after another: of a query's candidates that with the most of weight * score - (1 - weight) * the highest likeness to a pick."""
+    steps = [f"""cand AS (SELECT s.query, s.vec_id, s.score, e.v FROM (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= {width}) s JOIN e USING (vec_id))""", f"pick1 AS (SELECT query, vec_id, v, 1 AS pick FROM cand QUALIFY row_number() OVER (PARTITION BY query ORDER BY {weight}::DOUBLE * score DESC, vec_id) = 1)", "sofar1 AS (SELECT * FROM pick1)"]
+    for i in range(2, picks + 1):
+        steps.append(
+            f"""pick{i} AS (SELECT query, vec_id, v, {i} AS pick FROM (
+                  SELECT c.query, c.vec_id, any_value(c.v) AS v, {weight}::DOUBLE * any_value(c.score) - {round(1 - weight, 9)}::DOUBLE * max(list_dot_product(c.v, p.v)) AS gain
+                  FROM cand c JOIN sofar{i - 1} p ON p.query = c.query WHERE NOT EXISTS (SELECT 1 FROM sofar{i - 1} x WHERE x.query = c.query AND x.vec_id = c.vec_id) GROUP BY c.query, c.vec_id)
+                QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(gain, 9) DESC, vec_id) = 1)"""
+        )
+        steps.append(f"sofar{i} AS (SELECT * FROM sofar{i - 1} UNION ALL SELECT * FROM pick{i})")
+    return ", ".join(steps) + f" SELECT query, vec_id, pick FROM sofar{picks}"
 
 
-@query("retrieval_r10_mmr")
+@query("retrieval_r10_mmr", _SCORES + ", " + _mmr_sql(5, 20, 0.7))
 def diverse(spark, sf_dir):
     found = settle(_top(spark, sf_dir, 20), "mmr")
     return R.mmr(found.join(_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id"), "embedding", "vec_id", 5)

@@ -147,10 +147,9 @@ def shuffle(spark, sf_dir):
 )
 def mask(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(X.tokens(F.col("text")), lambda t: F.length(t)).alias("ids")).where(F.size("ids") > 0)
-    masked, labels = S.mask_tokens(F.col("ids"), F.col("doc_id"), 4)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    rows = docs.select("doc_id", masked.alias("m"), labels.alias("l"))
-    return rows.select("doc_id", F.size(F.filter("l", lambda x: x != -100)).cast("long").alias("n_masked"), total(F.col("m")).alias("masked_sum"), total(F.col("l")).alias("label_sum"))
+    rows = S.with_masked(docs, "ids", "doc_id", 4)
+    sums = F.aggregate("masked", F.lit(0).cast("long"), lambda s, x: s + x), F.aggregate("labels", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")), lambda s, x: F.struct((s["n"] + (x != S.IGNORED_LABEL).cast("long")).alias("n"), (s["total"] + x).alias("total")))
+    return rows.select("doc_id", sums[0].alias("masked_sum"), sums[1].alias("l")).select("doc_id", F.col("l.n").alias("n_masked"), "masked_sum", F.col("l.total").alias("label_sum"))
 
 
 @query(

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.errors import InvalidRecord
 from millrace.functions import canonical, registry
-from millrace.operators import governance, normalise, suite, walk
+from millrace.operators import dedup as batch_dedup
+from millrace.operators import governance, normalise, retrieval, sequences, splits, suite, walk
 from millrace.operators import tokens as K
 from millrace.plans import tokens as plans
 from millrace.plans.registry import QUERIES
@@ -309,3 +310,70 @@ def test_embedding_input_refuses_rather_than_cuts(spark):
     long = "x = '" + "ab cd " * 400 + "'\n"
     out = {r.id: r.token_ids for r in normalise.embedding_input(spark.createDataFrame([(1, "x = 1"), (2, "def ("), (3, long), (4, None), (5, "")], "id long, source string")).collect()}
     assert out[1][0] == 2 and len(out[1]) == 512 and out[2] is out[3] is out[4] is None and out[5][:3] == [2, 3, 0]
+
+
+# ---- batch dedup, leakage by classes, ranking, masks
+
+
+def test_exact_dedup_with_null_and_repeated_seqs(spark):
+    data = [(None, "only", 0), (1, "a", 1), (1, "a", 2), (2, "a", 3), (None, "b", 4), (5, "b", 5), (None, None, 6), (None, None, 7), (3, "", 8)]
+    df = spark.createDataFrame(data, "seq long, t string, row long")
+    kept, gone = batch_dedup.exact_dedup(df, "t", "seq")
+    k, g = {r.row for r in kept.collect()}, {r.row for r in gone.collect()}
+    assert len(k & {1, 2}) == 1 and len(k & {6, 7}) == 1
+    assert k - {1, 2, 6, 7} == {0, 5, 8} and k | g == set(range(9)) and not k & g
+    assert {r.row for r in kept.where("t IS NULL").collect()} == k & {6, 7}
+
+
+def test_shingle_hashes_are_the_columns(spark, monkeypatch):
+    from millrace.functions import text as X
+
+    monkeypatch.setattr(batch_dedup, "GRAMS_HELD", 3)
+    df = spark.createDataFrame([(1, "abcdefg abcdefg"), (2, "ab"), (3, ""), (4, None), (5, "é☃𝄞 x y z é☃𝄞 x")], "id long, t string")
+    want = {r.id: sorted(r.h) for r in df.select("id", F.transform(X.char_shingles(F.col("t")), X.hash32).alias("h")).collect()}
+    assert {r.id: r.hashes for r in batch_dedup.shingle_hashes(df, "id", "t").collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.85, 1.0])
+def test_leaks_by_class_equal_all_pairs(spark, threshold):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        base = ["a", "b", "c", "d", "e", "f", "g", "h"][: rng.randint(0, 8)]
+        rows.append((i, " ".join(rng.sample(base, len(base)) + [f"x{rng.randint(0, 3)}"] * rng.randint(0, 1)) or None, rng.choice(["train", "val", "test"])))
+    df = spark.createDataFrame(rows, "id long, t string, split string")
+    order, sets = {"train": 0, "val": 1, "test": 2}, {i: set((t or "").split()) for i, t, _ in rows}
+    want = {(a, b) for a, _, s in rows for b, _, u in rows if order[s] < order[u] and sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12}
+    found = splits.detect_leakage(df, "id", "t", "split", threshold)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+    gone = {b for _, b in want}
+    assert {r.id for r in splits.leaking_rows(*splits.leaks(df, "id", "t", "split", threshold)).collect()} == gone
+    assert {r.id for r in splits.without_leaks(df, "id", "t", "split", threshold).collect()} == {i for i, _, _ in rows} - gone
+
+
+def test_bm25_top_is_the_head_of_the_full_ranking(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, rng.choices(vocabulary, k=rng.randint(0, 25))) for i in range(200)] + [(500, None), (501, [None, "w1"])], "id long, w array<string>").repartition(6)
+    asked = spark.createDataFrame([(i, rng.choices([*vocabulary, "none"], k=rng.randint(0, 6))) for i in range(15)] + [(99, None)], "q long, w array<string>")
+    full = {}
+    for r in retrieval.bm25(docs.where("id < 500"), "id", "w", asked, "q", "w").collect():
+        full.setdefault(r.query, []).append((-round(r.score, 6), r.id))
+    for limit in (10, 1 << 20):
+        got = {}
+        for r in retrieval.bm25_top(docs.where("id < 500"), "id", "w", asked, "q", "w", 4, limit=limit).orderBy("query", "rank").collect():
+            got.setdefault(r.query, []).append((-r.score, r.id))
+        assert got == {q: sorted(v)[:4] for q, v in full.items()}
+    assert retrieval.bm25_top(docs, "id", "w", asked, "q", "w", 1000).where("id >= 500").select("id").distinct().count() == 1
+    assert retrieval.bm25_top(docs, "id", "w", asked.limit(0), "q", "w", 4).count() == 0
+
+
+def test_queries_without_a_vector_have_no_answers(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, v array<float>")
+    assert {(r["query"], r.id) for r in retrieval.top_k(df, df, "id", "v", 1).collect()} == {(1, 1), (3, 3)}
+
+
+def test_mask_draws_each_place_once(spark):
+    out = sequences.with_masked(spark.createDataFrame([(7, list(range(100, 400))), (8, []), (9, None)], "k long, ids array<int>"), "ids", "k", 4).collect()
+    assert all((m == 4 and x == i) or (m == i and x == -100) for i, m, x in zip(out[0].ids, out[0].masked, out[0].labels, strict=True))
+    assert 15 < sum(m == 4 for m in out[0].masked) < 80 and out[1].masked == [] and out[2].masked is None
