@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of docs, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns
-of documents. Rows are told apart by a hash of key and text, so null and repeated keys and
+of documents; other columns are left out. Rows are told apart by a hash of key and text, so null and repeated keys and
 repeated rows are handled; wholly equal rows share one decision.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language, lines, mixing, ngrams, packing
-from millrace.session import settle, table
+from millrace.session import forget, settle, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicate settings of the line and the document stage: words of a shingle, similarity in percent.
@@ -57,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences of 1024 tokens; the columns are those of ``packing.pack``."""
     return packing.pack(docs)
 
 
@@ -73,7 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents. A stage's input goes once its successor is written; that of the last stays, as its plan reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
