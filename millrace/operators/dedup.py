@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connect
-from millrace.session import scratched, settle
+from millrace.session import scratched, settle, widened
 
 # Fixed values.
 PRIME = (1 << 61) - 1
@@ -91,7 +91,7 @@ def shingle_hashes(df: DataFrame, key: str, text: str, out: str = "hashes") -> D
     In Arrow batches: each shingle that a task meets is digested once, and texts are cut by
     character without a copy of the text a place.
     """
-    own = df.select(key, F.col(text).cast("string").alias("_text"))
+    own = widened(df.select(key, F.col(text).cast("string").alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -147,7 +147,7 @@ def _signatures(texts: list[str | None], n: int) -> dict[str | None, np.ndarray]
 
 def signatures(df: DataFrame, key: str, text: str, n: int = HASHES) -> DataFrame:
     """(key, signature). Arrow batches; equal texts, and equal shingles, of a batch are computed once."""
-    own = df.select(key, F.col(text).cast("string").alias("_text"))
+    own = widened(df.select(key, F.col(text).cast("string").alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

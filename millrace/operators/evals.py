@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_uniform
+from millrace.operators import places
 from millrace.session import settle
 
 # Fixed values.
@@ -70,10 +71,8 @@ def classification(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Written (at, value): the rows numbered 0, 1, ... in the order of a unique key, by a distributed sort."""
-    own = df.select(key, value).orderBy(key)
-    kind = own.schema[value].dataType.simpleString()
-    return settle(df.sparkSession.createDataFrame(own.rdd.zipWithIndex().map(lambda r: (r[1], r[0][1])), f"at long, `{value}` {kind}"), "numbered")
+    """Written (at, value): the rows numbered 0, 1, ... in the order of a unique key, by ranges."""
+    return settle(places.numbered(df.select(key, value), [key]).select("at", value), "numbered")
 
 
 def _resampled(df: DataFrame, place: str, value: str, n: int, draws: int, seed: int) -> DataFrame:

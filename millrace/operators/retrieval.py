@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import widened
+
 # Fixed values.
 REFUSAL_TAU, TEMPERATURE = 0.55, 0.1
 K1, B = 1.5, 0.75
@@ -212,7 +214,7 @@ def bm25_top(corpus: DataFrame, key: str, words: str, queries: DataFrame, query:
     sizes = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.coalesce(words, F.array().cast("array<string>")))).alias("mean")).first()
     n, mean = sizes["n"], sizes["mean"] or 1.0
     spark, found = corpus.sparkSession, None
-    own = corpus.select(F.col(key).cast("long").alias(key), F.col(words).cast("array<string>").alias("_w"))
+    own = widened(corpus.select(F.col(key).cast("long").alias(key), F.col(words).cast("array<string>").alias("_w")))
     for asked in _asked_blocks(queries, query, query_words, limit):
         idf = np.full(len(asked.vocabulary), 0.0)
         for r in _known_words(own.select("_w"), "_w", asked.vocabulary).toLocalIterator():

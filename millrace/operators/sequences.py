@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import hash_uniform, padded
+from millrace.operators.places import numbered
 
 # Fixed values.
 HISTORY, PREDICTIONS, STRIDE = 3, 1, 1
@@ -77,13 +78,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def balanced_draws(df: DataFrame, label: str, key: str, draws: int, seed: int) -> DataFrame:
-    """(draw, label, key): each draw takes a class at even odds, then one of its rows, by hashed uniforms."""
+    """(draw, label, key): each draw takes a class at even odds, then one of its rows, by hashed uniforms.
+
+    Rows are numbered within their class by ranges, so a class of most rows is many tasks' work.
+    """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     classes = counts.withColumn("_c", F.row_number().over(Window.orderBy(label)) - 1)  # as many rows as classes
     k = classes.count()
-    rows = df.select(label, key, (F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1).alias("_at"))
+    rows = numbered(df.select(label, key), [key], [label], "_at")
     drawn = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(hash_uniform(F.lit(seed), F.col("id"), F.lit("class")) * k).alias("_c"), hash_uniform(F.lit(seed), F.col("id"), F.lit("row")).alias("_u"))
-    drawn = drawn.join(classes, "_c").withColumn("_at", F.floor(F.col("_u") * F.col("_n")).cast("int"))
+    drawn = drawn.join(classes, "_c").withColumn("_at", F.floor(F.col("_u") * F.col("_n")).cast("long"))
     return drawn.join(rows, [label, "_at"]).select("draw", label, key)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import SplitConflict, UnknownRepo
 from millrace.functions.text import jaccard, token_set
-from millrace.session import settle
+from millrace.session import settle, widened
 
 SPLITS = ("train", "val", "test")
 
@@ -46,7 +46,8 @@ def priority(split: Column) -> Column:
 
 def token_classes(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
     """(id, split, class, w) of every row with tokens: rows of equal token sets are of one class, named by a 128-bit digest."""
-    rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(token_set(F.col(text))).alias("w")).where(F.size("w") > 0)
+    own = widened(df.select(F.col(key), F.col(split), F.col(text)))
+    rows = own.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(token_set(F.col(text))).alias("w")).where(F.size("w") > 0)
     # tokens hold no white space, so the joined text is the set
     return rows.withColumn("class", F.md5(F.array_join("w", " ").cast("binary")))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import framed
+from millrace.session import widened
 
 # Fixed values.
 SPECIAL_TOKENS = {
@@ -186,7 +187,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: tupl
     a task holds some MB of text and the ids of at most WORDS_HELD words and those of a slice.
     """
     path, pattern = vocabulary or public_vocabulary()
-    kept, schema = _appended(df, out, T.ArrayType(T.IntegerType()))
+    kept, schema = _appended(widened(df), out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordIds(path, pattern)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import sequences as S
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import table, widened
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '')"
 
@@ -146,7 +146,7 @@ def shuffle(spark, sf_dir):
         SELECT doc_id, count(*) FILTER (hit) AS n_masked, sum(CASE WHEN hit THEN 4 ELSE id END)::BIGINT AS masked_sum, sum(CASE WHEN hit THEN id ELSE -100 END)::BIGINT AS label_sum FROM h GROUP BY doc_id""",
 )
 def mask(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(X.tokens(F.col("text")), lambda t: F.length(t)).alias("ids")).where(F.size("ids") > 0)
+    docs = widened(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(X.tokens(F.col("text")), lambda t: F.length(t)).alias("ids")).where(F.size("ids") > 0)
     rows = S.with_masked(docs, "ids", "doc_id", 4)
     sums = F.aggregate("masked", F.lit(0).cast("long"), lambda s, x: s + x), F.aggregate("labels", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")), lambda s, x: F.struct((s["n"] + (x != S.IGNORED_LABEL).cast("long")).alias("n"), (s["total"] + x).alias("total")))
     return rows.select("doc_id", sums[0].alias("masked_sum"), sums[1].alias("l")).select("doc_id", F.col("l.n").alias("n_masked"), "masked_sum", F.col("l.total").alias("label_sum"))

@@ -377,3 +377,15 @@ def test_mask_draws_each_place_once(spark):
     out = sequences.with_masked(spark.createDataFrame([(7, list(range(100, 400))), (8, []), (9, None)], "k long, ids array<int>"), "ids", "k", 4).collect()
     assert all((m == 4 and x == i) or (m == i and x == -100) for i, m, x in zip(out[0].ids, out[0].masked, out[0].labels, strict=True))
     assert 15 < sum(m == 4 for m in out[0].masked) < 80 and out[1].masked == [] and out[2].masked is None
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    from millrace.operators.places import numbered
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice(["hot"] * 8 + ["a", None])) for k in rng.sample(range(10000), 700)]
+    df = spark.createDataFrame(rows, "k long, g string").repartition(7)
+    assert [r["at"] for r in numbered(df, ["k"]).orderBy("k").collect()] == list(range(700))
+    got = {(r.g, r.k): r["at"] for r in numbered(df, ["k"], ["g"]).collect()}
+    assert got == {(g, k): sum(h == g and j < k for j, h in rows) for k, g in rows}
+    assert numbered(df.limit(0), ["k"], ["g"]).count() == 0
