@@ -111,6 +111,16 @@ def test_repeats_against_brute_force(spark, hot):
     assert [out[i] for i in range(len(texts))] == brute_repeats(texts, 400)
 
 
+def test_repeats_of_texts_in_parts(spark, monkeypatch):
+    """Texts far above a part's size, cut where repeats lie, give what whole texts give."""
+    monkeypatch.setattr(repeats, "PART", 700)
+    texts = repeat_cases()
+    texts += [texts[2] + texts[5] + texts[9] * 3, "q" * 3000 + texts[7] * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_repeats(texts, 400)
+
+
 def test_repeats_odd_rows(spark):
     df = odd_docs(spark)
     out = repeats.remove_repeats(df).collect()
@@ -437,6 +447,17 @@ def test_peaks_of_a_tone():
     assert len(media.fingerprint(samples)) > 0
 
 
+def test_media_blocks_of_frames_do_not_show(monkeypatch):
+    samples = np.random.default_rng(1).integers(0, 256, media.HOP * 500 + 77).astype(np.uint8)
+    whole = media.fingerprint(samples)
+    for block in (8, 64, 128):
+        monkeypatch.setattr(media, "BLOCK", block)
+        assert (media.fingerprint(samples) == whole).all()
+    monkeypatch.undo()
+    long = np.tile(samples, 2 + media.BLOCK * media.HOP // len(samples))
+    assert len(long) > media.BLOCK * media.HOP and (media.peaks(long)[0] >= media.BLOCK).any()
+
+
 # ---- 8 n-grams
 
 
