@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import GateFailure
-from millrace.functions.text import SECRETS
+from millrace.functions.text import SECRETS, tokens
 
 # Fixed values.
 LICENSES = ("PSF-2.0", "BSD-3-Clause", "MIT", "Apache-2.0")
@@ -34,9 +34,31 @@ def audit(df: DataFrame, repo: str) -> DataFrame:
         F.sum("n_secrets").cast("long").alias("secrets"),
     )
     out = out.withColumn("compile_ok", 1 - F.col("parse_fail_rate"))
-    out = out.withColumn("compile_gate", F.col("compile_ok") >= COMPILE_MIN).withColumn("duplication_gate", F.col("duplication_rate") < DUPLICATION_MAX)
-    out = out.withColumn("license_gate", F.coalesce(F.col("license").isin(*LICENSES), F.lit(False))).withColumn("secrets_gate", F.col("secrets") == 0)
-    return out.withColumn("gates_pass", F.col("compile_gate") & F.col("duplication_gate") & F.col("license_gate") & F.col("secrets_gate"))
+    return with_gates(out)
+
+
+def with_gates(audits: DataFrame, compile_ok: str = "compile_ok", duplication: str = "duplication_rate", license: str = "license", secrets: str = "secrets") -> DataFrame:
+    """audits with the four gates and whether all pass; a null figure does not pass."""
+    gates = dict(zip(GATES, (F.col(compile_ok) >= COMPILE_MIN, F.col(duplication) < DUPLICATION_MAX, F.col(license).isin(*LICENSES), F.col(secrets) == 0), strict=True))
+    judged = audits.withColumns({name: F.coalesce(passes, F.lit(False)) for name, passes in gates.items()})
+    return judged.withColumn("gates_pass", F.col("compile_gate") & F.col("duplication_gate") & F.col("license_gate") & F.col("secrets_gate"))
+
+
+def token_length(ids: Column, text: Column) -> Column:
+    """How many ids a chunk has; without ids its words; null, and so in no median, for a chunk without either."""
+    return F.when(ids.isNotNull(), F.size(ids)).when(F.coalesce(text, F.lit("")) != "", F.size(tokens(text)))
+
+
+def boilerplate(path: Column, source: Column) -> Column:
+    """A copied template: a package file of nothing but imports and names, a setup file of nothing but its call, a list of exports, or an exported one-line lambda."""
+    body = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?m)^[ \t]*(?:#[^\n]*)?$\n?", "")
+    named = r"__(?:all|version|author)__\s*=\s*(?:\[[^\]]*\]|\([^)]*\)|[^\n\[(]+)"
+    imported = r"(?:from\s+\S+\s+)?import\s+(?:\([^)]*\)|[^\n(]+)"
+    of_package = F.endswith(path, F.lit("__init__.py")) & body.rlike(rf"\A(?:(?:{imported}|{named}|\"<DOC>\")\n*)*\z")
+    of_setup = F.endswith(path, F.lit("setup.py")) & body.rlike(rf"\A(?:{imported}\n+)*(?:setuptools\.)?setup\((?s:.*)\)\n*\z")
+    exports = body.rlike(r"\A__all__\s*\+?=\s*(?:\[[^\]]*\]|\([^)]*\))\n*\z")
+    function = body.rlike(r"\A\w+\s*=\s*lambda\b[^\n]*\n*\z")
+    return F.coalesce(of_package, F.lit(False)) | F.coalesce(of_setup, F.lit(False)) | exports | function
 
 
 def gate_failures(audits: DataFrame, repo: str) -> DataFrame:

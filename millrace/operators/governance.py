@@ -95,7 +95,8 @@ def _hits(rules: list[tuple[str, str, Column]], path: Column) -> Column:
 
 
 def element_hits(schema: dict, value: Column, path: Column) -> list[Column]:
-    """Arrays of (path, rule) of all broken rules inside arrays, at any depth, by the place of the element: $.a[3].b.
+    """Arrays of (path, rule) of all broken rules inside arrays, at any depth, by the place of the element: $.a[3].b;
+    and of fields that only ``additionalProperties`` describes, by their name.
 
     Elements are taken apart as variants within the row: no row is made for an element.
     """
@@ -110,6 +111,17 @@ def element_hits(schema: dict, value: Column, path: Column) -> list[Column]:
 
         elements = F.try_variant_get(variant, "$", "array<variant>")
         out.append(F.coalesce(F.flatten(F.transform(elements, each)), F.array().cast("array<struct<path: string, rule: string>>")))
+    if isinstance(schema.get("additionalProperties"), dict):
+        part, known = schema["additionalProperties"], list(schema.get("properties", {}))
+
+        def field(entry: Column) -> Column:
+            own, here = F.to_json(entry["value"]), F.concat(path, F.lit("."), entry["key"])
+            return F.flatten(F.array(_hits(schema_rules(part, own, ""), here), *element_hits(part, own, here)))
+
+        fields = F.map_entries(F.try_variant_get(variant, "$", "map<string, variant>"))
+        if known:
+            fields = F.filter(fields, lambda e: ~e["key"].isin(*known))
+        out.append(F.coalesce(F.flatten(F.transform(fields, field)), F.array().cast("array<struct<path: string, rule: string>>")))
     for name, part in schema.get("properties", {}).items():
         out += element_hits(part, F.to_json(F.try_variant_get(variant, f"$.{name}", "variant")), F.concat(path, F.lit(f".{name}")))
     return out

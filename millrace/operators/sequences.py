@@ -116,6 +116,11 @@ def sequence_matrix(context: Column, target: Column, length: int, pad: int = 0)
     return F.transform(F.concat(context, F.array(target)), lambda ids: padded(ids, length, pad))
 
 
+def pair_matrix(before: Column, after: Column, length: int, pad: int = 0) -> Column:
+    """Both sides of a pair, each of exactly this length; null sides are padding."""
+    return F.array(padded(before, length, pad), padded(after, length, pad))
+
+
 def intent_index(name: Column, dataset: bool = False) -> Column:
     """Place in INTENTS, -1 for NONE; datasets give negatives one class past the end."""
     at = F.when(name == "NONE", F.lit(-1)).otherwise(F.array_position(F.array(*[F.lit(i) for i in INTENTS]), name).cast("int") - 1)

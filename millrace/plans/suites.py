@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions import registry
+from millrace.functions import text as X
+from millrace.operators.audit import boilerplate, token_length
+from millrace.operators.sequences import pair_matrix, stratified_sample
+from millrace.operators.splits import union_in_order
 from millrace.operators.suite import Benchmark, run_suite
 from millrace.plans.registry import query
 from millrace.session import shared_dir, table
-from millrace.sources import loose
+from millrace.sources import locks, loose
 
 
 def _fresh(spark, name):
@@ -161,3 +165,91 @@ def judged(spark, sf_dir):
     after = F.when(kind == 1, tried(" ValueError")).when(kind == 2, F.concat(head, F.lit("    print(a)\n    return a + "), word, F.lit("\n"))).when(kind == 3, F.replace(plain, F.lit("(a)"), F.lit("(a, b)"))).otherwise(plain)
     pairs = table(spark, sf_dir, "documents").select("doc_id", before.alias("before"), after.alias("after"))
     return spark.sql("SELECT doc_id, intent, rejected_by FROM {judged}", judged=registry.judged(pairs))
+
+
+# ---- pools and audits read back, and small operators of audit and feed
+
+
+@query(
+    "source_s9_pools",
+    """WITH r AS (SELECT lang, doc_id::VARCHAR AS id, row_number() OVER (PARTITION BY lang ORDER BY sha256('7|' || doc_id), doc_id) AS n FROM documents WHERE lang IS NOT NULL)
+       SELECT lang AS benchmark, count(*)::INT AS pool_size, sha256(string_agg(id, ',' ORDER BY id)) AS pool_hash, min(id) AS least FROM r WHERE n <= 100 GROUP BY lang""",
+)
+def pools_back(spark, sf_dir):
+    """A pool of 100 documents a language, written and read again; the hash is taken anew from the ids."""
+    sampled = stratified_sample(table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang", "doc_id"), "lang", "doc_id", 100, 7)
+    pools = sampled.groupBy("lang").agg(F.collect_list("doc_id").alias("ids"))
+    path = _fresh(spark, "pools")
+    locks.write_pools(pools, path, "lang", "ids")
+    return locks.load_pools(spark, path).select("benchmark", "pool_size", "pool_hash", F.col("chunk_ids")[0].alias("least"))
+
+
+@query(
+    "source_s9_audits",
+    """WITH o AS (SELECT o_custkey % 40 AS c, count(*) AS n, sum((o_orderstatus = 'F')::INT)::DOUBLE / count(*) AS f FROM orders GROUP BY ALL)
+       SELECT 'r' || c AS repo, 1 - f / 10 AS compile_ok_rate, 1 - f / 10 >= 0.95 AS compile_gate, f < 0.3 AS duplication_gate, c % 5 > 0 AS license_gate, c % 7 > 0 AS secrets_gate,
+              1 - f / 10 >= 0.95 AND f < 0.3 AND c % 5 > 0 AND c % 7 > 0 AS gates_pass, n AS pairs FROM o""",
+)
+def audits_back(spark, sf_dir):
+    """Figures of orders as audits, written without their gates and read again with them."""
+    c, share = F.col("c"), F.avg((F.col("o_orderstatus") == "F").cast("double"))
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("c")).agg(F.count(F.lit(1)).alias("n"), share.alias("f"))
+    audits = o.select(
+        F.lit(locks.VERSION).alias("schema_version"), F.concat(F.lit("r"), c.cast("string")).alias("repo"), F.sha1(c.cast("string").cast("binary")).alias("commit_sha"), F.when(c % 5 > 0, "MIT").otherwise("none").alias("license_spdx"),
+        F.lit(1).alias("py_files_in_scope"), F.col("n").alias("chunk_count"), F.lit(10).alias("median_chunk_token_len"), F.lit(0.0).alias("drop_rate_over_cap"), F.lit(0.0).alias("drop_rate_parse_fail"),
+        F.col("f").alias("duplication_rate"), F.when(c % 7 > 0, 0).otherwise(1).alias("secret_scanner_hits"), (1 - F.col("f") / 10).alias("compile_ok_rate"), F.create_map(F.lit("unknown"), F.col("n")).alias("per_intent_pair_count"),
+    )
+    path = _fresh(spark, "audits")
+    locks.write_audits(audits, path)
+    back = locks.load_audits(spark, path)
+    return back.select("repo", "compile_ok_rate", "compile_gate", "duplication_gate", "license_gate", "secrets_gate", "gates_pass", F.col("per_intent_pair_count")["unknown"].alias("pairs"))
+
+
+@query(
+    "audit_a2_lengths",
+    r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 WHEN coalesce(text, '') <> '' THEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) END AS n_tokens FROM documents""",
+)
+def token_lengths(spark, sf_dir):
+    """Lengths of what a third of the documents has as ids and the others as words."""
+    ids = F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(20), (F.col("doc_id") % 11).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", token_length(ids, F.col("text")).cast("long").alias("n_tokens"))
+
+
+@query(
+    "audit_f14_templates",
+    "SELECT doc_id, doc_id % 8 IN (0, 2, 4, 6) AS template FROM documents",
+)
+def templates(spark, sf_dir):
+    """Modules that hold a word of each document: templates of four kinds, and what resembles them."""
+    word, kind = F.concat(F.lit("w"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 6)), F.col("doc_id") % 8
+    parts = [
+        ("p/__init__.py", "# made of @\nfrom .@ import @, b\nimport os\n\n__all__ = ['@',\n  'b']\n"), ("p/__init__.py", "from .@ import @\n\ndef @():\n    return 1\n"),
+        ("setup.py", "from setuptools import setup\n\nsetup(\n    name='@',\n)\n"), ("setup.py", "x = '@'\nprint(x)\n"),
+        ("m.py", "__all__ = ['@', 'b']\n"), ("m.py", "__all__ = ['@']\n@ = 1\n"), ("m.py", "@ = lambda x: x + 1\n"), ("m.py", "def @(x):\n    return lambda: x\n"),
+    ]
+    path = F.get(F.array(*[F.lit(p) for p, _ in parts]), kind.cast("int"))
+    source = F.replace(F.get(F.array(*[F.lit(s) for _, s in parts]), kind.cast("int")), F.lit("@"), word)
+    return table(spark, sf_dir, "documents").select("doc_id", boilerplate(path, source).alias("template"))
+
+
+@query(
+    "feed_b2_pairs",
+    r"""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> ''), lambda t: length(t)) AS ids FROM documents)
+        SELECT doc_id, list_resize(ids[1:16], 16, 0) AS before, CASE WHEN doc_id % 4 = 0 THEN list_resize([]::BIGINT[], 16, 0) ELSE list_resize(list_reverse(ids)[1:16], 16, 0) END AS after FROM w""",
+)
+def pair_rows(spark, sf_dir):
+    """Both sides of pairs as rows of 16: a document's word lengths, and the same backwards (null every fourth time)."""
+    ids = F.transform(X.tokens(F.col("text")), lambda t: F.length(t))
+    after = F.when(F.col("doc_id") % 4 != 0, F.reverse("ids"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", pair_matrix(F.col("ids"), after, 16).alias("m"))
+    return rows.select("doc_id", F.col("m")[0].cast("array<bigint>").alias("before"), F.col("m")[1].cast("array<bigint>").alias("after"))
+
+
+@query(
+    "split_u5_order",
+    "SELECT o_orderkey, s AS split, CASE s WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS split_order FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 9 THEN 'val' ELSE 'test' END AS s FROM orders)",
+)
+def splits_in_order(spark, sf_dir):
+    """Three splits of orders as one table, with the place of each in the order."""
+    o, r = table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey") % 10
+    return union_in_order({"test": o.where(r == 9), "train": o.where(r < 7), "val": o.where((r >= 7) & (r < 9))})

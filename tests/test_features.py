@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.errors import InvalidRecord
+from millrace.errors import HashMismatch, InvalidRecord
 from millrace.functions import canonical, registry
 from millrace.operators import dedup as batch_dedup
 from millrace.operators import governance, normalise, retrieval, sequences, splits, suite, walk
@@ -19,7 +19,7 @@ from millrace.operators import tokens as K
 from millrace.plans import tokens as plans
 from millrace.plans.registry import QUERIES
 from millrace.session import table
-from millrace.sources import loose
+from millrace.sources import locks, loose
 from millrace.streaming import dedup, logs
 
 DATA = "/root/testdata/sf0.001"
@@ -389,3 +389,25 @@ def test_rows_are_numbered_by_ranges(spark):
     got = {(r.g, r.k): r["at"] for r in numbered(df, ["k"], ["g"]).collect()}
     assert got == {(g, k): sum(h == g and j < k for j, h in rows) for k, g in rows}
     assert numbered(df.limit(0), ["k"], ["g"]).count() == 0
+
+
+def test_pools_and_audits_are_checked_as_they_are_read(spark, tmp_path):
+    pools = spark.createDataFrame([("b1", ["c", "a", "a", "é"]), ("b2", ["x"])], "benchmark string, chunk_ids array<string>")
+    locks.write_pools(pools, str(tmp_path / "pools"))
+    got = {r.benchmark: (r.pool_size, r.chunk_ids, r.pool_hash) for r in locks.load_pools(spark, str(tmp_path / "pools")).collect()}
+    assert got["b1"] == (3, ["a", "c", "é"], hashlib.sha256("a,c,é".encode()).hexdigest()) and got["b2"][0] == 1
+    one = {"schema_version": "v1", "benchmark": "b", "pool_size": 1, "chunk_ids": ["x"], "pool_hash": hashlib.sha256(b"y").hexdigest()}
+    for change, error in (({}, HashMismatch), ({"pool_size": 0}, InvalidRecord), ({"chunk_ids": ["x", 1]}, InvalidRecord), ({"more": 1}, InvalidRecord), ({"pool_hash": "z"}, InvalidRecord)):
+        folder = tmp_path / f"bad{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        (folder / "p.json").write_text(json.dumps(one | change, indent=2))
+        with pytest.raises(error):
+            locks.load_pools(spark, str(folder), lines=False)
+    audit = {"schema_version": "v1.2", "repo": "r", "commit_sha": "0" * 40, "license_spdx": "MIT", "py_files_in_scope": 1, "chunk_count": 2, "median_chunk_token_len": 3, "drop_rate_over_cap": 0.0, "drop_rate_parse_fail": 0, "duplication_rate": 0.3, "secret_scanner_hits": 0, "compile_ok_rate": 0.95, "per_intent_pair_count": {"a": 1}}
+    (tmp_path / "audits").mkdir()
+    (tmp_path / "audits" / "r.json").write_text(json.dumps(audit, indent=2))
+    r = locks.load_audits(spark, str(tmp_path / "audits"), lines=False).first()
+    assert (r.compile_gate, r.duplication_gate, r.license_gate, r.secrets_gate, r.gates_pass) == (True, False, True, True, False) and r.per_intent_pair_count == {"a": 1}
+    (tmp_path / "audits" / "r.json").write_text(json.dumps(audit | {"per_intent_pair_count": {"a": -1}}))
+    with pytest.raises(InvalidRecord, match=r"per_intent_pair_count\.a"):
+        locks.load_audits(spark, str(tmp_path / "audits"), lines=False)
