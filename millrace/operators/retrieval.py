@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,54 +19,83 @@ from millrace.session import widened
 # Fixed values.
 REFUSAL_TAU, TEMPERATURE = 0.55, 0.1
 K1, B = 1.5, 0.75
-#: Queries that are sent to every task at once; more go in further passes.
-QUERY_BLOCK = 4096
+#: Vectors of a block: two blocks are what a task multiplies at once.
+BLOCK_ROWS = 4096
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _blocked(df: DataFrame, longs: list[str], vectors: list[str]) -> DataFrame:
+    """(block, dim, longs, vectors): rows packed into blocks of at most BLOCK_ROWS, columns as bytes, by dimension; rows without a key or vector are left out."""
+    own = df.where(reduce(lambda x, y: x & y, [*(F.col(c).isNotNull() for c in longs), *(F.size(v) > 0 for v in vectors)])).select(*[F.col(c).cast("long") for c in longs], *[F.col(v).cast("array<double>") for v in vectors])
+    names = ["block", "dim", *longs, *vectors]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def packed(rows: pa.Table, dim: int) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            raw = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in longs]
+            raw += [rows.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes() for v in vectors]
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) | made]), pa.array([dim], pa.int32()), *(pa.array([r], pa.binary()) for r in raw)], names=names)
+
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(vectors[0])).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                rows = held.setdefault(dim, [])
+                rows.append(batch.filter(pa.array(sizes == dim)))
+                while sum(r.num_rows for r in rows) >= BLOCK_ROWS:
+                    whole = pa.Table.from_batches(rows)
+                    yield packed(whole.slice(0, BLOCK_ROWS), dim)
+                    rows[:] = whole.slice(BLOCK_ROWS).to_batches()
+        for dim, rows in held.items():
+            if sum(r.num_rows for r in rows):
+                yield packed(pa.Table.from_batches(rows), dim)
+
+    return own.mapInArrow(run, ", ".join(["block long", "dim int", *(f"`{c}` binary" for c in (*longs, *vectors))]))
+
+
+def _paired(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every block of the index with every block of queries of its dimension.
+
+    Each index block lies in one cell, query blocks in all of them, as many as there are shuffle
+    partitions: an equi-join, in which no block passes the driver and either side may be large.
+    """
+    cells = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = index.withColumn("_cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
+    theirs = asked.select(F.col("dim").alias("_dim"), *[F.col(c).alias(f"asked_{c}") for c in asked.columns if c != "dim"], F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_at"))
+    return mine.join(theirs, (F.col("_cell") == F.col("_at")) & (F.col("dim") == F.col("_dim")))
 
 
-def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The stated queries with a vector, QUERY_BLOCK at a time, in key order; the driver holds one block."""
-    last = None
-    while True:
-        given = queries.where(F.col(vector).isNotNull())
-        part = given.where(F.col(key) > last) if last is not None else given
-        rows = part.select(key, F.col(vector).cast("array<double>").alias(vector)).orderBy(key).limit(QUERY_BLOCK).toArrow()
-        if not rows.num_rows:
-            return
-        ids = rows.column(key).to_numpy()
-        dim = len(rows.column(vector)[0])
-        yield ids, _matrix(rows.column(vector).combine_chunks(), dim)
-        last = int(ids[-1])
+def _row(batch: pa.RecordBatch, r: int, column: str, kind: type, dim: int | None = None) -> np.ndarray:
+    flat = np.frombuffer(batch.column(column)[r].as_buffer(), kind)
+    return flat if dim is None else flat.reshape(-1, dim)
 
 
 def top_k(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 9) -> DataFrame:
     """(query, key, score, rank): each query's k rows of largest inner product, ties by key.
 
-    Every task multiplies its rows with a block of queries and keeps k a query, so what is
-    shuffled is k rows a query and partition. Scores are rounded to ``digits`` before ranking.
+    Blocks of rows are multiplied with blocks of queries, and k a query leave each product.
+    Scores are rounded to ``digits`` before ranking. Rows and queries without a vector, or with
+    one of another dimension, do not meet.
     """
-    found = None
-    for ids, q in _query_blocks(queries, key, vector):
+    blocks = _paired(_blocked(index, [key], [vector]), _blocked(queries, [key], [vector])).select("dim", F.col(key).alias("_id"), F.col(vector).alias("_x"), F.col(f"asked_{key}").alias("_query"), F.col(f"asked_{vector}").alias("_q"))
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                x = _matrix(batch.column(1), q.shape[1])
-                own = np.broadcast_to(batch.column(0).to_numpy(), (len(ids), len(x)))
-                best_id = np.concatenate([best_id, own], 1)
-                best = np.concatenate([best, np.round(q @ x.T, digits)], 1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-            if best.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query", key, "score"])
-
-        part = index.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, f"query long, `{key}` long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return index.sparkSession.createDataFrame([], f"query long, `{key}` long, score double, rank int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, dim in enumerate(batch.column("dim").to_pylist()):
+                ids, asked = _row(batch, r, "_id", np.int64), _row(batch, r, "_query", np.int64)
+                score = np.round(_row(batch, r, "_q", np.float64, dim) @ _row(batch, r, "_x", np.float64, dim).T, digits)
+                # all of the k-th score are taken, since keys decide among them
+                least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+                q, x = np.nonzero(score >= least)
+                order = np.lexsort((ids[x], -score[q, x], q))
+                q, x = q[order], x[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, x = q[first], x[first]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[x]), pa.array(score[q, x])], names=["query", key, "score"])
+
+    found = blocks.mapInArrow(run, f"query long, `{key}` long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -72,35 +103,25 @@ def top_k(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int, d
 def target_ranks(index: DataFrame, pairs: DataFrame, key: str, vector: str, digits: int = 9) -> DataFrame:
     """(query, target, rank) for pairs (query, target, query vector, target vector): 1 + the rows that score higher, or equal with a lower key.
 
-    Only counts leave the tasks, one a query and partition.
+    Only counts leave a product of blocks. A repeated pair is one; pairs without a vector have no rank.
     """
-    found = None
-    last = None
-    while True:
-        given = pairs.where(F.col("qv").isNotNull() & F.col("tv").isNotNull())
-        part = given.where(F.col("query") > last) if last is not None else given
-        rows = part.select("query", "target", F.col("qv").cast("array<double>").alias("qv"), F.col("tv").cast("array<double>").alias("tv")).orderBy("query").limit(QUERY_BLOCK).toArrow()
-        if not rows.num_rows:
-            break
-        ids, targets = rows.column("query").to_numpy(), rows.column("target").to_numpy()
-        dim = len(rows.column("qv")[0])
-        q, t = (_matrix(rows.column(c).combine_chunks(), dim) for c in ("qv", "tv"))
-        own = np.round((q * t).sum(1), digits)
-
-        def run(batches, ids=ids, targets=targets, q=q, own=own):
-            ahead = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                score = np.round(q @ _matrix(batch.column(1), q.shape[1]).T, digits)
-                keys = batch.column(0).to_numpy()[None, :]
-                ahead += ((score > own[:, None]) | ((score == own[:, None]) & (keys < targets[:, None]))).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(targets), pa.array(ahead)], names=["query", "target", "ahead"])
-
-        counted = index.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, "query long, target long, ahead long")
-        found = counted if found is None else found.union(counted)
-        last = int(ids[-1])
-    if found is None:
-        return index.sparkSession.createDataFrame([], "query long, target long, rank long")
-    return found.groupBy("query", "target").agg((F.sum("ahead") + 1).alias("rank"))
+    asked = pairs.select("query", "target", "qv", "tv").dropDuplicates(["query", "target"]).where((F.size("qv") > 0) & (F.size("qv") == F.size("tv")))
+    blocks = _paired(_blocked(index, [key], [vector]), _blocked(asked, ["query", "target"], ["qv", "tv"]))
+    blocks = blocks.select("dim", F.col(key).alias("_id"), F.col(vector).alias("_x"), *[F.col(f"asked_{c}").alias(f"_{c}") for c in ("query", "target", "qv", "tv")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, dim in enumerate(batch.column("dim").to_pylist()):
+                keys, targets = _row(batch, r, "_id", np.int64)[None, :], _row(batch, r, "_target", np.int64)
+                q, t = _row(batch, r, "_qv", np.float64, dim), _row(batch, r, "_tv", np.float64, dim)
+                own = np.round((q * t).sum(1), digits)[:, None]
+                score = np.round(q @ _row(batch, r, "_x", np.float64, dim).T, digits)
+                ahead = ((score > own) | ((score == own) & (keys < targets[:, None]))).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(_row(batch, r, "_query", np.int64)), pa.array(targets), pa.array(ahead)], names=["query", "target", "ahead"])
+
+    none = asked.select(F.col("query").cast("long").alias("query"), F.col("target").cast("long").alias("target"), F.lit(0).cast("long").alias("ahead"))
+    counted = blocks.mapInArrow(run, "query long, target long, ahead long").unionByName(none)
+    return counted.groupBy("query", "target").agg((F.sum("ahead") + 1).alias("rank"))
 
 
 def ranking_metrics(ranks: DataFrame, rank: str, pool: Column | None = None) -> DataFrame:

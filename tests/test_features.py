@@ -369,8 +369,27 @@ def test_bm25_top_is_the_head_of_the_full_ranking(spark):
 
 
 def test_queries_without_a_vector_have_no_answers(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, v array<float>")
-    assert {(r["query"], r.id) for r in retrieval.top_k(df, df, "id", "v", 1).collect()} == {(1, 1), (3, 3)}
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, []), (5, [9.0]), (None, [1.0, 0.0])], "id long, v array<float>")
+    assert {(r["query"], r.id) for r in retrieval.top_k(df, df, "id", "v", 1).collect()} == {(1, 1), (3, 3), (5, 5)}
+    assert retrieval.top_k(df, df.limit(0), "id", "v", 1).count() == 0 == retrieval.top_k(df.limit(0), df, "id", "v", 1).count()
+
+
+@pytest.mark.parametrize("rows", [3, 4096])
+def test_blocks_of_queries_meet_all_blocks_of_the_index(spark, monkeypatch, rows):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (60, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    asked = df.where("id % 4 = 0")
+    want = {(q, i, r) for q in range(0, 60, 4) for r, i in enumerate(sorted(range(60), key=lambda i: (-x[q] @ x[i], i))[:7], 1)}
+    assert {(r["query"], r.id, r["rank"]) for r in retrieval.top_k(df, asked, "id", "v", 7).collect()} == want
+    pairs = [(q, (q * 7) % 60) for q in range(0, 60, 4)]
+    given = spark.createDataFrame([(q, t, x[q].tolist(), x[t].tolist()) for q, t in [*pairs, pairs[0]]] + [(1, 2, None, [1.0])], "query long, target long, qv array<double>, tv array<double>")
+    ranks = {(q, t): 1 + sum((-x[q] @ x[i], i) < (-x[q] @ x[t], t) for i in range(60)) for q, t in pairs}
+    assert {(r["query"], r.target): r["rank"] for r in retrieval.target_ranks(df, given, "id", "v").collect()} == ranks
+    assert {r["rank"] for r in retrieval.target_ranks(df.limit(0), given, "id", "v").collect()} == {1}
 
 
 def test_mask_draws_each_place_once(spark):
