@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import audit, dedup, splits
+from millrace.operators.digests import ordered_digest
 from millrace.plans.registry import query
 from millrace.session import settle, table
 
@@ -189,8 +190,7 @@ def content_ids(spark, sf_dir):
     "SELECT lang, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS pool_hash FROM documents GROUP BY lang",
 )
 def pool_hash(spark, sf_dir):
-    ids = F.array_sort(F.collect_list(F.col("doc_id").cast("string")))
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("pool_hash"))
+    return ordered_digest(_docs(spark, sf_dir), "lang", "doc_id", out="pool_hash")
 
 
 @query(

@@ -430,3 +430,13 @@ def test_pools_and_audits_are_checked_as_they_are_read(spark, tmp_path):
     (tmp_path / "audits" / "r.json").write_text(json.dumps(audit | {"per_intent_pair_count": {"a": -1}}))
     with pytest.raises(InvalidRecord, match=r"per_intent_pair_count\.a"):
         locks.load_audits(spark, str(tmp_path / "audits"), lines=False)
+
+
+def test_ordered_digests(spark):
+    from millrace.operators.digests import ordered_digest
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(300)])) for _ in range(900)] + [("c", None)]
+    got = {r.g: (r.n, r.digest) for r in ordered_digest(spark.createDataFrame(rows, "g string, v long").repartition(5), "g", "v").collect()}
+    want = {g: sorted(str(v) for h, v in rows if h == g and v is not None) for g in ("a", "b", None)}
+    assert got == {g: (len(v), hashlib.sha256(",".join(v).encode()).hexdigest()) for g, v in want.items()}
