@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import settle
 
-#: Ranking values of a source are counted in so many steps; only the step at the border is sorted.
-STEPS = 1 << 16
+#: Ranking values of a source are counted in so many steps a unit of their logarithm; only the step at the border is sorted.
+STEPS = 1 << 12
 CYCLE = (3, 1, 2)
 #: All sources' targets together, and one source's at most, as a share of the sizes.
 TOTAL, MOST = 1.5, 2.0
@@ -51,8 +51,10 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     inclusion odds, which fall with the root of their size, in that order up to the number of
     words left, to the nearest document. Empty and null texts have size 0 and nothing taken.
     Equal keys have one random value; ties go by key. Per source, the words are summed in
-    STEPS steps of the ranking value before the one shuffle of rows; only the border step's
-    rows are sorted, so no source is sorted whole, however large.
+    STEPS steps of each unit of the ranking value's logarithm before the one shuffle of rows;
+    only the border step's rows are sorted. Whatever the share and the sizes, a step holds no
+    more than about a part of 4 * STEPS of a source (a logistic variable's density is at most
+    1/4), so no source is sorted whole.
     """
     own = df.select(df[key].alias("_key"), df[source].cast("string").alias("_source"), word_count(df[text].cast("string")).alias("size"))
     # the texts are read once; from here on rows are a few bytes
@@ -66,7 +68,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     u = (bits + 0.5) / float(1 << 52)
     odds = F.col("share") / (1.0 - F.col("share")) * F.sqrt(F.col("source_size") / F.col("n") / F.col("size"))
     rank = F.when((F.col("size") > 0) & (F.col("share") > 0), u / (1.0 - u) / odds)
-    rows = rows.withColumn("_rank", rank).withColumn("_step", F.floor(F.col("_rank") / (1.0 + F.col("_rank")) * STEPS))
+    rows = rows.withColumn("_rank", rank).withColumn("_step", F.floor(F.ln("_rank") * STEPS))
     steps = rows.where(F.col("_rank").isNotNull()).groupBy("_source", "_step", "room").agg(F.sum("size").alias("_words"))
     running = Window.partitionBy("_source").orderBy("_step")
     steps = steps.withColumn("_before", F.sum("_words").over(running) - F.col("_words"))
