@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.sequences import INTENTS
+
 # Fixed values.
 EFFECTS = ("print", "logging", "logger", "log", "open", "write", "os", "subprocess", "socket", "requests", "urllib", "httpx", "aiohttp")
 APPENDERS = ("append", "add", "update")
@@ -23,9 +25,6 @@ MODERN = ("| None", "list[", "dict[", "set[", "tuple[", "frozenset[", "type[")
 SELF_ITERATORS = ("values", "iterrows", "itertuples", "items")
 ARRAY_NAMES = ("arr", "array", "arrays", "df", "series", "s", "data", "x", "y", "X", "Y", "col", "column", "col_", "vec", "vector", "values")
 VECTORIZED = (".apply(", ".map(", ".where(", ".filter(", ".sum(", ".mean(", ".max(", ".min(", "np.where(", "np.vectorize(", "np.sum(", "np.mean(", "np.array(", ".values", ".str.", ".dt.")
-INTENTS = (
-    "extract-helper", "inline-helper", "comprehension-rewrite", "dataclass-migration", "exception-handling-cleanup", "loop-to-vectorized", "argument-defaulting", "none-typing-modernization",
-)
 ACCEPTED_VECTOR_CALLS = (".apply(", ".map(", ".where(", "np.where(", "np.vectorize(")
 ACCEPTED_LEGACY = ("Optional[", "Union[", "typing.List[", "typing.Dict[", "typing.Set[", "typing.Tuple[")
 ACCEPTED_MODERN = ("| None", " | ", "list[", "dict[", "set[", "tuple[")

@@ -38,14 +38,14 @@ def _suite(spark, sf_dir):
     ranking |= {"mrr_zero": F.avg(F.coalesce(1.0 / r, F.lit(0.0))), "mrr_pool": F.avg(1.0 / F.coalesce(r, F.lit(101)))}
     passing = {"pass_rate": F.avg((v > 50).cast("double")), "mean": F.avg(v), "std": F.stddev_samp(v), "users": F.count_distinct("user_id")}
     return [
-        Benchmark("CJ-RET-100", ranks, ranking, ("o_orderpriority", "o_orderstatus"), {"pool": "100"}),
-        Benchmark("CJ-EVAL", table(spark, sf_dir, "events").select("event_type", "value", "user_id"), passing, ("event_type",)),
+        Benchmark("RET-100", ranks, ranking, ("o_orderpriority", "o_orderstatus"), {"pool": "100"}),
+        Benchmark("EVAL", table(spark, sf_dir, "events").select("event_type", "value", "user_id"), passing, ("event_type",)),
     ]
 
 
 @query(
     "suite_k6_results",
-    _SUITE + """ SELECT 'CJ-RET-100' AS benchmark_id, "group", metric, round(value, 9) AS value, n FROM r UNION ALL SELECT 'CJ-EVAL', "group", metric, round(value, 9), n FROM e""",
+    _SUITE + """ SELECT 'RET-100' AS benchmark_id, "group", metric, round(value, 9) AS value, n FROM r UNION ALL SELECT 'EVAL', "group", metric, round(value, 9), n FROM e""",
 )
 def suite(spark, sf_dir):
     """Orders as ranked answers and events as outcomes: recalls, reciprocal ranks, rates and moments over all and by group."""
@@ -56,7 +56,7 @@ def suite(spark, sf_dir):
 @query(
     "suite_k6_report",
     _SUITE
-    + """, every AS (SELECT 'CJ-RET-100' AS b, "group" AS g, metric, value, n FROM r UNION ALL SELECT 'CJ-EVAL', "group", metric, value, n FROM e)
+    + """, every AS (SELECT 'RET-100' AS b, "group" AS g, metric, value, n FROM r UNION ALL SELECT 'EVAL', "group", metric, value, n FROM e)
          SELECT b AS benchmark_id, 'v1' AS schema_version, count(DISTINCT g) AS n_groups, round(max(value) FILTER (g = '' AND metric IN ('recall_5', 'pass_rate')), 9) AS headline FROM every GROUP BY b""",
 )
 def suite_report(spark, sf_dir):
