@@ -8,7 +8,7 @@ from millrace.functions import text as X
 from millrace.operators import audit, dedup, splits
 from millrace.operators.digests import ordered_digest
 from millrace.plans.registry import query
-from millrace.session import settle, table
+from millrace.session import settle, table, widened
 
 ASSIGNMENTS = splits.numbered_assignments("src", 12, 4, 4)
 _SPLIT = "CASE WHEN regexp_extract(source, '[0-9]+')::INT < 12 THEN 'train' WHEN regexp_extract(source, '[0-9]+')::INT < 16 THEN 'val' ELSE 'test' END"
@@ -19,10 +19,20 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _texts(spark, sf_dir):
+    """Documents with text, for maps that cost far more than moving it."""
+    return widened(_docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", "text"))
+
+
 def _split_docs(spark, sf_dir):
     return splits.assign_splits(_docs(spark, sf_dir), "source", ASSIGNMENTS)
 
 
+def _split_texts(spark, sf_dir):
+    docs = widened(_docs(spark, sf_dir).select("doc_id", "text", "source"))
+    return splits.assign_splits(docs, "source", ASSIGNMENTS)
+
+
 @query(
     "dedup_d1_exact",
     """SELECT doc_id, source, sha256(text) AS content_sha256 FROM documents
@@ -60,7 +70,7 @@ def shingles(spark, sf_dir):
        SELECT doc_id, min(h) AS least, sum(h)::BIGINT AS total FROM h GROUP BY doc_id""",
 )
 def shingle_hash(spark, sf_dir):
-    rows = dedup.shingle_hashes(_docs(spark, sf_dir).where(F.length("text") > 0), "doc_id", "text")
+    rows = dedup.shingle_hashes(_texts(spark, sf_dir), "doc_id", "text")
     return rows.select("doc_id", F.array_min("hashes").alias("least"), F.aggregate("hashes", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
@@ -83,8 +93,7 @@ def _minhash_sql(n):
 
 @query("dedup_d5_minhash", _minhash_sql(128) + " SELECT doc_id, array_to_string(s, ',') AS signature FROM sigs")
 def minhash(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.length("text") > 0)
-    return dedup.signatures(docs, "doc_id", "text").select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+    return dedup.signatures(_texts(spark, sf_dir), "doc_id", "text").select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
 _COMPONENTS = (
@@ -100,7 +109,7 @@ _COMPONENTS = (
 
 @query("dedup_d7_lsh", _COMPONENTS + " SELECT doc_id, component FROM placed")
 def lsh(spark, sf_dir):
-    return dedup.lsh_dedup(_docs(spark, sf_dir).where(F.length("text") > 0), "doc_id", "text")
+    return dedup.lsh_dedup(_texts(spark, sf_dir), "doc_id", "text")
 
 
 @query(
@@ -128,12 +137,12 @@ _LEAKS = f"""WITH docs AS (SELECT doc_id, {_SPLIT} AS split, list_distinct({_TOK
 
 @query("split_d9_leakage", _LEAKS + " SELECT * FROM leaks")
 def leakage(spark, sf_dir):
-    return splits.detect_leakage(_split_docs(spark, sf_dir), "doc_id", "text", "split")
+    return splits.detect_leakage(_split_texts(spark, sf_dir), "doc_id", "text", "split")
 
 
 @query("split_d10_resolved", _LEAKS + " SELECT split, count(*) AS n FROM docs WHERE doc_id NOT IN (SELECT b FROM leaks) GROUP BY split")
 def resolved(spark, sf_dir):
-    return splits.without_leaks(_split_docs(spark, sf_dir), "doc_id", "text", "split").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return splits.without_leaks(_split_texts(spark, sf_dir), "doc_id", "text", "split").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -146,7 +155,7 @@ def resolved(spark, sf_dir):
 )
 def leak_classes(spark, sf_dir):
     """Every document with tokens: its class (named by its lowest document), the classes of other splits that it leaks to, and whether an earlier split has it."""
-    members, links = splits.leaks(_split_docs(spark, sf_dir), "doc_id", "text", "split")
+    members, links = splits.leaks(_split_texts(spark, sf_dir), "doc_id", "text", "split")
     names = members.groupBy("class").agg(F.min("id").alias("class_id"))
     linked = links.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     gone = splits.leaking_rows(members, links).select("id", F.lit(True).alias("gone"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import retrieval as R
 from millrace.plans.registry import query
-from millrace.session import settle, table
+from millrace.session import settle, table, widened
 
 #: A search asks with every row whose id this divides, against all rows.
 EVERY = 100
@@ -184,7 +184,7 @@ _BM25 = f"""WITH d AS (SELECT doc_id, {_W} AS w FROM documents),
 
 @query("retrieval_r7_bm25", _BM25 + " SELECT query, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 5")
 def bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    docs = widened(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("w"))
     asked = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("w"))
     return R.bm25_top(docs, "doc_id", "w", asked, "item_id", "w", 5).select("query", "doc_id", "score")
 

@@ -13,7 +13,7 @@ from millrace.operators import tokens as K
 from millrace.operators import walk as W
 from millrace.operators.normalise import embedding_input
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import table, widened
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '')"
 
@@ -21,7 +21,7 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda
 @query("tokens_x11_encoded")
 def encoded(spark, sf_dir):
     """Every document's ids and its frame of 512; tested against the vocabulary's own library over whole tables."""
-    ids = K.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = K.encode(widened(table(spark, sf_dir, "documents").select("doc_id", "text")))
     framed = K.token_ids(F.col("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.size(framed).alias("n_framed"))
 
@@ -29,7 +29,7 @@ def encoded(spark, sf_dir):
 @query("tokens_x12_round_trip", "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents")
 def round_trip(spark, sf_dir):
     """Every document encoded, framed without a cap, and decoded: the text comes back."""
-    ids = K.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    ids = K.encode(widened(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
     whole = F.concat(F.array(F.lit(2)), F.col("ids"), F.array(F.lit(3), F.lit(0), F.lit(0)))
     back = K.decode(ids.select("doc_id", whole.alias("ids")))
     return back.select("doc_id", F.sha2("text", 256).alias("decoded_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))

@@ -32,10 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def widened(df: DataFrame) -> DataFrame:
-    """Rows as read, dealt to all cores where their files have fewer row groups than that.
+    """The rows of a scan, dealt to all cores where its files have fewer row groups than that.
 
     For maps that cost far more than moving their rows. A table of many files stays as it is,
-    without a shuffle.
+    without a shuffle. Not for what comes after a shuffle, which would be run to be counted.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
