@@ -75,7 +75,7 @@ def _boundary(left: DataFrame, size: int) -> int | None:
 
 
 @scratched
-def walk(commits: DataFrame, max_pairs: int = mining.MAX_PAIRS, from_commit: str | None = None, to_commit: str | None = None, cutoff: datetime.datetime = mining.CUTOFF, first_slice: int = FIRST_SLICE) -> DataFrame:
+def walk(commits: DataFrame, max_pairs: int | None = mining.MAX_PAIRS, from_commit: str | None = None, to_commit: str | None = None, cutoff: datetime.datetime = mining.CUTOFF, first_slice: int = FIRST_SLICE) -> DataFrame:
     """The first max_pairs pairs of one repository's history, by commit, file and name.
 
     commits: repo, position (a unique long, oldest first), hash, parents, author, author_date,
@@ -83,15 +83,18 @@ def walk(commits: DataFrame, max_pairs: int = mining.MAX_PAIRS, from_commit: str
     sides, names and messages are none. Both ends of the asked commits count; an unknown one is
     an error. How many pairs a commit holds is known only once it is parsed: slices of the
     history, each twice as long as the one before, are parsed by all tasks until there are
-    enough pairs, so the rest of a long history is never read.
+    enough pairs, so the rest of a long history is never read. With max_pairs None all pairs
+    are wanted: the history is parsed at once, and its pairs are in no order.
     """
-    if max_pairs < 1:
+    if max_pairs is not None and max_pairs < 1:
         raise ValueError("max_pairs must be positive")
     own = commits
     if from_commit is not None:
         own = own.where(F.col("position") >= _position(commits, from_commit))
     if to_commit is not None:
         own = own.where(F.col("position") <= _position(commits, to_commit))
+    if max_pairs is None:
+        return pairs_of(eligible(own, cutoff))
     left, size, found, done = eligible(own, cutoff), first_slice, 0, []
     while True:
         end = _boundary(left, size)

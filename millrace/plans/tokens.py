@@ -120,7 +120,7 @@ _WALK = f"""WITH base AS ({_BASE}), commits AS (
 @query("commit_s7_walk", _WALK)
 def whole_walk(spark, sf_dir):
     """All pairs of the history: cutoff, merges, bots, messages, files, nodes and contents, in that order."""
-    return W.as_pair(W.walk(commits(spark, sf_dir), cutoff=datetime.datetime(2024, 1, 15)))
+    return W.as_pair(W.walk(commits(spark, sf_dir), max_pairs=None, cutoff=datetime.datetime(2024, 1, 15)))
 
 
 @query("commit_s7_first_pairs", _WALK + " ORDER BY position, f, node_qualname LIMIT 300")

@@ -2,6 +2,7 @@
 
 import base64
 import datetime
+import time
 import hashlib
 import json
 import random
@@ -146,6 +147,15 @@ def test_a_long_history_is_not_read_to_its_end(spark, monkeypatch):
     assert walk.walk(df, max_pairs=7, first_slice=4).count() == 7 and sizes == [4, 8]
 
 
+def test_a_walk_without_a_limit_has_all_pairs(spark, monkeypatch):
+    df = spark.createDataFrame([commit(i, [file(A, B)]) for i in range(60)], COMMITS)
+    assert walk.walk(df, max_pairs=None, first_slice=4).count() == 60
+    asked = []
+    monkeypatch.setattr(plans.W, "walk", lambda c, **o: asked.append(o) or c)
+    plans.whole_walk(spark, DATA)
+    assert asked[0]["max_pairs"] is None
+
+
 def test_table_function_reads_the_tables_words(spark):
     rows = plans.commits(spark, DATA)
     assert rows.select(F.size("modified_files")).distinct().collect()[0][0] == 3
