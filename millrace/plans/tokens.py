@@ -55,10 +55,9 @@ def over_cap(spark, sf_dir):
 )
 def over_cap_counts(spark, sf_dir):
     """How many rows of each language the cap empties, and how many had nothing."""
-    n = F.size(X.tokens(F.col("text")))
-    rows = table(spark, sf_dir, "documents").select("lang", F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(n > 0, i)).alias("i"), n.alias("n"))
-    ids = F.filter("i", lambda i: i.isNotNull())
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(K.over_cap(ids, 128)).alias("over_cap"), F.count_if(F.col("n") == 0).alias("blank"))
+    ids = F.transform(X.tokens(F.col("text")), lambda t: F.length(t) + 15)
+    rows = table(spark, sf_dir, "documents").select("lang", ids.alias("ids"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(K.over_cap(F.col("ids"), 128)).alias("over_cap"), F.count_if(F.size("ids") == 0).alias("blank"))
 
 
 # ---- the walk through commits

@@ -156,6 +156,13 @@ def test_a_walk_without_a_limit_has_all_pairs(spark, monkeypatch):
     assert asked[0]["max_pairs"] is None
 
 
+def test_counts_cut_a_long_text_once(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "w " * 40_000), (2, "en", " "), (3, None, None)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    found = {r.lang: (r.n, r.over_cap, r.blank) for r in plans.over_cap_counts(spark, str(tmp_path)).collect()}
+    assert found == {"en": (2, 1, 1), None: (1, 0, 1)} and time.monotonic() - start < 20
+
+
 def test_table_function_reads_the_tables_words(spark):
     rows = plans.commits(spark, DATA)
     assert rows.select(F.size("modified_files")).distinct().collect()[0][0] == 3
