@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import hash_uniform
 from millrace.operators import places
 from millrace.session import settle
 
@@ -75,11 +75,120 @@ def numbered(df: DataFrame, key: str, value: str) -> DataFrame:
     return settle(places.numbered(df.select(key, value), [key]).select("at", value), "numbered")
 
 
+#: MD5's rotations and constants.
+_TURNS = [t for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in row * 4]
+_SINES = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _digit_words(start: int, stop: int, at: int) -> list[np.ndarray]:
+    """The message words, from that of byte ``at``, of the decimals start ... stop - 1 (all of one length) and the byte that ends a message."""
+    number, digits = np.arange(start, stop), len(str(start))
+    words = [np.zeros(stop - start, np.uint32) for _ in range((at % 4 + digits) // 4 + 1)]
+    for k in range(digits):
+        byte = (number // 10 ** (digits - 1 - k) % 10 + ord("0")).astype(np.uint32)
+        words[(at % 4 + k) // 4] |= byte << np.uint32(8 * ((at + k) % 4))
+    words[-1] |= np.uint32(0x80 << 8 * ((at + digits) % 4))
+    return words
+
+
+def _hashed(prefix: bytes, words: list[np.ndarray], digits: int) -> np.ndarray:
+    """``hash_uniform`` of the texts prefix + number: the first 52 bits of their MD5 as a part of one. ``words`` are those of the numbers."""
+    size, n = len(prefix) + digits, len(words[0])
+    if size > 55:
+        raise ValueError("the hashed text must fit one block")
+    fixed = [int.from_bytes(prefix[i : i + 4], "little") for i in range(0, 64, 4)]
+    fixed[14] = 8 * size
+    first = len(prefix) // 4
+    varied = {first + j: w | np.uint32(fixed[first]) if j == 0 else w for j, w in enumerate(words)}
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _START)
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            g = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        if g in varied:
+            f += varied[g]
+            f += np.uint32(_SINES[i])
+        else:
+            f += np.uint32((_SINES[i] + fixed[g]) & 0xFFFFFFFF)
+        np.left_shift(f, np.uint32(_TURNS[i]), out=t)
+        f >>= np.uint32(32 - _TURNS[i])
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a += np.uint32(_START[0])
+    b += np.uint32(_START[1])
+    high = a.byteswap().astype(np.uint64) << np.uint64(20)
+    return (high | (b.byteswap() >> np.uint32(12))).astype(np.float64) / float(1 << 52)
+
+
+#: Picks that are hashed at once, rows of a piece of the values, of those a task holds, and groups of draws.
+PICKS, PIECE, HELD, GROUPS = 1 << 14, 1 << 16, 1 << 23, 96
+
+
 def _resampled(df: DataFrame, place: str, value: str, n: int, draws: int, seed: int) -> DataFrame:
-    """(draw, mean) of draws with replacement; the i-th pick of a draw is the row at a hashed place. Picks are dealt evenly, whatever n."""
-    picks = df.sparkSession.range(draws * n).select(F.expr(f"id div {n}").alias("draw"), (F.col("id") % n).alias("i"))
-    picks = picks.select("draw", F.floor(hash_uniform(F.lit(seed), F.col("draw"), F.col("i")) * n).alias("_at"))
-    return picks.join(df.select(F.col(place).alias("_at"), F.col(value).alias("_v")), "_at").groupBy("draw").agg(F.avg("_v").alias("mean"))
+    """(draw, mean) of draws with replacement; the i-th pick of a draw is the row at a place by ``hash_uniform`` of seed, draw and i.
+
+    No row is made for a pick: a task hashes all picks of its draws and adds up the values at
+    those that lie among the rows it holds, HELD at most. The values are sent once to each of
+    at most GROUPS groups of draws; beyond HELD rows, each further HELD rows hash the picks anew.
+    """
+    groups, parts = min(GROUPS, draws), -(-n // HELD)
+    rows = df.select((F.col(place) / PIECE).cast("int").alias("piece"), F.struct(F.col(place).alias("at"), F.col(value).cast("double").alias("v")).alias("row"))
+    pieces = rows.groupBy("piece").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["v"]).alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = settle(pieces, "pieces").select(every.alias("g"), "piece", "v")
+    to = F.col("g") * parts + (F.col("piece") * PIECE / HELD).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(g, piece, v) for batch in batches for g, piece, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        if not found:
+            return
+        found.sort(key=lambda x: x[1])
+        g, low = found[0][0], found[0][1] * PIECE
+        held = pa.concat_arrays([v.values for _, _, v in found])
+        known = held.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        held = held.fill_null(0.0).to_numpy()
+        del found
+        own = range(g, draws, groups)
+        total, count = dict.fromkeys(own, 0.0), dict.fromkeys(own, 0)
+        start = 0
+        while start < n:
+            digits = len(str(start))
+            stop = min(start + PICKS, n, 10**digits)
+            words = {at: _digit_words(start, stop, at) for at in range(4)}
+            for draw in own:
+                prefix = f"{seed}|{draw}|".encode()
+                at = (_hashed(prefix, words[len(prefix) % 4], digits) * n).astype(np.int64)
+                if parts > 1:
+                    at -= low
+                    at = at[(at >= 0) & (at < len(held))]
+                total[draw] += float(held[at].sum())
+                count[draw] += int(known[at].sum())
+            start = stop
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(total.values())), pa.array(list(count.values()), pa.int64())], names=["draw", "total", "count"])
+
+    sums = dealt.repartitionById(groups * parts, to).mapInArrow(run, "draw long, total double, count long")
+    mean = F.when(F.sum("count") > 0, F.sum("total") / F.sum("count"))
+    return settle(sums, "draws").groupBy("draw").agg(mean.alias("mean"))
 
 
 def bootstrap_ci(df: DataFrame, place: str, value: str, draws: int = DRAWS, level: float = LEVEL, seed: int = 0) -> DataFrame:

@@ -207,6 +207,19 @@ def test_paired_query_takes_every_customer(spark, customers):
     assert 0 < r.p < 1 and r.p == np.mean(np.array(hashed_means([v - 4400.0 for v in values], 10_000, 3)) <= 0)
 
 
+def test_draws_make_no_row_a_pick(spark, monkeypatch):
+    values = [float(i * i % 101) for i in range(230)]
+    df = spark.createDataFrame([(i, v if i % 9 else None) for i, v in enumerate(values)], "at long, v double").repartition(3)
+    picked = [[int(int(hashlib.md5(f"5|{d}|{i}".encode()).hexdigest()[:13], 16) / 2**52 * 230) for i in range(230)] for d in range(12)]
+    want = {d: np.mean([values[i] for i in own if i % 9]) for d, own in enumerate(picked)}
+    for piece, held in ((1 << 16, 1 << 23), (32, 64)):
+        monkeypatch.setattr(evals, "PIECE", piece)
+        monkeypatch.setattr(evals, "HELD", held)
+        out = evals._resampled(df, "at", "v", 230, 12, 5)
+        assert "Join" not in out._jdf.queryExecution().toString() and "Range" not in out._jdf.queryExecution().toString()
+        assert {r.draw: round(r["mean"], 9) for r in out.collect()} == {d: round(m, 9) for d, m in want.items()}
+
+
 def test_schema_violations(spark):
     schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 2}, "b": {"enum": ["x"]}}}
     df = spark.createDataFrame([(1, '{"a": 2, "b": "x"}'), (2, '{"a": true}'), (3, '{"c": 1}'), (4, '{"a": 1, "b": "y"}')], "id int, j string")
