@@ -51,6 +51,23 @@ def test_minhash_matches_whole_numbers():
     assert dedup.signature("", 4).tolist() == [dedup.PRIME] * 4
 
 
+def test_shingles_are_cut_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [None, "", "abc", "\U0001f600 wide ones", *("".join(rng.choices("abcdé \n", k=rng.randint(5, 900))) for _ in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    want = {i: sorted(int(hashlib.sha1(g.encode()).hexdigest()[:8], 16) for g in dedup._grams(x)) if x else [] for i, x in enumerate(texts)}
+    for held, least, few in ((1 << 21, 512, 64), (100, 8, 0), (2000, 1, 0)):
+        for name, v in (("GRAMS_HELD", held), ("LEAST", least), ("FEW", few)):
+            monkeypatch.setattr(dedup, name, v)
+        parts = list(dedup._cut(iter(texts)))
+        assert sum(n for n, _, _ in parts) == len(texts) and (len(parts) > 1) == (held < 1 << 21)
+        assert [sorted(h[at].tolist()) for _, h, each in parts for at in each] == [want[i] for i in range(len(texts))]
+        found = np.concatenate([dedup._least(dedup._columns(h, 128), each) for _, h, each in parts])
+        assert (found.astype(np.int64) == np.array([dedup.signature(x) for x in texts])).all()
+    assert {r.id: r.hashes for r in dedup.shingle_hashes(df, "id", "t").collect()} == want
+    assert {r.id: r.signature for r in dedup.signatures(df, "id", "t").collect()} == {i: dedup.signature(x).tolist() for i, x in enumerate(texts)}
+
+
 def test_lsh_needs_whole_bands(spark):
     with pytest.raises(ValueError):
         dedup.lsh_dedup(spark.createDataFrame([(1, "a")], "id long, t string"), "id", "t", n=10, bands=3)
