@@ -73,6 +73,13 @@ def test_lsh_needs_whole_bands(spark):
         dedup.lsh_dedup(spark.createDataFrame([(1, "a")], "id long, t string"), "id", "t", n=10, bands=3)
 
 
+def test_needed_bands_take_all_slots():
+    ends = dedup.band_ends(0.85, 128, 32)
+    assert len(ends) == 20 and ends[0][0] == 0 and ends[-1][1] == 128 and all(b == c for (_, b), (c, _) in zip(ends, ends[1:]))
+    assert min(b - a for a, b in ends) == 6
+    assert dedup.band_ends(0.5, 128, 32) == [(4 * i, 4 * i + 4) for i in range(32)]
+
+
 def test_lsh_groups_near_copies(spark):
     base = "one two three four five six seven eight nine ten " * 8
     df = spark.createDataFrame([(5, base), (3, base), (9, base + "!"), (1, "something else entirely")], "id long, t string")
