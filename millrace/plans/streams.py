@@ -11,6 +11,8 @@ from millrace.session import shared_dir, table
 from millrace.streaming import dedup, logs
 
 SLICES = 6
+#: Files of a batch: all of a slice, which is taken in before the next one is written.
+ALL_FILES = 1 << 20
 
 
 def _fresh(spark, name):
@@ -18,10 +20,10 @@ def _fresh(spark, name):
 
 
 def _fed(rows, slice_, folder):
-    """A function that writes slice i of the rows into a folder, as one file, and each after the one before."""
+    """A function that writes slice i of the rows into a folder, as each task's own files, and each after the one before."""
 
     def feed(i):
-        rows.where(slice_ == i).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(slice_ == i).write.mode("append").parquet(folder)
 
     return feed
 
@@ -31,15 +33,14 @@ def _fed(rows, slice_, folder):
     """SELECT doc_id AS seq, doc_id = min(doc_id) OVER same AS kept, min(doc_id) OVER same AS kept_seq FROM documents WINDOW same AS (PARTITION BY coalesce(sha256(text), ''))""",
 )
 def incremental_dedup(spark, sf_dir):
-    """documents in six files by doc_id; the stream stops after three and goes on from its checkpoint with the others."""
+    """documents in six slices by doc_id; the stream stops after each and goes on from its checkpoint with the next."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     most = docs.agg(F.max("doc_id")).first()[0] or 0
     source, out, checkpoint = (_fresh(spark, n) for n in ("slices", "decided", "offsets"))
     feed = _fed(docs, F.floor(F.col("doc_id") * SLICES / F.lit(most + 1)), source)
-    for half in (range(SLICES // 2), range(SLICES // 2, SLICES)):
-        for i in half:
-            feed(i)
-        dedup.run_dedup(spark, source, "doc_id long, text string", "text", "doc_id", out, checkpoint)
+    for i in range(SLICES):
+        feed(i)
+        dedup.run_dedup(spark, source, "doc_id long, text string", "text", "doc_id", out, checkpoint, files_a_batch=ALL_FILES)
     return spark.read.schema("seq long, kept boolean, kept_seq long").parquet(out)
 
 
@@ -61,7 +62,7 @@ def _metrics(spark, sf_dir):
     feed = _fed(rows.select("ts", "event", "seconds", "_file"), F.col("_file"), source)
     for i in range(6):
         feed(i)
-        logs.run_metrics(spark, source, out, checkpoint)
+        logs.run_metrics(spark, source, out, checkpoint, files_a_batch=ALL_FILES)
     return spark.read.schema("ts timestamp, event string, seconds double").parquet(source), logs.current(spark, out)
 
 

@@ -457,3 +457,14 @@ def test_ordered_digests(spark):
     got = {r.g: (r.n, r.digest) for r in ordered_digest(spark.createDataFrame(rows, "g string, v long").repartition(5), "g", "v").collect()}
     want = {g: sorted(str(v) for h, v in rows if h == g and v is not None) for g in ("a", "b", None)}
     assert got == {g: (len(v), hashlib.sha256(",".join(v).encode()).hexdigest()) for g, v in want.items()}
+
+
+def test_slices_are_written_by_all_tasks(spark, tmp_path):
+    from millrace.plans import streams
+
+    rows = spark.range(0, 1000, 1, 4)
+    feed = streams._fed(rows, F.col("id") % 2, f"{tmp_path}/fed")
+    feed(0)
+    feed(1)
+    found = spark.read.parquet(f"{tmp_path}/fed")
+    assert found.count() == 1000 and len(found.inputFiles()) == 8
