@@ -468,3 +468,9 @@ def test_slices_are_written_by_all_tasks(spark, tmp_path):
     feed(1)
     found = spark.read.parquet(f"{tmp_path}/fed")
     assert found.count() == 1000 and len(found.inputFiles()) == 8
+
+
+def test_the_schedule_has_a_row_an_event(spark):
+    events = table(spark, DATA, "events").select("event_id")
+    found = QUERIES["schedule_w8_learning_rate"](spark, DATA).select("event_id")
+    assert found.count() == events.count() and found.exceptAll(events).count() == 0
