@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
@@ -37,17 +38,23 @@ EVENTS = (
 )
 
 
-def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str, str, Column]]:
-    """(path, rule, broken) of a JSON schema on a column of parsed JSON (variant text), for flat and nested objects.
+_HITS = "array<struct<path: string, rule: string>>"
 
-    ``value`` is JSON text. Supported: type (one or a list), enum, required, properties,
-    additionalProperties (false), pattern, minimum, maximum, minLength, maxLength; what
-    ``items`` asks of the elements of arrays is in ``element_hits``.
-    """
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once a row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _keys(variant: Column) -> Column:
+    """An object's keys; null for anything else."""
+    return F.map_keys(F.try_variant_get(variant, "$", "map<string, variant>"))
+
+
+def schema_rules(schema: dict, own: Column) -> list[tuple[str, str, Column]]:
+    """(path below the value, rule, broken) of what a JSON schema asks of a value itself, given as (v, found, text, keys), see ``value_hits``."""
     rules: list[tuple[str, str, Column]] = []
-    kind = schema.get("type")
-    variant = F.try_parse_json(value)
-    found = F.schema_of_variant(variant)
+    kind, found, text = schema.get("type"), own["found"], own["text"]
     if kind:
         wanted = {
             "string": found == "STRING",
@@ -59,77 +66,76 @@ def schema_rules(schema: dict, value: Column, path: str = "$") -> list[tuple[str
             "null": found == "VOID",
         }
         any_of = reduce(lambda x, y: x | y, [wanted[k] for k in (kind if isinstance(kind, list) else [kind])])
-        rules.append((path, "type", ~F.coalesce(any_of, F.lit(False))))
-    text = F.try_variant_get(variant, "$", "string")
+        rules.append(("", "type", ~F.coalesce(any_of, F.lit(False))))
     if "enum" in schema:
-        rules.append((path, "enum", ~F.coalesce(text.isin(*[str(e) for e in schema["enum"]]), F.lit(False))))
+        rules.append(("", "enum", ~F.coalesce(text.isin(*[str(e) for e in schema["enum"]]), F.lit(False))))
     if "pattern" in schema:
-        rules.append((path, "pattern", ~F.coalesce(text.rlike(schema["pattern"]), F.lit(False))))
-    number = F.when(found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(variant, "$", "double"))
+        rules.append(("", "pattern", ~F.coalesce(text.rlike(schema["pattern"]), F.lit(False))))
+    number = F.when(found.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(own["v"], "$", "double"))
     for name, test in (("minimum", lambda x, b: x < b), ("maximum", lambda x, b: x > b)):
         if name in schema:
-            rules.append((path, name, F.coalesce(test(number, schema[name]), F.lit(False))))
+            rules.append(("", name, F.coalesce(test(number, schema[name]), F.lit(False))))
     for name, test in (("minLength", lambda x, b: x < b), ("maxLength", lambda x, b: x > b)):
         if name in schema:
-            rules.append((path, name, F.coalesce(test(F.length(text), schema[name]), F.lit(False))))
-    fields = schema.get("properties", {})
+            rules.append(("", name, F.coalesce(test(F.length(text), schema[name]), F.lit(False))))
     for name in schema.get("required", []):
         # asked of objects only: what is none breaks the type
-        rules.append((f"{path}.{name}", "required", F.coalesce(~F.array_contains(F.json_object_keys(value), name), F.lit(False))))
+        rules.append((f".{name}", "required", F.coalesce(~F.array_contains(own["keys"], name), F.lit(False))))
     if schema.get("additionalProperties") is False:
-        extra = F.array_except(F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")), F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
-        rules.append((path, "additionalProperties", F.size(extra) > 0))
-    for name, part in fields.items():
-        own = F.to_json(F.try_variant_get(variant, f"$.{name}", "variant"))
-        there = F.coalesce(F.array_contains(F.json_object_keys(value), name), F.lit(False))
-        rules += [(p, r, there & broken) for p, r, broken in schema_rules(part, own, f"{path}.{name}")]
+        extra = F.array_except(F.coalesce(own["keys"], F.array().cast("array<string>")), F.array(*[F.lit(f) for f in schema.get("properties", {})]).cast("array<string>"))
+        rules.append(("", "additionalProperties", F.size(extra) > 0))
     return rules
 
 
 def _hits(rules: list[tuple[str, str, Column]], path: Column) -> Column:
     """The broken rules as an array of (path, rule), below a path."""
-    if not rules:
-        return F.array().cast("array<struct<path: string, rule: string>>")
     found = [F.when(broken, F.struct(F.concat(path, F.lit(p)).alias("path"), F.lit(r).alias("rule"))) for p, r, broken in rules]
     return F.filter(F.array(*found), lambda h: h.isNotNull())
 
 
-def element_hits(schema: dict, value: Column, path: Column) -> list[Column]:
-    """Arrays of (path, rule) of all broken rules inside arrays, at any depth, by the place of the element: $.a[3].b;
-    and of fields that only ``additionalProperties`` describes, by their name.
+def value_hits(schema: dict, variant: Column, path: Column, keys: Column | None = None) -> Column:
+    """An array of (path, rule) of all broken rules of a JSON schema in a value and inside it, at any depth.
 
-    Elements are taken apart as variants within the row: no row is made for an element.
+    Supported: type (one or a list), enum, required, properties, additionalProperties (false, or
+    a schema), items, pattern, minimum, maximum, minLength, maxLength. Elements are named by their
+    place: $.a[3].b. A value's type, text and keys are worked out once, and what is inside it is
+    taken out as a variant: nothing is parsed again, and no row is made for an element.
     """
-    variant = F.try_parse_json(value)
-    out = []
-    if isinstance(schema.get("items"), dict):
-        items = schema["items"]
-
-        def each(element: Column, place: Column) -> Column:
-            own, here = F.to_json(element), F.concat(path, F.lit("["), place.cast("string"), F.lit("]"))
-            return F.flatten(F.array(_hits(schema_rules(items, own, ""), here), *element_hits(items, own, here)))
-
-        elements = F.try_variant_get(variant, "$", "array<variant>")
-        out.append(F.coalesce(F.flatten(F.transform(elements, each)), F.array().cast("array<struct<path: string, rule: string>>")))
-    if isinstance(schema.get("additionalProperties"), dict):
-        part, known = schema["additionalProperties"], list(schema.get("properties", {}))
-
-        def field(entry: Column) -> Column:
-            own, here = F.to_json(entry["value"]), F.concat(path, F.lit("."), entry["key"])
-            return F.flatten(F.array(_hits(schema_rules(part, own, ""), here), *element_hits(part, own, here)))
-
-        fields = F.map_entries(F.try_variant_get(variant, "$", "map<string, variant>"))
-        if known:
-            fields = F.filter(fields, lambda e: ~e["key"].isin(*known))
-        out.append(F.coalesce(F.flatten(F.transform(fields, field)), F.array().cast("array<struct<path: string, rule: string>>")))
-    for name, part in schema.get("properties", {}).items():
-        out += element_hits(part, F.to_json(F.try_variant_get(variant, f"$.{name}", "variant")), F.concat(path, F.lit(f".{name}")))
-    return out
+    fields, items, more = schema.get("properties", {}), schema.get("items"), schema.get("additionalProperties")
+    by_type = {"type", "minimum", "maximum"} & set(schema)
+    by_text = {"enum", "pattern", "minLength", "maxLength"} & set(schema)
+    by_keys = fields or schema.get("required") or more is False
+
+    def judged(own: Column) -> Column:
+        parts = [_hits(rules, path)] if (rules := schema_rules(schema, own)) else []
+        for name, part in fields.items():
+            there = F.coalesce(F.array_contains(own["keys"], name), F.lit(False))
+            inside = value_hits(part, F.try_variant_get(own["v"], f"$.{name}", "variant"), F.concat(path, F.lit(f".{name}")))
+            parts.append(F.when(there, inside).otherwise(F.array().cast(_HITS)))
+        if isinstance(items, dict):
+            elements = F.try_variant_get(own["v"], "$", "array<variant>")
+            inside = F.transform(elements, lambda e, i: value_hits(items, e, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+            parts.append(F.coalesce(F.flatten(inside), F.array().cast(_HITS)))
+        if isinstance(more, dict):
+            entries = F.map_entries(F.try_variant_get(own["v"], "$", "map<string, variant>"))
+            if fields:
+                entries = F.filter(entries, lambda e: ~e["key"].isin(*fields))
+            inside = F.transform(entries, lambda e: value_hits(more, e["value"], F.concat(path, F.lit("."), e["key"])))
+            parts.append(F.coalesce(F.flatten(inside), F.array().cast(_HITS)))
+        return F.flatten(F.array(*parts)) if parts else F.array().cast(_HITS)
+
+    def described(v: Column) -> Column:
+        found = F.schema_of_variant(v) if by_type else F.lit(None).cast("string")
+        text = F.try_variant_get(v, "$", "string") if by_text else F.lit(None).cast("string")
+        names = F.lit(None).cast("array<string>") if not by_keys else _keys(v) if keys is None else keys
+        return F.struct(v.alias("v"), found.alias("found"), text.alias("text"), names.alias("keys"))
+
+    return _once(variant, lambda v: _once(described(v), judged))
 
 
 def violations(df: DataFrame, key: str, value: str, schema: dict) -> DataFrame:
-    """(key, path, rule) of every broken rule, in arrays too, in one pass over df."""
-    broken = F.flatten(F.array(_hits(schema_rules(schema, F.col(value), ""), F.lit("$")), *element_hits(schema, F.col(value), F.lit("$"))))
+    """(key, path, rule) of every broken rule, in arrays too, in one pass over df, whose JSON is parsed once."""
+    broken = _once(F.col(value), lambda text: value_hits(schema, F.try_parse_json(text), F.lit("$"), F.json_object_keys(text)))
     return df.select(key, F.explode(broken).alias("h")).select(key, "h.path", "h.rule")
 
 

@@ -3,8 +3,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
+from millrace.operators import governance
 from millrace.plans import corpus
 
 
@@ -35,3 +35,21 @@ def test_dedup_report_moves_no_texts(spark, moved, tmp_path):
     found, size = moved(corpus.dedup_report, str(tmp_path))
     assert [(r.total, r.exact, r.near, r.retained) for r in found] == [(63, 11, 1, 51)]
     assert size < sum(map(len, texts)) / 4
+
+
+def test_leak_classes_do_not_shuffle_words_or_candidates(spark, moved, tmp_path):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(2000)]
+    texts = [" ".join(rng.sample(words, 150)) for _ in range(400)]
+    rows = [(i, t, f"src{i % 20}") for i, t in enumerate(texts)] + [(400, texts[0] + " more", "src19"), (401, texts[1], "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    found, size = moved(corpus.leak_classes, str(tmp_path))
+    assert len(found) == 402 and {r.doc_id for r in found if r.forestalled} == {400} and {r.doc_id for r in found if r.n_links} == {0, 400}
+    assert size < sum(map(len, texts))
+
+
+def test_schema_check_parses_json_once(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "object", "properties": {"b": {"type": "integer", "minimum": 3, "maximum": 5}}}}}}
+    found = governance.violations(spark.createDataFrame([(1, '{"a":[{"b":2},{"b":"x"},7]}'), (2, "{")], "id long, j string"), "id", "j", schema)
+    assert sorted((r.id, r.path, r.rule) for r in found.collect()) == [(1, "$.a[0].b", "minimum"), (1, "$.a[1].b", "type"), (1, "$.a[2]", "type"), (2, "$", "type")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
