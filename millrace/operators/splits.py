@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,34 +49,106 @@ def priority(split: Column) -> Column:
 
 
 def token_classes(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
-    """(id, split, class, w) of every row with tokens: rows of equal token sets are of one class, named by a 128-bit digest."""
-    rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(token_set(F.col(text))).alias("w")).where(F.size("w") > 0)
+    """(id, split, class, w) of every row with tokens: w are the 64-bit hashes of its different tokens; rows of equal token sets are of one class, named by a 128-bit digest."""
+    rows = df.select(F.col(key).alias("id"), F.col(split).alias("split"), F.array_sort(token_set(F.col(text))).alias("t")).where(F.size("t") > 0)
     # tokens hold no white space, so the joined text is the set
-    return rows.withColumn("class", F.md5(F.array_join("w", " ").cast("binary")))
+    return rows.select("id", "split", F.md5(F.array_join("t", " ").cast("binary")).alias("class"), F.array_distinct(F.transform("t", lambda t: F.xxhash64(t))).alias("w"))
 
 
-def similar_classes(rows: DataFrame, threshold: float) -> DataFrame:
-    """(class, other, jaccard), both ways round, of classes of different token sets at least so similar.
+def _across(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+    """Whether some split of the one comes before some split of the other, either way round."""
+    return (low < other_high) | (other_low < high)
+
+
+def _by_words(sets: DataFrame, threshold: float) -> DataFrame:
+    """(class, other) of sets that may be so similar, for any threshold.
 
     Token sets are ordered by corpus rarity; similar sets share one of their first
     n - ceil(n * threshold) + 1 tokens. Sets meet by such a token and by a band of sizes, and
     only neighbouring bands hold sizes within the threshold, so a frequent token's sets are
     dealt out by size; what they can still share after that token must suffice.
     """
-    sets = rows.groupBy("class").agg(F.first("w").alias("w"))
-    words = sets.select("class", F.size("w").alias("n"), F.explode("w").alias("t"))
+    words = sets.select("class", "low", "high", F.size("w").alias("n"), F.explode("w").alias("t"))
     counts = words.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
     ranked = words.join(counts, "t").withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("f", "t")))
     prefix = (F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("f") > 1)
     # sizes of one band differ by less than the threshold's ratio; without one, all are of one band
-    band = F.floor(F.ln("n") / F.lit(math.log(1 / threshold))) if 0 < threshold < 1 else F.col("n") if threshold >= 1 else F.lit(0)
-    index = settle(ranked.where(prefix).select("t", "class", "n", "at", band.cast("long").alias("band")), "prefixes")
-    bands = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1) if 0 < threshold < 1 else F.array("band")
-    other = index.select("t", F.explode(bands).alias("band"), F.col("class").alias("other"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    band = F.floor(F.ln("n") / F.lit(math.log(1 / threshold))) if threshold > 0 else F.lit(0)
+    index = settle(ranked.where(prefix).select("t", "class", "low", "high", "n", "at", band.cast("long").alias("band")), "prefixes")
+    bands = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1) if threshold > 0 else F.array("band")
+    other = index.select("t", F.explode(bands).alias("band"), F.col("class").alias("other"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     near = index.join(other, ["t", "band"]).where((F.col("class") < F.col("other")) & (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b") - 1e-9))
+    near = near.where(_across(F.col("low"), F.col("high"), F.col("low_b"), F.col("high_b")))
     near = near.where(1 + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= threshold / (1 + threshold) * (F.col("n") + F.col("n_b")) - 1e-9)
-    pairs = near.select("class", "other").distinct()
-    left, right = sets.select("class", F.col("w").alias("wa")), sets.select(F.col("class").alias("other"), F.col("w").alias("wb"))
+    return settle(near.select("class", "other").distinct(), "candidates")
+
+
+#: Token hashes whose index entries a task makes at once, and rows of a batch of sets.
+HASHES_HELD, SETS_HELD = 1 << 19, 2000
+
+
+def _by_segments(sets: DataFrame, percent: int) -> DataFrame:
+    """(class, other) of sets that may have a similarity of percent / 100.
+
+    The index of the n-gram join: linked sets agree in a whole segment of the universe of
+    hashes, which few others do. Sketches then rule out pairs before their sets are sent.
+    """
+    from millrace.llm.common import batches_of
+    from millrace.llm.groups import odd_sketches, possible, wanted_rows
+    from millrace.llm.ngrams import entries
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("w")).to_numpy().astype(np.int64)
+            ends, start = np.cumsum(sizes), 0
+            while start < len(sizes):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HASHES_HELD, "right")))
+                part, size = batch.slice(start, stop - start), sizes[start:stop]
+                values = part.column("w").flatten().to_numpy().view(np.uint64)
+                values = values[np.lexsort((values, np.repeat(np.arange(len(size)), size)))]
+                at = np.concatenate([[0], np.cumsum(size)])
+                entry, owner, _ = entries(values, at, percent)
+                order = np.lexsort((entry, owner))
+                entry, owner = entry[order], owner[order]
+                fresh = np.concatenate([[True], (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1])]) if len(entry) else np.zeros(0, bool)
+                entry, owner = entry[fresh], owner[fresh]
+                offsets = pa.array(np.searchsorted(owner, np.arange(len(size) + 1)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(entry.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set", "low", "high")), pa.array(size.astype(np.int32)), odd_sketches(values, at), lists], names=["set", "low", "high", "n", "sketch", "entries"])
+                start = stop
+
+    # half of a class's digest stands for it in the index
+    named = F.conv(F.substring("class", 1, 16), 16, -10).cast("long").alias("set")
+    with batches_of(sets.sparkSession, SETS_HELD):
+        indexed = settle(sets.select(named, "low", "high", "w").mapInArrow(index, "set long, low int, high int, n int, sketch binary, entries array<bigint>"), "entries")
+    one = indexed.select(F.explode("entries").alias("entry"), "set", "low", "high", "n")
+    # both sides by the same names, so that they share one shuffle
+    x, y = ((lambda c, side=side: F.col(f"{side}.{c}")) for side in "xy")
+    met = one.alias("x").join(one.alias("y"), x("entry") == y("entry")).where((x("set") < y("set")) & (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent))
+    met = met.where(_across(x("low"), x("high"), y("low"), y("high"))).select(x("set").alias("a"), y("set").alias("b"))
+    pairs = settle(met.distinct(), "candidates")
+    near = settle(possible(pairs, indexed.select("set", "n", "sketch"), percent), "near")
+    names = settle(wanted_rows(sets.select("class", named), near.select(F.col("a").alias("set")).union(near.select("b")), "set"), "names")
+    return settle(near.join(names.toDF("class", "a"), "a").join(names.toDF("other", "b"), "b").select("class", "other"), "named")
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(class, other, jaccard), both ways round, of classes of different token sets at least so similar that lie in different splits.
+
+    sets: (class, w, low, high), with the places of the first and the last split of each.
+    """
+    if threshold >= 1:
+        # different sets are never wholly similar
+        return sets.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
+    from millrace.llm.groups import wanted_rows
+
+    percent = math.floor(threshold * 100 + 1e-9)
+    pairs = _by_segments(sets, percent) if percent >= 50 else _by_words(sets, threshold)
+    # of the sets only those of some pair are sent
+    hashed = F.xxhash64("class").alias("_hash")
+    wanted = pairs.select(hashed).union(pairs.select(F.xxhash64("other"))).distinct()
+    held = settle(wanted_rows(sets.select("class", "w", hashed), wanted, "_hash").select("class", "w"), "wanted")
+    left, right = held.select("class", F.col("w").alias("wa")), held.select(F.col("class").alias("other"), F.col("w").alias("wb"))
     scored = pairs.join(left, "class").join(right, "other").withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
     scored = settle(scored.select("class", "other", "jaccard"), "similar")
     return scored.unionByName(scored.select(F.col("other").alias("class"), F.col("class").alias("other"), "jaccard"))
@@ -85,14 +161,13 @@ def leaks(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.8
     into pairs: both tables grow with the rows and with the pairs of different texts.
     """
     rows = settle(token_classes(df, key, text, split), "token-sets")
+    members = rows.select("id", "split", "class")
     if threshold > 1:
-        return rows.select("id", "split", "class"), rows.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
-    spans = rows.groupBy("class").agg(F.min(priority(F.col("split"))).alias("low"), F.max(priority(F.col("split"))).alias("high"))
-    # spans of the few linked classes are looked up; a pair in one single split is no leak
-    links = similar_classes(rows, threshold).unionByName(spans.where("low < high").select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")))
-    of = spans.select(F.col("class").alias("other"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    across = links.join(spans, "class").join(of, "other").where((F.col("low") < F.col("high_b")) | (F.col("low_b") < F.col("high")))
-    return rows.select("id", "split", "class"), settle(across.select("class", "other", "jaccard"), "leaks")
+        return members, rows.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
+    place = priority(F.col("split")).cast("int")
+    sets = settle(rows.groupBy("class").agg(F.first("w").alias("w"), F.min(place).alias("low"), F.max(place).alias("high")), "sets")
+    itself = sets.where("low < high").select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard"))
+    return members, settle(similar_classes(sets, threshold).unionByName(itself), "leaks")
 
 
 def detect_leakage(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.85) -> DataFrame:
