@@ -85,13 +85,17 @@ def _by_words(sets: DataFrame, threshold: float) -> DataFrame:
 
 #: Token hashes whose index entries a task makes at once, and rows of a batch of sets.
 HASHES_HELD, SETS_HELD = 1 << 19, 2000
+#: Buckets whose entries are counted; their counts, 512 kB, go to all tasks.
+BUCKETS_LOG = 16
 
 
 def _by_segments(sets: DataFrame, percent: int) -> DataFrame:
     """(class, other) of sets that may have a similarity of percent / 100.
 
     The index of the n-gram join: linked sets agree in a whole segment of the universe of
-    hashes, which few others do. Sketches then rule out pairs before their sets are sent.
+    hashes, which few others do. The allocation has as many segments to spare as a set may drop
+    of its most frequent ones: the rarest common entry stays in both, in whatever order, so that
+    of counts by bucket will do. Sketches then rule out pairs before their sets are sent.
     """
     from millrace.llm.common import batches_of
     from millrace.llm.groups import odd_sketches, possible, wanted_rows
@@ -107,21 +111,40 @@ def _by_segments(sets: DataFrame, percent: int) -> DataFrame:
                 values = part.column("w").flatten().to_numpy().view(np.uint64)
                 values = values[np.lexsort((values, np.repeat(np.arange(len(size)), size)))]
                 at = np.concatenate([[0], np.cumsum(size)])
-                entry, owner, _ = entries(values, at, percent)
-                order = np.lexsort((entry, owner))
-                entry, owner = entry[order], owner[order]
-                fresh = np.concatenate([[True], (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1])]) if len(entry) else np.zeros(0, bool)
-                entry, owner = entry[fresh], owner[fresh]
+                entry, owner, tag = entries(values, at, percent)
+                order = np.lexsort((entry, tag, owner))
+                entry, owner, tag = entry[order], owner[order], tag[order]
+                fresh = np.concatenate([[True], (entry[1:] != entry[:-1]) | (tag[1:] != tag[:-1]) | (owner[1:] != owner[:-1])]) if len(entry) else np.zeros(0, bool)
+                entry, owner, tag = entry[fresh], owner[fresh], tag[fresh]
                 offsets = pa.array(np.searchsorted(owner, np.arange(len(size) + 1)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(entry.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set", "low", "high")), pa.array(size.astype(np.int32)), odd_sketches(values, at), lists], names=["set", "low", "high", "n", "sketch", "entries"])
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(entry.view(np.int64)), pa.array(tag.astype(np.int8)))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set", "low", "high")), pa.array(size.astype(np.int32)), odd_sketches(values, at), *lists], names=["set", "low", "high", "n", "sketch", "entries", "tags"])
                 start = stop
 
     # half of a class's digest stands for it in the index
     named = F.conv(F.substring("class", 1, 16), 16, -10).cast("long").alias("set")
     with batches_of(sets.sparkSession, SETS_HELD):
-        indexed = settle(sets.select(named, "low", "high", "w").mapInArrow(index, "set long, low int, high int, n int, sketch binary, entries array<bigint>"), "entries")
-    one = indexed.select(F.explode("entries").alias("entry"), "set", "low", "high", "n")
+        indexed = settle(sets.select(named, "low", "high", "w").mapInArrow(index, "set long, low int, high int, n int, sketch binary, entries array<bigint>, tags array<tinyint>"), "entries")
+    bucket = F.shiftrightunsigned("entry", 64 - BUCKETS_LOG).alias("bucket")
+    often = np.zeros(1 << BUCKETS_LOG, np.int64)
+    for row in indexed.select(F.explode("entries").alias("entry")).select(bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+        often[row["bucket"]] = row["n"]
+    counts = sets.sparkSession.sparkContext.broadcast(often)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entry, tag = (batch.column(c).flatten().to_numpy() for c in ("entries", "tags"))
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("entries")).to_numpy())
+            scheme, drops = owner * 64 + tag, tag % 32
+            order = np.lexsort((entry, -counts.value[entry.view(np.uint64) >> np.uint64(64 - BUCKETS_LOG)], scheme))
+            scheme, drops = scheme[order], drops[order]
+            rank = np.arange(len(order)) - np.searchsorted(scheme, scheme, "left")
+            own = order[(drops == 0) | (rank >= drops)]
+            rows = batch.select(["set", "low", "high", "n"]).take(pa.array(owner[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(entry[own]), *rows.columns], names=["entry", "set", "low", "high", "n"])
+
+    with batches_of(sets.sparkSession, SETS_HELD):
+        one = settle(indexed.select("entries", "tags", "set", "low", "high", "n").mapInArrow(rare, "entry long, set long, low int, high int, n int"), "index")
     # both sides by the same names, so that they share one shuffle
     x, y = ((lambda c, side=side: F.col(f"{side}.{c}")) for side in "xy")
     met = one.alias("x").join(one.alias("y"), x("entry") == y("entry")).where((x("set") < y("set")) & (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent))
