@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, odd_sketches, possible, record, units, wanted_rows
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, in_blocks, met, odd_sketches, possible, record, wanted_rows
 from millrace.operators.components import components
 from millrace.session import forget, scratched, settle
 
@@ -238,17 +238,21 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
     texts: DataFrame | None = None
     few: DataFrame | None = small
     crowd: DataFrame | None = hot
+    more: DataFrame | None = None
     turn = 0
 
     def marked(groups: DataFrame) -> DataFrame:
+        groups = groups.select("grp", "set")
         if labels is None:
             return groups.withColumn("mark", F.col("set"))
         placed = groups.join(labels.withColumnRenamed("node", "_node"), F.col("set") == F.col("_node"), "left")
         return placed.withColumn("mark", F.coalesce("component", "set")).drop("_node", "component")
 
-    def still_open(groups: DataFrame) -> DataFrame:
-        ends = groups.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
-        return groups.join(ends.select("grp"), "grp", "left_semi")
+    def still_open(groups: DataFrame, more: DataFrame | None) -> DataFrame:
+        # what rules a group out is settled on one row a group, before its members are joined
+        ends = groups.groupBy("grp").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), in_blocks(block)).where("low <> high")
+        ends = ends if more is None else ends.join(more, "grp", "left_semi")
+        return groups.join(ends.select("grp", "blocks"), "grp")
 
     def asked(rows: DataFrame, at: int) -> DataFrame:
         rows = rows.join(sets.select("set", "n", "sketch"), "set")
@@ -268,7 +272,12 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
         if turn < LEADERS:
             parts.append(led(hot))
         elif crowd is not None:
-            parts.append(asked(units(still_open(marked(crowd)), block), turn - LEADERS))
+            # written once, so that neither its use here nor the next round joins the members anew
+            rest = settle(still_open(marked(crowd), more if turn > LEADERS else None), "crowd")
+            if crowd is not hot:
+                forget(crowd)
+            parts.append(asked(met(rest), turn - LEADERS))
+            crowd = rest
         found = reduce(DataFrame.unionAll, [settle(p, "pairs") for p in parts])
         if texts is None:
             texts = fetch(found.where("a IS NOT NULL").select(F.col("a").alias("set")).union(hot.select("set")).distinct())
@@ -279,8 +288,8 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
             links = fresh if links is None else links.unionAll(fresh)
             labels = components(links, "a", "b")
         few = None if few is None or not n_more else small.join(more, "grp", "left_semi")
-        if turn >= LEADERS:
-            crowd = None if not n_more else hot.join(more, "grp", "left_semi")
+        if turn >= LEADERS and not n_more:
+            crowd = None
         turn += 1
     if labels is None:
         return small.select(F.col("set").alias("node"), F.col("set").alias("component")).limit(0)

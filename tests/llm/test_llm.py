@@ -505,6 +505,16 @@ def test_ngrams_against_brute_force(spark, few, k, percent):
     assert out == brute_ngrams(rows, k, percent)
 
 
+def test_ngrams_join_open_groups_once_a_round(spark, monkeypatch):
+    plans, real = [], ngrams.settle
+    monkeypatch.setattr(ngrams, "settle", lambda df, name="step": (plans.append((name, df._jdf.queryExecution().analyzed().toString().count("LeftSemi"))), real(df, name))[1])
+    rows = ngram_cases()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.near_duplicates(df, k=3, percent=80, few=1, block=5).collect()}
+    assert out == brute_ngrams(rows, 3, 80)
+    assert "crowd" in dict(plans) and max(n for name, n in plans if name == "pairs") <= 1
+
+
 def test_ngrams_linked_by_a_null_key_only(spark):
     words = [f"w{i}" for i in range(120)]
     a, n, b = (" ".join(words[i : i + 100]) for i in (0, 8, 16))
