@@ -265,19 +265,13 @@ def wanted_rows(rows: DataFrame, wanted: DataFrame, hashed: str) -> DataFrame:
     return held.where(F.col("_bits").bitwiseAND(one) != 0).drop("_at", "_bit", "_word", "_bits")
 
 
-def units(groups: DataFrame, block: int = BLOCK) -> DataFrame:
-    """groups (grp, set, ...) with unit and part: groups of more than a block are dealt into blocks, and each two blocks meet in a unit."""
-    blocks = groups.groupBy("grp").agg(in_blocks(block)).where("blocks > 1")
-    return met(groups.join(blocks, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
-
-
-def in_blocks(block: int) -> Column:
+def in_blocks(block: int = BLOCK) -> Column:
     """Of a group: how many blocks its sets make."""
     return F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
 
 
-def met(groups: DataFrame) -> DataFrame:
-    """The same for groups that know their blocks."""
+def units(groups: DataFrame) -> DataFrame:
+    """groups (grp, set, blocks, ...) with unit and part: groups of more than a block are dealt into blocks, and each two blocks meet in a unit."""
     dealt = groups.withColumn("part", F.pmod(F.xxhash64("set", "grp"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("unit", F.xxhash64("grp", F.least("part", "_other"), F.greatest("part", "_other"))).drop("_other")
 

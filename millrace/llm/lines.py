@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import LOWER, distinct_sets, least_of_runs, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, odd_sketches, possible, record, units, wanted_rows
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, in_blocks, odd_sketches, possible, record, units, wanted_rows
 from millrace.llm.ngrams import digests, verified
 from millrace.session import scratched, settle
 
@@ -245,6 +245,7 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callabl
     few: DataFrame | None = small
     crowd: DataFrame | None = hot
     texts: DataFrame | None = None
+    more: DataFrame | None = None
     turn = 0
 
     def asked(rows: DataFrame, at: int) -> DataFrame:
@@ -268,7 +269,10 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callabl
         if turn == 0:
             parts.append(led(hot))
         elif crowd is not None:
-            parts.append(asked(units(crowd, block), turn - 1))
+            # which groups go on, and in how many blocks, is settled on one row a group, so their members are joined once
+            sized = hot.groupBy("grp").agg(in_blocks(block))
+            sized = sized if turn == 1 else sized.join(more, "grp", "left_semi")
+            parts.append(asked(units(hot.join(sized, "grp")), turn - 1))
         pairs = reduce(DataFrame.unionAll, [settle(p, "pairs") for p in parts])
         if texts is None:
             texts = fetch(pairs.where("a IS NOT NULL").select(F.col("a").alias("set")).union(hot.select("set")).distinct())
@@ -278,8 +282,8 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callabl
             links = verified(pairs.where("b IS NOT NULL").select("a", "b").distinct(), texts, k, percent).select("a")
             found = settle((links if found is None else found.unionAll(links)).distinct(), "found")
         few = None if few is None or not n_more else small.join(more, "grp", "left_semi")
-        if turn:
-            crowd = None if not n_more else hot.join(more, "grp", "left_semi")
+        if turn and not n_more:
+            crowd = None
         turn += 1
     return firsts.select(F.col("set").alias("a")).limit(0) if found is None else found
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
-from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, in_blocks, met, odd_sketches, possible, record, wanted_rows
+from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, in_blocks, odd_sketches, possible, record, units, wanted_rows
 from millrace.operators.components import components
 from millrace.session import forget, scratched, settle
 
@@ -233,7 +233,6 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
     group of copies costs about a comparison a set. Rounds end when no group holds an untried pair
     of different components.
     """
-    links: DataFrame | None = None
     labels: DataFrame | None = None
     texts: DataFrame | None = None
     few: DataFrame | None = small
@@ -276,7 +275,7 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
             rest = settle(still_open(marked(crowd), more if turn > LEADERS else None), "crowd")
             if crowd is not hot:
                 forget(crowd)
-            parts.append(asked(met(rest), turn - LEADERS))
+            parts.append(asked(units(rest), turn - LEADERS))
             crowd = rest
         found = reduce(DataFrame.unionAll, [settle(p, "pairs") for p in parts])
         if texts is None:
@@ -285,8 +284,8 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
         n_pairs, n_more = found.agg(F.count("b"), F.count(F.when(F.col("a").isNull(), 1))).first()
         if n_pairs:
             fresh = settle(verified(found.where("b IS NOT NULL").select("a", "b").distinct(), texts, k, percent), "verified")
-            links = fresh if links is None else links.unionAll(fresh)
-            labels = components(links, "a", "b")
+            # the components so far stand for the links that made them
+            labels = components(fresh if labels is None else labels.toDF("a", "b").unionAll(fresh), "a", "b")
         few = None if few is None or not n_more else small.join(more, "grp", "left_semi")
         if turn >= LEADERS and not n_more:
             crowd = None

@@ -183,6 +183,18 @@ def test_lines_against_brute_force(spark, few):
     assert {r.doc_id: r.text for r in lines.dedup_lines(df, few=few, block=2048 if few > 1 else 5).collect()} == brute_lines(rows)
 
 
+def test_lines_join_large_groups_once_a_round(spark, monkeypatch):
+    plans, real = [], lines.settle
+    monkeypatch.setattr(lines, "settle", lambda df, name="step": (plans.append((name, df._jdf.queryExecution().analyzed().toString().count("LeftSemi"))), real(df, name))[1])
+    # near misses whose common words are the rarest: sketches let pairs pass that do not link, round after round
+    base, rng = [f"w{j}" for j in range(52)], random.Random(1)
+    rows = [(i, " ".join(base + [rng.choice("abcdef") for _ in range(8)])) for i in range(80)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), few=1, block=5)
+    assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows)
+    semi = [n for name, n in plans if name == "pairs"]
+    assert 1 in semi and max(semi) == 1
+
+
 def test_lines_odd_rows(spark):
     out = lines.dedup_lines(odd_docs(spark))
     rows = sorted((r.doc_id or -1, r.n_lines, r.n_removed, (r.text or "")[:22]) for r in out.collect())
