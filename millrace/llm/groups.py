@@ -281,6 +281,30 @@ def alone(groups: DataFrame) -> DataFrame:
     return groups.withColumn("part", F.lit(0)).withColumn("unit", F.col("grp"))
 
 
+def whole_units(batches: Iterator[pa.RecordBatch], least: int = 4 * BLOCK) -> Iterator[pa.Table]:
+    """The rows of a task, sorted by unit, in tables of whole units: of several while they have no more than ``least`` rows."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # a unit ends where the next begins
+        unit = batch.column("unit").to_numpy()
+        fresh = np.flatnonzero(unit[1:] != unit[:-1]) + 1
+        if held and held[-1].column("unit")[-1].as_py() != unit[0]:
+            fresh = np.concatenate([[0], fresh])
+        if rows + batch.num_rows > least and len(fresh):
+            cut = int(fresh[-1])
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def compared(members: DataFrame, percent: int, turn: int, order: list[str], positional: bool = False) -> DataFrame:
     """(a, b, grp): pairs that sketches let pass and that are not settled; rows with only grp of groups with more of
     them; and in the first turn rows with only a of all sets in pairs that sketches let pass.
@@ -331,26 +355,8 @@ def compared(members: DataFrame, percent: int, turn: int, order: list[str], posi
                 yield pa.RecordBatch.from_arrays([pa.array(own) if c == n_th else pa.nulls(len(own), pa.int64()) for c in range(3)], names=["a", "b", "grp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # a unit ends where the next begins
-            unit = batch.column("unit").to_numpy()
-            fresh = np.flatnonzero(unit[1:] != unit[:-1]) + 1
-            if held and held[-1].column("unit")[-1].as_py() != unit[0]:
-                fresh = np.concatenate([[0], fresh])
-            if rows + batch.num_rows > 4 * BLOCK and len(fresh):
-                cut = int(fresh[-1])
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield from judged(pa.Table.from_batches(held))
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-        if held:
-            yield from judged(pa.Table.from_batches(held))
+        for rows in whole_units(batches):
+            yield from judged(rows)
 
     columns = ["unit", "grp", "part", "set", "n", "sketch", "mark", "done", "extra"]
     dealt = members.repartition("unit").sortWithinPartitions("unit", *order)

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from millrace.errors import SplitConflict, UnknownRepo
 from millrace.functions.text import jaccard, token_set
-from millrace.session import settle
+from millrace.llm.common import batches_of, released, spread
+from millrace.llm.groups import BLOCK, PAIRS, Sketches, can_link, odd_sketches, units, wanted_rows, whole_units
+from millrace.llm.ngrams import entries
+from millrace.operators.components import components, local_components
+from millrace.session import forget, settle
 
 SPLITS = ("train", "val", "test")
 
@@ -55,7 +59,7 @@ def token_classes(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
     return rows.select("id", "split", F.md5(F.array_join("t", " ").cast("binary")).alias("class"), F.array_distinct(F.transform("t", lambda t: F.xxhash64(t))).alias("w"))
 
 
-def _across(low: Column, high: Column, other_low: Column, other_high: Column) -> Column:
+def _across(low, high, other_low, other_high):
     """Whether some split of the one comes before some split of the other, either way round."""
     return (low < other_high) | (other_low < high)
 
@@ -89,18 +93,21 @@ HASHES_HELD, SETS_HELD = 1 << 19, 2000
 BUCKETS_LOG = 16
 
 
-def _by_segments(sets: DataFrame, percent: int) -> DataFrame:
-    """(class, other) of sets that may have a similarity of percent / 100.
+def _named() -> Column:
+    """Half of a class's digest, which stands for it in the index."""
+    return F.conv(F.substring("class", 1, 16), 16, -10).cast("long").alias("set")
+
+
+def _joined(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of sets that may have a similarity of percent / 100 with another: such pairs are of one component.
 
     The index of the n-gram join: linked sets agree in a whole segment of the universe of
     hashes, which few others do. The allocation has as many segments to spare as a set may drop
     of its most frequent ones: the rarest common entry stays in both, in whatever order, so that
-    of counts by bucket will do. Sketches then rule out pairs before their sets are sent.
+    of counts by bucket will do. Groups of sets with a common entry are compared where they are,
+    by sketches, and hand on a forest of what these let pass: pairs, which may be many more than
+    sets and meet in many groups, are never shuffled.
     """
-    from millrace.llm.common import batches_of
-    from millrace.llm.groups import odd_sketches, possible, wanted_rows
-    from millrace.llm.ngrams import entries
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.list_value_length(batch.column("w")).to_numpy().astype(np.int64)
@@ -121,10 +128,8 @@ def _by_segments(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("set", "low", "high")), pa.array(size.astype(np.int32)), odd_sketches(values, at), *lists], names=["set", "low", "high", "n", "sketch", "entries", "tags"])
                 start = stop
 
-    # half of a class's digest stands for it in the index
-    named = F.conv(F.substring("class", 1, 16), 16, -10).cast("long").alias("set")
     with batches_of(sets.sparkSession, SETS_HELD):
-        indexed = settle(sets.select(named, "low", "high", "w").mapInArrow(index, "set long, low int, high int, n int, sketch binary, entries array<bigint>, tags array<tinyint>"), "entries")
+        indexed = settle(sets.select(_named(), "low", "high", "w").mapInArrow(index, "set long, low int, high int, n int, sketch binary, entries array<bigint>, tags array<tinyint>"), "entries")
     bucket = F.shiftrightunsigned("entry", 64 - BUCKETS_LOG).alias("bucket")
     often = np.zeros(1 << BUCKETS_LOG, np.int64)
     for row in indexed.select(F.explode("entries").alias("entry")).select(bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -140,19 +145,112 @@ def _by_segments(sets: DataFrame, percent: int) -> DataFrame:
             scheme, drops = scheme[order], drops[order]
             rank = np.arange(len(order)) - np.searchsorted(scheme, scheme, "left")
             own = order[(drops == 0) | (rank >= drops)]
-            rows = batch.select(["set", "low", "high", "n"]).take(pa.array(owner[own]))
-            yield pa.RecordBatch.from_arrays([pa.array(entry[own]), *rows.columns], names=["entry", "set", "low", "high", "n"])
+            rows = batch.select(["set", "low", "high"]).take(pa.array(owner[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(entry[own]), *rows.columns], names=["entry", "set", "low", "high"])
+
+    # groups of the same sets are named alike and count once; those of one split hold no pair
+    whole = Window.partitionBy("entry")
+    marks = [F.bit_xor(F.xxhash64("set", F.lit(i))).over(whole) for i in (1, 2)]
+    sized = {"size": F.count(F.lit(1)).over(whole), "first": F.min("low").over(whole), "last": F.max("high").over(whole), "x": marks[0], "y": marks[1]}
+    with batches_of(sets.sparkSession, SETS_HELD):
+        one = indexed.select("entries", "tags", "set", "low", "high").mapInArrow(rare, "entry long, set long, low int, high int")
+        met = one.withColumns(sized).where("size > 1 AND first < last")
+        members = settle(met.select(F.xxhash64("x", "y", "size").alias("grp"), "set", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).distinct(), "groups")
+    sketched = settle(indexed.select("set", "low", "high", "n", "sketch"), "sketches")
+    forget(indexed)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_units(batches):
+            rows = rows.combine_chunks()
+            ids, sketches = rows.column("set").to_numpy(), Sketches(rows.column("sketch").combine_chunks())
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i, j in _askable(rows, sketches, percent):
+                # of the pairs a forest goes on, so that their number does not
+                nodes, roots = local_components(np.concatenate([a, ids[i]]), np.concatenate([b, ids[j]]))
+                a, b = nodes[nodes != roots], roots[nodes != roots]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = units(members.join(sketched, "set")).repartition("unit").sortWithinPartitions("unit")
+    with batches_of(sets.sparkSession, SETS_HELD):
+        links = settle(dealt.select("unit", "part", "set", "low", "high", "n", "sketch").mapInArrow(released(linked), "a long, b long"), "forests")
+    forget(members)
+    forget(sketched)
+    labels = components(links, "a", "b")
+    forget(links)
+    return labels
+
+
+def _askable(rows: pa.Table, sketches: Sketches, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (unit, part, low, high, n) of one unit that lie in different splits and that sizes and sketches let pass, some at a time.
+
+    Rows come by unit. Units of two parts only hold pairs across these.
+    """
+    unit, part, low, high, n = (rows.column(c).to_numpy() for c in ("unit", "part", "low", "high", "n"))
+    at = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    sizes = np.diff(np.append(at, len(unit)))
+    start = np.repeat(at, sizes)
+    two = np.repeat(np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at), sizes)
+    before = np.arange(len(unit)) - start
+    ends = np.cumsum(before)
+    a = 0
+    while a < len(unit):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        asks = np.arange(a, b)
+        i, j = np.repeat(asks, before[asks]), spread(start[asks], before[asks])
+        ok = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (~two[i] | (part[i] != part[j])) & _across(low[i], high[i], low[j], high[j])
+        i, j = i[ok], j[ok]
+        ok = can_link(sketches.apart(i, sketches, j), n[i], n[j], percent)
+        yield i[ok], j[ok]
+        a = b
+
+
+def _overlaps(values: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets i[.] and j[.] share. Set s are the different values at[s]:at[s + 1]."""
+    names, named = np.unique(values, return_inverse=True)
+    keys = np.repeat(np.arange(len(at) - 1), np.diff(at)) * len(names) + named
+    keys.sort()
+    size, out = np.diff(at), np.zeros(len(i), np.int64)
+    ends, s = np.cumsum(size[i]), 0
+    while s < len(i):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + HASHES_HELD, "right")))
+        own = size[i[s:e]]
+        asked = named[spread(at[i[s:e]], own)] + np.repeat(j[s:e] * len(names), own)
+        hit = keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
+        out[s:e] = np.add.reduceat(hit, np.cumsum(own) - own, dtype=np.int64)
+        s = e
+    return out
+
+
+def _scored(sets: DataFrame, labels: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(class, other, jaccard) of the pairs of one component, given (node, component), that are so similar.
+
+    Components are dealt into blocks, and each two blocks meet in a task; so a set is sent once for each
+    block of its component, and no pair is.
+    """
+    # a component's least node is named by the others only
+    labels = labels.union(labels.select("component", "component").distinct())
+    sized = settle(labels.join(sets.select(_named(), F.size("w").alias("n")), F.col("node") == F.col("set")).select("set", F.col("component").alias("grp"), "n"), "joined")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / HASHES_HELD)).cast("int").alias("blocks")
+    placed = sized.join(sized.groupBy("grp").agg(blocks), "grp").select(F.col("set").alias("_set"), "grp", "blocks").distinct()
+    held = wanted_rows(sets.select(_named(), "class", "w", "low", "high"), sized, "set")
+    dealt = units(held.join(placed, F.col("set") == F.col("_set"))).repartition("unit").sortWithinPartitions("unit")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_units(batches, BLOCK):
+            rows = rows.combine_chunks()
+            w, names = rows.column("w").combine_chunks(), rows.column("class")
+            n = pc.list_value_length(w).to_numpy().astype(np.int64)
+            at, values = np.concatenate([[0], np.cumsum(n)]), w.flatten().to_numpy().view(np.uint64)
+            for i, j in _askable(rows.append_column("n", pa.array(n)), Sketches(odd_sketches(values, at)), percent):
+                both = _overlaps(values, at, i, j)
+                alike = both / (n[i] + n[j] - both)
+                own = alike >= threshold
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(x[own])).combine_chunks() for x in (i, j)] + [pa.array(alike[own])], names=["class", "other", "jaccard"])
 
     with batches_of(sets.sparkSession, SETS_HELD):
-        one = settle(indexed.select("entries", "tags", "set", "low", "high", "n").mapInArrow(rare, "entry long, set long, low int, high int, n int"), "index")
-    # both sides by the same names, so that they share one shuffle
-    x, y = ((lambda c, side=side: F.col(f"{side}.{c}")) for side in "xy")
-    met = one.alias("x").join(one.alias("y"), x("entry") == y("entry")).where((x("set") < y("set")) & (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent))
-    met = met.where(_across(x("low"), x("high"), y("low"), y("high"))).select(x("set").alias("a"), y("set").alias("b"))
-    pairs = settle(met.distinct(), "candidates")
-    near = settle(possible(pairs, indexed.select("set", "n", "sketch"), percent), "near")
-    names = settle(wanted_rows(sets.select("class", named), near.select(F.col("a").alias("set")).union(near.select("b")), "set"), "names")
-    return settle(near.join(names.toDF("class", "a"), "a").join(names.toDF("other", "b"), "b").select("class", "other"), "named")
+        found = settle(dealt.select("unit", "part", "class", "low", "high", "w").mapInArrow(released(score), "class string, other string, jaccard double"), "similar")
+    forget(sized)
+    return found
 
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -163,17 +261,20 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     if threshold >= 1:
         # different sets are never wholly similar
         return sets.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
-    from millrace.llm.groups import wanted_rows
-
     percent = math.floor(threshold * 100 + 1e-9)
-    pairs = _by_segments(sets, percent) if percent >= 50 else _by_words(sets, threshold)
-    # of the sets only those of some pair are sent
-    hashed = F.xxhash64("class").alias("_hash")
-    wanted = pairs.select(hashed).union(pairs.select(F.xxhash64("other"))).distinct()
-    held = settle(wanted_rows(sets.select("class", "w", hashed), wanted, "_hash").select("class", "w"), "wanted")
-    left, right = held.select("class", F.col("w").alias("wa")), held.select(F.col("class").alias("other"), F.col("w").alias("wb"))
-    scored = pairs.join(left, "class").join(right, "other").withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
-    scored = settle(scored.select("class", "other", "jaccard"), "similar")
+    if percent >= 50:
+        labels = _joined(sets, percent)
+        scored = _scored(sets, labels, threshold, percent)
+        forget(labels)
+    else:
+        pairs = _by_words(sets, threshold)
+        # of the sets only those of some pair are sent
+        hashed = F.xxhash64("class").alias("_hash")
+        wanted = pairs.select(hashed).union(pairs.select(F.xxhash64("other"))).distinct()
+        held = settle(wanted_rows(sets.select("class", "w", hashed), wanted, "_hash").select("class", "w"), "wanted")
+        left, right = held.select("class", F.col("w").alias("wa")), held.select(F.col("class").alias("other"), F.col("w").alias("wb"))
+        scored = pairs.join(left, "class").join(right, "other").withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= threshold)
+        scored = settle(scored.select("class", "other", "jaccard"), "similar")
     return scored.unionByName(scored.select(F.col("other").alias("class"), F.col("class").alias("other"), "jaccard"))
 
 
@@ -184,13 +285,17 @@ def leaks(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.8
     into pairs: both tables grow with the rows and with the pairs of different texts.
     """
     rows = settle(token_classes(df, key, text, split), "token-sets")
-    members = rows.select("id", "split", "class")
+    members = settle(rows.select("id", "split", "class"), "members")
     if threshold > 1:
-        return members, rows.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
+        forget(rows)
+        return members, members.select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard")).limit(0)
     place = priority(F.col("split")).cast("int")
     sets = settle(rows.groupBy("class").agg(F.first("w").alias("w"), F.min(place).alias("low"), F.max(place).alias("high")), "sets")
+    forget(rows)
     itself = sets.where("low < high").select("class", F.col("class").alias("other"), F.lit(1.0).alias("jaccard"))
-    return members, settle(similar_classes(sets, threshold).unionByName(itself), "leaks")
+    links = settle(similar_classes(sets, threshold).unionByName(itself), "leaks")
+    forget(sets)
+    return members, links
 
 
 def detect_leakage(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.85) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime
 import time
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -368,6 +369,35 @@ def test_leaks_by_class_equal_all_pairs(spark, threshold):
     assert {r.id for r in splits.without_leaks(df, "id", "t", "split", threshold).collect()} == {i for i, _, _ in rows} - gone
 
 
+def test_leaks_of_a_large_cluster_hand_on_a_forest_and_leave_no_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.sample(base, 77) + [f"y{i}"]), ("train", "val", "test")[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, t string, split string")
+    order, sets = {"train": 0, "val": 1, "test": 2}, {i: set(t.split()) for i, t, _ in rows}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, _, s in rows for b, _, u in rows if order[s] < order[u]}
+    want = {pair: j for pair, j in want.items() if j >= 0.85}
+    assert len(want) > 2000
+    written, settle = {}, splits.settle
+
+    def spied(df, name="step"):
+        written[name] = settle(df, name)
+        counts[name] = written[name].count()
+        return written[name]
+
+    monkeypatch.setattr(splits, "settle", spied)
+    for block in (splits.BLOCK, 7):
+        # components of more than a block are compared by two blocks each
+        monkeypatch.setattr(splits, "BLOCK", block)
+        counts = {}
+        found = splits.detect_leakage(df, "id", "t", "split")
+        assert {(r.a, r.b): r.jaccard for r in found.collect()} == want
+        left = {name for name, step in written.items() if os.path.exists(step._settled)}
+        assert left == {"members", "similar", "leaks"}
+        if block > 90:
+            assert counts["forests"] < len(want) / 2
+
+
 def test_bm25_top_is_the_head_of_the_full_ranking(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(12)]
