@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import LOWER, distinct_sets, least_of_runs, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
 from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, cells_of, compared, in_blocks, odd_sketches, possible, record, units, wanted_rows
 from millrace.llm.ngrams import digests, verified
-from millrace.session import scratched, settle
+from millrace.session import modest, scratched, settle
 
 #: Corpus counts of words are kept in so many cells, and as eighths of their binary logarithm.
 CELLS = 1 << 16
@@ -288,6 +288,7 @@ def _similar(small: DataFrame, hot: DataFrame, firsts: DataFrame, fetch: Callabl
     return firsts.select(F.col("set").alias("a")).limit(0) if found is None else found
 
 
+@modest
 @scratched
 def _removed(own: DataFrame, k: int, percent: int, block: int, few: int) -> DataFrame:
     """(_rid, _gone) of texts (rid, doc, text) that lose lines: the numbers of those."""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import LOWER, distinct_sets, mix, pieces, released, shingles, small_batches, spread, text_column, word_hashes, words
 from millrace.llm.groups import BLOCK, GROUPED, PACKED, SMALL, Index, alone, compared, in_blocks, odd_sketches, possible, record, units, wanted_rows
 from millrace.operators.components import components
-from millrace.session import forget, scratched, settle
+from millrace.session import forget, modest, scratched, settle
 
 #: Sets that the allocation expects in a scheme, the weight of false candidates in its cost.
 EXPECTED_SETS = 100_000
@@ -258,7 +258,8 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
         return compared(rows.withColumn("done", F.lit(False)).withColumn("extra", F.lit(0)), percent, at, ["set"])
 
     def led(groups: DataFrame) -> DataFrame:
-        placed = marked(groups)
+        # written once, as it is read twice
+        placed = marked(groups) if labels is None else settle(marked(groups), "marked")
         order = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), F.col("set").alias("set"), F.col("mark").alias("mark"))
         heads = placed.groupBy("grp").agg(F.min(order).alias("head"))
         pairs = placed.join(heads, "grp").where(F.col("mark") != F.col("head.mark")).select(F.col("set").alias("a"), F.col("head.set").alias("b")).distinct()
@@ -272,7 +273,9 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
             parts.append(led(hot))
         elif crowd is not None:
             # written once, so that neither its use here nor the next round joins the members anew
-            rest = settle(still_open(marked(crowd), more if turn > LEADERS else None), "crowd")
+            placed = settle(marked(crowd), "marked")
+            rest = settle(still_open(placed, more if turn > LEADERS else None), "crowd")
+            forget(placed)
             if crowd is not hot:
                 forget(crowd)
             parts.append(asked(units(rest), turn - LEADERS))
@@ -295,6 +298,7 @@ def connections(small: DataFrame, hot: DataFrame, sets: DataFrame, fetch: Callab
     return labels
 
 
+@modest
 @scratched
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, few: int = SMALL) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the set's size and the smallest key reachable by links.

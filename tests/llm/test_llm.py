@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, embeddings, groups, language, lines, media, mixing, ngrams, packing, queries, repeats, urls
-from millrace.session import table
+from millrace.session import BROADCAST, modest, table
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -719,3 +719,28 @@ def test_solver_reaches_the_optimum_on_small_cases():
         assert want <= n <= want + 1
         worse += n > want
     assert worse <= 6
+
+
+def test_rounds_broadcast_little_and_mark_the_members_of_large_groups_once(spark, monkeypatch):
+    name, settle, seen = "spark.sql.autoBroadcastJoinThreshold", ngrams.settle, []
+
+    def spied(df, step="step"):
+        seen.append((step, int(spark.conf.get(name)), df._jdf.queryExecution().analyzed().toString().count("Join LeftOuter")))
+        return settle(df, step)
+
+    monkeypatch.setattr(ngrams, "settle", spied)
+    rows = [(i, " ".join(f"w{i // 8}-{j if j else i}" for j in range(60))) for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(10 << 20))
+    try:
+        ids = {r.doc_id: r.component_id for r in ngrams.near_duplicates(df, few=4).collect()}
+        assert spark.conf.get(name) == str(10 << 20)
+        spark.conf.set(name, "1024")
+        assert modest(lambda df: spark.conf.get(name))(df) == "1024"
+    finally:
+        spark.conf.set(name, before)
+    assert ids == {i: i // 8 * 8 for i in range(16)}
+    assert {limit for _, limit, _ in seen} == {BROADCAST}
+    # members are joined with their components where they are written as marked, and not again
+    assert [joins for step, _, joins in seen if step == "crowd"] == [0]
